@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.plans.ordered import running
+from fleetlens.plans.ordered import has_hot_key, running
 from fleetlens.session import MAX_ROWS_PER_TASK
 
 
@@ -136,3 +136,28 @@ def interval_join(
     if how == "inner":
         return pairs.select(*out)
     raise ValueError(f"unsupported join type {how!r}; use exists_between for left matches")
+
+
+def trailing_sum(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    row_id: Sequence[str],
+    seconds: float,
+    values: dict[str, Column],
+    include_lo: bool = True,
+    limit: int | None = MAX_ROWS_PER_TASK,
+    blocks: int | None = None,
+) -> DataFrame:
+    """Per row the sums of its key's values in [t - seconds, t], or (t - seconds, t]; rows of equal time
+    count each other. A hot key goes through `sum_between`, which needs `row_id` to be unique."""
+    us = int(seconds * 1_000_000)
+    if not has_hot_key(df, keys, limit):
+        w = Window.partitionBy(*keys).orderBy(micros(ts)).rangeBetween(-us if include_lo else 1 - us, 0)
+        return df.withColumns({c: F.sum(v).over(w) for c, v in values.items()})
+    t = F.col(ts)
+    right = df.withColumns({f"_w_{c}": v for c, v in values.items()})
+    return sum_between(
+        df, right, keys, row_id, t - F.make_dt_interval(secs=F.lit(float(seconds))), t, ts,
+        {c: F.col(f"_w_{c}") for c in values}, include_lo, limit, blocks,
+    )

@@ -23,8 +23,8 @@ _hot_seen: dict[tuple, bool] = {}
 def has_hot_key(df: DataFrame, keys: Sequence[str], limit: int | None = MAX_ROWS_PER_TASK) -> bool:
     """True when some key has more than `limit` rows. One aggregate over the key columns; the answer is
     remembered per plan, since it only chooses between two exact ways. `limit=None` says that the caller
-    has already bounded the rows of a key."""
-    if not keys:
+    has already bounded the rows of a key, 0 that a hot key is known."""
+    if not keys or limit == 0:
         return True
     if limit is None:
         return False
@@ -36,6 +36,12 @@ def has_hot_key(df: DataFrame, keys: Sequence[str], limit: int | None = MAX_ROWS
     return _hot_seen[memo]
 
 
+def settle(df: DataFrame, keys: Sequence[str], how: dict) -> dict:
+    """Answer the question once for several steps over the same rows."""
+    hot = has_hot_key(df, keys, how.get("limit", MAX_ROWS_PER_TASK))
+    return {**how, "limit": 0 if hot else None}
+
+
 def ordered_blocks(df: DataFrame, keys: Sequence[str], by: Sequence[str], blocks: int | None = None) -> DataFrame:
     """Range-partition and sort by (keys, by); `_block` numbers the partitions in that order. Checkpointed,
     because range bounds come from a sample and must not move between the passes that use them."""
