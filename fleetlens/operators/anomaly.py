@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 from fleetlens.functions.numeric import clip
 from fleetlens.operators.aggregates import classification_report, score_stats
 from fleetlens.operators.features import apply_scaler, contribution_map, fit_scaler
-from fleetlens.operators.filters import require_rows
 from fleetlens.plans.quantiles import grouped_quantiles
 from fleetlens.session import durable
 
@@ -132,12 +131,13 @@ def fit_isolation_forest(
     """Train on all rows of a feature frame; `row_id` names a row uniquely."""
     if not 0.0 < contamination <= 0.5:
         raise ValueError("contamination must lie in (0, 0.5]")
-    require_rows(df, min_rows)
-    scaler = fit_scaler(df, cols).toPandas()  # one row per column
-    spark = df.sparkSession
-    scaled = apply_scaler(df, spark.createDataFrame(scaler), cols)
-    rows = durable(scaled.select(*row_id, _vector(cols).alias("x")))
+    # Standardising a column moves every cut of it along, so the trees grow on the values as they are; the
+    # scaler serves the contributions. The features are computed once.
+    rows = durable(df.select(*row_id, _vector(cols).alias("x")))
     n = rows.count()
+    if n < min_rows:
+        raise ValueError(f"need at least {min_rows} rows, got {n}")
+    scaler = fit_scaler(rows, cols, "x").toPandas()  # one row per column
     psi = min(psi, n)
     max_depth = int(np.ceil(np.log2(max(psi, 2))))
 
@@ -166,10 +166,9 @@ def severity(score: Column | str, mean: float, std: float) -> Column:
 
 def score_isolation_forest(df: DataFrame, forest: Forest, keep: Sequence[str], contributions: bool = False) -> DataFrame:
     """anomaly_score (below 0 is anomalous), is_anomaly and anomaly_severity of each feature row."""
-    scaled = apply_scaler(df, forest.scaler_frame(df.sparkSession), forest.cols)
-    cols = [*keep]
-    ready = scaled.withColumn("x", _vector(forest.cols))
+    cols, ready = [*keep], df.withColumn("x", _vector(forest.cols))
     if contributions:
+        ready = apply_scaler(ready, forest.scaler_frame(df.sparkSession), forest.cols)
         ready = ready.withColumn("contributions", F.slice(contribution_map(forest.cols), 1, 5))
         cols.append("contributions")
     out = _raw_scores(ready.select(*cols, "x"), forest.nodes, forest.psi, cols)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,15 +89,21 @@ def align_for_prediction(df: DataFrame, features: Sequence[str], ids: Sequence[s
     return align_columns(df, [*ids, *features])
 
 
-def fit_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Mean and population deviation of each column, one row per column; a deviation of 0 becomes 1."""
-    wide = df.agg(*[f(c).alias(f"{c}|{n}") for c in cols for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
-    rows = [
-        F.struct(F.lit(c).alias("feature"), F.col(f"`{c}|mean`").alias("mean"),
-                 F.when(F.col(f"`{c}|std`") == 0, 1.0).otherwise(F.col(f"`{c}|std`")).alias("std"))
-        for c in cols
-    ]
-    return wide.select(F.inline(F.array(*rows)))
+def fit_scaler(df: DataFrame, cols: Sequence[str], vector: str | None = None) -> DataFrame:
+    """Mean and population deviation of each column, one row per column; a deviation of 0 becomes 1.
+
+    One vector aggregate instead of two aggregates per column, which would be too much code to compile.
+    `vector` names an array column that already holds the values of `cols`."""
+    values = F.col(vector) if vector else F.array(*[F.col(c).cast("double") for c in cols])
+    s = df.agg(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(values)).alias("s"))
+    n = F.col("s.count")
+    parts = F.arrays_zip(
+        F.array(*[F.lit(c) for c in cols]),
+        vector_to_array("s.mean"),
+        F.transform(vector_to_array("s.variance"), lambda v: F.sqrt(v * (n - 1) / n)),
+    )
+    rows = s.select(F.inline(parts)).toDF("feature", "mean", "std")
+    return rows.withColumn("std", F.when(F.col("std") == 0, 1.0).otherwise(F.col("std")))
 
 
 def apply_scaler(df: DataFrame, stats: DataFrame, cols: Sequence[str]) -> DataFrame:
