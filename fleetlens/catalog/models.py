@@ -8,6 +8,7 @@ from fleetlens.catalog.base import R, query
 from fleetlens.functions.numeric import fixed
 from fleetlens.operators import anomaly, failure, forecast, lifecycle, rules
 from fleetlens.operators import features as ft
+from fleetlens.session import durable
 from fleetlens.sources import tables as t
 
 KEY = ["service_name", "timestamp"]
@@ -149,7 +150,8 @@ def k17(spark, p):
 
 
 def _fitted(spark, p):
-    rows = failure.training_set(t.metrics_long(spark, p), _errors(spark, p), EV_NOW, t.LONG_METRICS, hours=744).cache()
+    # Boosting reads its rows many times.
+    rows = durable(failure.training_set(t.metrics_long(spark, p), _errors(spark, p), EV_NOW, t.LONG_METRICS, hours=744))
     return rows, failure.fit_failure_model(rows, rounds=8)
 
 

@@ -44,7 +44,10 @@ def incident_detail(inc: DataFrame, act: DataFrame, ids: Sequence[int] | None =
         "success",
         "execution_time_ms",
     )
-    return inc.join(a, "id", "left").orderBy("id", "action_timestamp", "action_type", "target")
+    # An inner join, whose hot ids Spark can split on the side of the actions, and the incidents without any.
+    lonely = inc.join(a.select("id").distinct(), "id", "left_anti")
+    both = inc.join(a, "id").unionByName(lonely, allowMissingColumns=True)
+    return both.orderBy("id", "action_timestamp", "action_type", "target")
 
 
 def match_anomalies(sc: DataFrame, inc: DataFrame, keys: Sequence[str] = (), minutes: float = 10, name="matched") -> DataFrame:
