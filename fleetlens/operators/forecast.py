@@ -1,6 +1,6 @@
 """Forecasts per series: a linear trend times an hour-of-day factor times a weekday factor.
 
-The fit is three grouped aggregates for any number of series; the model is one row per series."""
+The fit reads the rows twice for any number of series; the model is one row per series."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.dates import moment
-from fleetlens.operators.aggregates import fit_errors
 from fleetlens.schemas import FORECAST_THRESHOLDS
 
 SERIES = ("service", "metric_name")
@@ -26,47 +25,66 @@ def _trend(ts="timestamp"):
     return F.col("intercept") + F.col("slope") * epoch_hours(ts)
 
 
-def _factor(ratio: Column) -> Column:
-    return F.coalesce(ratio, F.lit(1.0))
+def _total(cells: Column, value) -> Column:
+    return F.aggregate(cells, F.lit(0.0), lambda acc, c: acc + value(c))
 
 
 def fit_forecaster(long: DataFrame, metrics: Sequence[str] | None = None, keys: Sequence[str] = SERIES, min_rows: int = 100) -> DataFrame:
     """One model row per series with at least `min_rows` values: slope, intercept, the factors of the 24
-    hours and 7 weekdays, the spread of what is left, and the fit errors."""
+    hours and 7 weekdays, the spread of what is left, and the fit errors.
+
+    The rows are read twice. The first pass leaves at most 168 cells (hour, weekday) per series with their
+    moments, from which the whole model follows; the second measures the errors."""
     rows = long.filter(F.col("value").isNotNull())
     if metrics is not None:
         rows = rows.filter(F.col("metric_name").isin(list(metrics)))
     rows = rows.select(*keys, "timestamp", "value")
-    x = epoch_hours("timestamp")
-    trend = (
-        rows.groupBy(*keys)
-        .agg(
-            F.count("*").alias("samples"),
-            F.coalesce(F.regr_slope("value", x), F.lit(0.0)).alias("slope"),
-            F.avg("value").alias("_y"), F.avg(x).alias("_x"),
-        )
-        .filter(F.col("samples") >= min_rows)
-        .withColumn("intercept", F.col("_y") - F.col("slope") * F.col("_x"))
-        .drop("_y", "_x")
-    )
-    on = list(keys)
-    with_trend = rows.join(trend, on).withColumn("_tr", _trend())
-    hours = with_trend.groupBy(*on, F.hour("timestamp").alias("_h")).agg(
-        _factor(F.try_divide(F.sum("value"), F.sum("_tr"))).alias("_hf")
+    x, y, on = epoch_hours("timestamp"), F.col("value"), list(keys)
+    n = F.count("*")
+    cells = rows.groupBy(*on, F.hour("timestamp").alias("h"), F.weekday("timestamp").alias("d")).agg(
+        n.alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"),
+        (F.var_pop(x) * n).alias("sxx"), (F.covar_pop(x, y) * n).alias("sxy"),
     )
-    by_hour = with_trend.withColumn("_h", F.hour("timestamp")).join(hours, [*on, "_h"])
-    days = by_hour.groupBy(*on, F.weekday("timestamp").alias("_d")).agg(
-        _factor(F.try_divide(F.sum("value"), F.sum(F.col("_tr") * F.col("_hf")))).alias("_df")
+    series = cells.groupBy(*on).agg(
+        F.sum("n").alias("samples"),
+        (F.sum(F.col("n") * F.col("mx")) / F.sum("n")).alias("_mx"),
+        (F.sum(F.col("n") * F.col("my")) / F.sum("n")).alias("_my"),
+        F.collect_list(F.struct("h", "d", "n", "mx", "my", "sxx", "sxy")).alias("_c"),
+    ).filter(F.col("samples") >= min_rows)
+    c, mx, my = F.col("_c"), F.col("_mx"), F.col("_my")
+    sxx = _total(c, lambda e: e["sxx"] + e["n"] * (e["mx"] - mx) * (e["mx"] - mx))
+    sxy = _total(c, lambda e: e["sxy"] + e["n"] * (e["mx"] - mx) * (e["my"] - my))
+    line = series.withColumn("slope", F.coalesce(F.try_divide(sxy, sxx), F.lit(0.0))).withColumn(
+        "intercept", my - F.col("slope") * mx
     )
 
-    def as_map(df, key, value, name):  # 24 or 7 entries
-        return df.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(name))
+    def trend_sum(e):
+        return e["n"] * (F.col("intercept") + F.col("slope") * e["mx"])
+
+    def factors(size, field, base):
+        """Measured over modelled total of each hour or weekday that occurs."""
+        def one(i):
+            mine = F.filter(c, lambda e: e[field] == i)
+            share = F.try_divide(_total(mine, lambda e: e["n"] * e["my"]), _total(mine, base))
+            return F.struct(i.alias("k"), F.when(F.size(mine) > 0, F.coalesce(share, F.lit(1.0))).alias("v"))
+
+        entries = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), one)
+        return F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
 
-    model = trend.join(as_map(hours, "_h", "_hf", "hour_factors"), on).join(as_map(days, "_d", "_df", "day_factors"), on)
+    hourly = line.withColumn("hour_factors", factors(24, "h", trend_sum))
+    model = hourly.withColumn("day_factors", factors(7, "d", lambda e: trend_sum(e) * F.col("hour_factors")[e["h"]]))
+    model = model.select(*on, "samples", "slope", "intercept", "hour_factors", "day_factors")
+    fields = [f for f in model.columns if f not in on]
+    miss = F.col("fitted") - y
     fitted = rows.join(model, on).withColumn("fitted", predict("timestamp"))
-    spread = fitted.groupBy(*on).agg(F.stddev_pop(F.col("value") - F.col("fitted")).alias("sd"))
-    errors = fit_errors(fitted, "value", "fitted", on).drop("samples")
-    return model.join(spread, on).join(errors, on)
+    return fitted.groupBy(*on).agg(
+        F.first(F.struct(*fields)).alias("_m"),
+        F.stddev_pop(miss).alias("sd"),
+        F.sqrt(F.avg(miss * miss)).alias("rmse"),
+        F.avg(F.abs(miss)).alias("mae"),
+        F.avg(y).alias("mean_value"),
+        F.stddev_samp(y).alias("std_value"),
+    ).select(*on, "_m.*", "sd", "rmse", "mae", "mean_value", "std_value")
 
 
 def predict(ts: Column | str) -> Column:

@@ -34,18 +34,20 @@ def exists_between(
     the earliest of the second. The right side shrinks to one row per (key, cell) before it is joined, so
     no left row multiplies and a hot key or cell brings no pairs.
     """
+    cell = F.floor(F.col("_t") / width_us)
     ends = (
         right.select(*keys, micros(right_ts).alias("_t"))
-        .withColumn("_cell", F.floor(F.col("_t") / width_us))
-        .groupBy(*keys, "_cell")
-        .agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+        .groupBy(*keys, cell.alias("_c"))
+        .agg(F.min("_t").alias("_min"), F.max("_t").alias("_max"))
     )
     # Cell c is asked for as "the cell of lo" (c) and as "the one after" (c - 1); one row per asking cell.
+    none = F.lit(None).cast("long")
+    uses = F.array(
+        F.struct(F.col("_c").alias("_cell"), F.col("_max").alias("_last"), none.alias("_first")),
+        F.struct((F.col("_c") - 1).alias("_cell"), none.alias("_last"), F.col("_min").alias("_first")),
+    )
     asked = (
-        ends.select(*keys, F.col("_cell"), F.col("_last"), F.lit(None).cast("long").alias("_first"))
-        .unionByName(
-            ends.select(*keys, (F.col("_cell") - 1).alias("_cell"), F.lit(None).cast("long").alias("_last"), "_first")
-        )
+        ends.select(*keys, F.inline(uses))
         .groupBy(*keys, "_cell")
         .agg(F.max("_last").alias("_last"), F.min("_first").alias("_first"))
     )
