@@ -162,21 +162,46 @@ def _requests(spark, p):
     return e.select("id", "timestamp", "service_name", act.alias("action_type"), (F.col("value") < 30).alias("success"))
 
 
-@query("j4_breaker_replay")
-def j4(spark, p):
+# The breaker in SQL: one recursion step per request of a service. h1 and h2 are the times of the two
+# kinds of actions that ran.
+_BREAKER = """with recursive e as (select id, service_name, timestamp, epoch_us(timestamp) as t, type in ('error', 'click') as restart, value < 30 as ok,
+  row_number() over (partition by service_name order by timestamp, id) as n from incident_events),
+ k as (
+ select service_name, cast(0 as bigint) as n, cast(null as bigint) as id, cast(null as timestamp) as timestamp, true as ok, cast(null as varchar) as why, 'CLOSED' as st, cast(null as bigint) as opened,
+  cast(0 as bigint) as failures, cast([] as bigint[]) as h1, cast([] as bigint[]) as h2 from (select distinct service_name from e) q
+ union all
+ select service_name, n, id, timestamp, ok, why, case when why is not null then 'OPEN' when ok and st1 = 'HALF_OPEN' then 'CLOSED' else st1 end,
+  case when why = 'limit' then t when why is null and ok and st1 = 'HALF_OPEN' then null else opened end,
+  case when why = 'limit' then len(h) when why = 'cooldown' then failures when ok and st1 = 'HALF_OPEN' then 0 when not ok then failures + 1 else failures end,
+  case when why = 'cooldown' or not restart then h1 when why = 'limit' then h else list_append(h, t) end,
+  case when why = 'cooldown' or restart then h2 when why = 'limit' then h else list_append(h, t) end
+ from (select *, case when st = 'OPEN' and t - opened < 1200000000 then 'cooldown' when len(h) >= 3 then 'limit' end as why, case when st = 'OPEN' then 'HALF_OPEN' else st end as st1
+  from (select e.service_name, e.n, e.id, e.timestamp, e.t, e.restart, e.ok, k.st, k.opened, k.failures, k.h1, k.h2, [x for x in case when e.restart then k.h1 else k.h2 end if x >= e.t - 3600000000] as h
+   from k join e on e.service_name = k.service_name and e.n = k.n + 1) a) b)
+"""
+
+
+def _replayed(spark, p):
     return stateful.breaker_replay(_requests(spark, p), window_s=3600, cooldown_s=1200)
 
 
-@query("j5_breaker_states")
+@query("j4_breaker_replay", _BREAKER + "select id, service_name, why is null as allowed, why as denied_by, st as breaker_state, failures as failure_count, make_timestamp(opened) as opened_at from k where n > 0")
+def j4(spark, p):
+    return _replayed(spark, p).select("id", "service_name", "allowed", "denied_by", "breaker_state", "failure_count", "opened_at")
+
+
+@query("j5_breaker_states", _BREAKER + """, l as (select service_name, st, failures, opened, row_number() over (partition by service_name order by n desc) as rn from k where n > 0 and timestamp <= timestamp '2024-01-15 12:00:00'),
+ a as (select service_name, max(timestamp) as last_attempt from k where n > 0 and why is null and timestamp <= timestamp '2024-01-15 12:00:00' group by 1)
+select l.service_name, st as breaker_state, failures as failure_count, make_timestamp(opened) as opened_at, last_attempt,
+ case when opened is not null then greatest(0, cast(trunc(1200 - (epoch_us(timestamp '2024-01-15 12:00:00') - opened)/1000000.0) as int)) end as cooldown_remaining_seconds from l join a using (service_name) where rn = 1""")
 def j5(spark, p):
-    done = stateful.breaker_replay(_requests(spark, p), window_s=3600, cooldown_s=1200)
-    return stateful.breaker_states(done, EV_NOW, 1200)
+    return stateful.breaker_states(_replayed(spark, p), "2024-01-15 12:00:00", 1200)
 
 
-@query("j6_escalations")
+@query("j6_escalations", _BREAKER + "select service_name, case when why is null then 'failed' else 'blocked' end as kind, count(*) as n from k where n > 0 and (why is not null or not ok) group by 1, 2")
 def j6(spark, p):
-    done = stateful.breaker_replay(_requests(spark, p), window_s=3600, cooldown_s=1200)
-    return stateful.escalations(done, window_s=3600, cooldown_s=1200).groupBy("service_name", "kind").agg(F.count("*").alias("n"))
+    esc = stateful.escalations(_replayed(spark, p), window_s=3600, cooldown_s=1200)
+    return esc.filter(F.col("reason").isNotNull()).groupBy("service_name", "kind").agg(F.count("*").alias("n"))
 
 
 # ---- H: scalar helpers ----------------------------------------------------------------------------

@@ -218,6 +218,21 @@ def i10_gauges(spark, p):
     return prom.evaluate_rules(_samples(spark, p), chosen, step=60).select("alert", "series", "timestamp", "value", "state", "severity")
 
 
+# A rule on a counter rate: half-hour grid, two-hour window, on for an hour before it fires.
+_BUSY = ("BusyErrors", "http_requests_total", [("status", "=~", "5..")], "rate", 7200, ">", 0.0008, 3600, "critical", "app", "Many errors")
+
+
+@query("i10_rate_rule", f"""with {_INC}, c as (select service, event_type, cast(ceil(epoch_us(timestamp)/1800000000.0) as bigint) as g, sum(d) as d from inc where status = '500' group by 1, 2, 3),
+ x as (select service, event_type, d, unnest(range(g, g + 4)) as g from c),
+ v as (select 'event_type=' || event_type || ',service=' || service || ',status=500' as series, make_timestamp(g*1800000000) as timestamp, sum(d)/7200.0 as value from x group by 1, 2),
+ o as (select *, value > 0.0008 as on_, lag(value > 0.0008, 1, false) over (partition by series order by timestamp) as was from v),
+ b as (select *, max(case when on_ and not was then timestamp end) over (partition by series order by timestamp rows between unbounded preceding and current row) as since from o)
+select series, timestamp, {R("value", 6)} as value, case when not on_ then 'inactive' when epoch(timestamp) - epoch(since) >= 3600 then 'firing' else 'pending' end as state from b""")
+def i10_rate(spark, p):
+    out = prom.evaluate_rules(_samples(spark, p), [_BUSY], step=1800)
+    return out.select("series", "timestamp", fixed("value", 6).alias("value"), "state")
+
+
 @query("i10_all_rules")
 def i10_all(spark, p):
     out = prom.evaluate_rules(_samples(spark, p), step=300)

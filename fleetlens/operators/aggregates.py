@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.dates import before, moment, seconds_between
-from fleetlens.functions.numeric import col, ratio
+from fleetlens.functions.numeric import col, fixed, ratio
 from fleetlens.operators.joins import match_anomalies, match_forecasts, match_predictions
 from fleetlens.plans.ordered import last_n
 from fleetlens.plans.quantiles import grouped_quantiles
@@ -25,7 +25,7 @@ def remediation_stats(act: DataFrame, as_of, days: float = 7) -> DataFrame:
         .agg(
             n.alias("total_attempts"),
             ok.alias("successful"),
-            F.round(ok * 100.0 / n, 2).alias("success_rate"),
+            fixed(ok * 100.0 / n, 2).alias("success_rate"),
             F.avg("execution_time_ms").alias("avg_execution_time_ms"),
         )
         .orderBy(F.desc("total_attempts"), "action_type", "target")
@@ -40,11 +40,11 @@ def metric_stats(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.min("timestamp").alias("first_sample"),
         F.max("timestamp").alias("last_sample"),
         F.coalesce(span, F.lit(0.0)).alias("data_duration_hours"),
-        F.round(F.coalesce(F.avg("cpu_usage_percent"), F.lit(0.0)), 2).alias("avg_cpu"),
-        F.round(F.coalesce(F.avg("memory_usage_percent"), F.lit(0.0)), 2).alias("avg_memory"),
-        F.round(F.coalesce(F.avg("error_rate"), F.lit(0.0)), 4).alias("avg_error_rate"),
-        F.round(F.coalesce(F.stddev_samp("cpu_usage_percent"), F.lit(0.0)), 2).alias("std_cpu"),
-        F.round(F.coalesce(F.stddev_samp("memory_usage_percent"), F.lit(0.0)), 2).alias("std_memory"),
+        fixed(F.coalesce(F.avg("cpu_usage_percent"), F.lit(0.0)), 2).alias("avg_cpu"),
+        fixed(F.coalesce(F.avg("memory_usage_percent"), F.lit(0.0)), 2).alias("avg_memory"),
+        fixed(F.coalesce(F.avg("error_rate"), F.lit(0.0)), 4).alias("avg_error_rate"),
+        fixed(F.coalesce(F.stddev_samp("cpu_usage_percent"), F.lit(0.0)), 2).alias("std_cpu"),
+        fixed(F.coalesce(F.stddev_samp("memory_usage_percent"), F.lit(0.0)), 2).alias("std_memory"),
     )
 
 
@@ -93,7 +93,7 @@ def freshness(df: DataFrame, reg: DataFrame, as_of) -> DataFrame:
         ]
     )
     age = seconds_between("latest_metric_timestamp", now) / 60
-    return row.withColumn("data_age_minutes", F.round(age, 1)).withColumn(
+    return row.withColumn("data_age_minutes", fixed(age, 1)).withColumn(
         "data_collection_active", F.coalesce(age < 5, F.lit(False))
     )
 
@@ -151,7 +151,7 @@ def percentile_index(df: DataFrame, value: str, keys: Sequence[str], last: int =
     """Element int(n*p) of the sorted newest `last` values, rounded to 2 digits."""
     order = order or [F.desc("timestamp"), F.desc("id")]
     q = grouped_quantiles(last_n(df, keys, order, last), keys, value, PERCENTILES, "index", limit=None)
-    return q.select(*keys, *[F.round(p, 2).alias(p) for p in PERCENTILES])
+    return q.select(*keys, *[fixed(p, 2).alias(p) for p in PERCENTILES])
 
 
 def percentile_linear(df: DataFrame, value: str, keys: Sequence[str], last: int | None = 1000, order: Sequence[Column] = ()) -> DataFrame:
@@ -164,7 +164,7 @@ def percentile_linear(df: DataFrame, value: str, keys: Sequence[str], last: int
 
 
 def error_rate(errors: Column | str, requests: Column | str) -> Column:
-    return F.round(ratio(errors, requests), 4)
+    return fixed(ratio(errors, requests), 4)
 
 
 def state_rollup(df: DataFrame, state: str, maximum: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -177,14 +177,14 @@ def state_rollup(df: DataFrame, state: str, maximum: int, keys: Sequence[str] =
         F.count_if(col(state) == "idle in transaction").alias("idle_in_transaction"),
         F.lit(maximum).alias("max_connections"),
         (F.lit(maximum) - n).alias("available"),
-        F.round(n * 100.0 / maximum, 2).alias("utilization_percent"),
+        fixed(n * 100.0 / maximum, 2).alias("utilization_percent"),
     )
 
 
 def guarded_percent(part: Column | str, whole: Column | str, default: float) -> Column:
     """100 * part / whole to 2 digits, `default` when there is nothing to divide by."""
     w = col(whole)
-    return F.when(w == 0, F.lit(float(default))).otherwise(F.round(F.try_divide(col(part) * 100.0, w), 2))
+    return F.when(w == 0, F.lit(float(default))).otherwise(fixed(F.try_divide(col(part) * 100.0, w), 2))
 
 
 def classification_report(df: DataFrame, actual: Column, predicted: Column, keys: Sequence[str] = ()) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from fleetlens.functions.numeric import fixed
 from fleetlens.operators import rules
 from fleetlens.operators.stateful import Breaker, FirstPerWindow
 from fleetlens.schemas import BREAKER
@@ -78,8 +79,8 @@ def live_metrics(df: DataFrame, size: str = "2 seconds", keys: Sequence[str] = (
     return df.groupBy(*keys, F.window(ts, size).alias("w")).agg(
         F.count("*").alias("total_requests"),
         errors.alias("total_errors"),
-        F.round(F.avg("value"), 2).alias("avg_value"),
-        F.round(errors / F.count("*"), 4).alias("error_rate"),
+        fixed(F.avg("value"), 2).alias("avg_value"),
+        fixed(errors / F.count("*"), 4).alias("error_rate"),
     ).select(*keys, F.col("w.start").alias("window_start"), "total_requests", "total_errors", "avg_value", "error_rate")
 
 
