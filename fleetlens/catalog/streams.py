@@ -18,7 +18,9 @@ def _events(spark, p):
     """The events as a stream of incident rows."""
     schema = t.table(spark, p, "events").schema
     # A pattern, since a stream source takes a folder or a pattern but no single file.
-    raw = spark.readStream.schema(schema).parquet(f"{p}/events.parquet*")
+    # The trigger size bounds what the state function of one key gets at a time.
+    source = spark.readStream.schema(schema).option("maxBytesPerTrigger", "256m")
+    raw = source.parquet(f"{p}/events.parquet*")
     return raw.select(
         F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), F.col("event_type").alias("type"),
         F.concat(F.lit("svc_"), (F.col("user_id") % 4).cast("string")).alias("service_name"), "value",
