@@ -19,7 +19,7 @@ def _events(spark, p):
     schema = t.table(spark, p, "events").schema
     # A pattern, since a stream source takes a folder or a pattern but no single file.
     # The trigger size bounds what the state function of one key gets at a time.
-    source = spark.readStream.schema(schema).option("maxBytesPerTrigger", "256m")
+    source = spark.readStream.schema(schema).option("maxBytesPerTrigger", 256 * 1024 * 1024)
     raw = source.parquet(f"{p}/events.parquet*")
     return raw.select(
         F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), F.col("event_type").alias("type"),

@@ -12,7 +12,7 @@ from oracle import compare, duck
 # The smallest data has no series of 100 points and too few recent incidents for these.
 EMPTY_AT_SMALL = {
     "a13_series_guard", "b1_search_incidents", "f3_most_severe", "i6_predicted_breach", "k11_fit_forecaster",
-    "k12_forecast", "k13_next_hour", "k14_breach_alerts", "k15_trend",
+    "k12_forecast", "k13_next_hour", "k14_breach_alerts", "k15_trend", "k24_stored_forecaster",
 }
 
 
