@@ -41,12 +41,12 @@ def a4(spark, p):
     return ingest.alerts_to_incidents(t.alerts(spark, p)).select("id", "timestamp", "type", "severity", "description", "status")
 
 
-@query("a5_log_labels", """select timestamp, event_id, concat('ar_', service) as container, case when line like 'ERROR%' then 'stderr' else 'stdout' end as stream,
+@query("a5_log_labels", """select timestamp, event_id, concat('ct_', service) as container, case when line like 'ERROR%' then 'stderr' else 'stdout' end as stream,
   service, line from logs""")
 def a5(spark, p):
     raw = t.logs(spark, p).select(
         "timestamp", "event_id", "line",
-        F.concat(F.lit("/ar_"), "service").alias("container_name"),
+        F.concat(F.lit("/ct_"), "service").alias("container_name"),
         F.when(F.col("line").startswith("ERROR"), "stderr").otherwise("stdout").alias("stream_name"),
         "service",
     )

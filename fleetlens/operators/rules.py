@@ -118,19 +118,35 @@ def detect_all(df: DataFrame, extra: Sequence[Column] = (), ids: Sequence[str] =
     return df.select(*ids, each.alias("i")).select(*ids, "i.*")
 
 
+# Reason of the restart for each incident type that has one.
+REASONS = {
+    "health_check_failed": "Health check failed - app unresponsive",
+    "high_error_rate": "High error rate: %.2f%% - restarting to recover",
+    "cpu_extreme": "Extreme CPU usage: %s%% - forcing restart",
+    "cpu_spike": "CPU spike detected: %s%% - restarting to recover",
+    "high_response_time": "High response time: P95=%sms - restarting",
+}
+CPU_EXTREME = 95
+
+
 def choose_action(inc: DataFrame, service: str = "service_name") -> DataFrame:
     """Action, target and reason for each incident; null where no action is defined."""
     def number(field):
         return F.coalesce(F.get_json_object("details", f"$.{field}").try_cast("double"), F.lit(0.0))
 
-    cpu = number("cpu_usage_percent")
-    reason = (
-        F.when(F.col("type") == "health_check_failed", "Health check failed - app unresponsive")
-        .when(F.col("type") == "high_error_rate", F.format_string("High error rate: %.2f%% - restarting to recover", number("error_rate") * 100))
-        .when((F.col("type") == "cpu_spike") & (cpu > 95), F.format_string("Extreme CPU usage: %s%% - forcing restart", cpu.cast("string")))
-        .when(F.col("type") == "cpu_spike", F.format_string("CPU spike detected: %s%% - restarting to recover", cpu.cast("string")))
-        .when(F.col("type") == "high_response_time", F.format_string("High response time: P95=%sms - restarting", number("p95_response_time_ms").cast("string")))
+    kind, cpu = F.col("type"), number("cpu_usage_percent")
+    cpu_text = cpu.cast("string")
+    spike = F.when(cpu > CPU_EXTREME, F.format_string(REASONS["cpu_extreme"], cpu_text)).otherwise(
+        F.format_string(REASONS["cpu_spike"], cpu_text)
     )
+    p95 = number("p95_response_time_ms").cast("string")
+    texts = {
+        "health_check_failed": F.lit(REASONS["health_check_failed"]),
+        "high_error_rate": F.format_string(REASONS["high_error_rate"], number("error_rate") * 100),
+        "cpu_spike": spike,
+        "high_response_time": F.format_string(REASONS["high_response_time"], p95),
+    }
+    reason = F.coalesce(*[F.when(kind == k, text) for k, text in texts.items()])
     acts = reason.isNotNull()
     return inc.withColumns(
         {"action_type": F.when(acts, "restart_container"), "target": F.when(acts, F.col(service)), "reason": reason}

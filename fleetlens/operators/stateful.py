@@ -146,15 +146,22 @@ def reset_breakers(states: DataFrame, services: Sequence[str], service="service_
     return states.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in closed.items()})
 
 
+# Reasons of denials and escalations.
+COOLING = "Circuit OPEN for %s. Cooldown: %ds remaining"
+LIMITED = "Circuit OPEN for %s: %d %s actions in last %ds (max: %d)"
+BLOCKED = "Circuit breaker open, auto-remediation blocked: "
+FAILED = "Remediation action failed: "
+
+
 def denial_reason(service="service_name", action="action_type", ts="timestamp", window_s=BREAKER["window_s"], max_actions=BREAKER["max_actions"], cooldown_s=BREAKER["cooldown_s"]):
     """Text of why a replayed request was denied."""
     left = (F.lit(float(cooldown_s)) - seconds_between("opened_at", ts)).cast("int")
     return F.when(
         F.col("denied_by") == "cooldown",
-        F.format_string("Circuit OPEN for %s. Cooldown: %ds remaining", F.col(service), left),
+        F.format_string(COOLING, F.col(service), left),
     ).when(
         F.col("denied_by") == "limit",
-        F.format_string(f"Circuit OPEN for %s: %d %s actions in last {int(window_s)}s (max: {int(max_actions)})", F.col(service), F.col("recent"), F.col(action)),
+        F.format_string(LIMITED, F.col(service), F.col("recent"), F.col(action), F.lit(int(window_s)), F.lit(int(max_actions))),
     )
 
 
@@ -164,8 +171,8 @@ def escalations(replayed: DataFrame, error: str | None = None, service="service_
     blocked = ~F.col("allowed")
     text = F.coalesce(F.col(error), F.lit("unknown")) if error else F.lit("unknown")
     reason = F.when(
-        blocked, F.concat(F.lit("Circuit breaker open, auto-remediation blocked: "), denial_reason(service=service, **names))
-    ).otherwise(F.concat(F.lit("Remediation action failed: "), text))
+        blocked, F.concat(F.lit(BLOCKED), denial_reason(service=service, **names))
+    ).otherwise(F.concat(F.lit(FAILED), text))
     return replayed.filter(blocked | failed).withColumn("kind", F.when(blocked, "blocked").otherwise("failed")).withColumn("reason", reason)
 
 

@@ -122,8 +122,16 @@ def fallback_reports(inc: DataFrame, act: DataFrame, **how) -> DataFrame:
     return heads.unionByName(lines.select("incident_id", F.col("line_no").cast("long").alias("line_no"), "line"))
 
 
-# Marks before a message and the severity of each message kind.
+# Marks before a message and the format of each message kind.
 MARKS = {"CRITICAL": ":red_circle:", "WARNING": ":warning:", "INFO": ":information_source:", "SUCCESS": ":white_check_mark:"}
+MESSAGES = {
+    "detected": "Incident detected on `%s`: **%s** (%s)",
+    "started": "Starting remediation: `%s` on `%s` - Reason: %s",
+    "succeeded": "✅ Remediation successful: `%s` on `%s` (completed in %sms)",
+    "failed": "❌ Remediation failed: `%s` on `%s` - Error: %s",
+    "breaker_opened": "🚫 Circuit breaker OPENED for `%s` - %s",
+    "escalation": "🚨 ESCALATION REQUIRED for `%s` - Auto-remediation exhausted. Manual intervention needed. Reason: %s",
+}
 
 
 def notification_text(df: DataFrame) -> DataFrame:
@@ -135,24 +143,20 @@ def notification_text(df: DataFrame) -> DataFrame:
     def have(name, default="unknown"):
         return F.coalesce(F.col(name).cast("string"), F.lit(default)) if name in df.columns else F.lit(default)
 
-    what = F.concat(F.lit("`"), have("action_type"), F.lit("` on `"), have("target"), F.lit("`"))
-    svc = F.concat(F.lit("`"), have("service"), F.lit("`"))
+    severity_in, act = have("severity", "INFO"), (have("action_type"), have("target"))
+    service, reason = have("service"), have("reason")
+    # Per kind: what fills its format, and its severity.
+    kinds = {
+        "detected": ((service, have("type"), severity_in), severity_in),
+        "started": ((*act, reason), F.lit("INFO")),
+        "succeeded": ((*act, have("execution_time_ms")), F.lit("SUCCESS")),
+        "failed": ((*act, have("error")), F.lit("CRITICAL")),
+        "breaker_opened": ((service, reason), F.lit("WARNING")),
+        "escalation": ((service, reason), F.lit("CRITICAL")),
+    }
     kind = F.col("kind")
-    message = (
-        F.when(kind == "detected", F.concat(F.lit("Incident detected on "), svc, F.lit(": **"), have("type"), F.lit("** ("), have("severity", "INFO"), F.lit(")")))
-        .when(kind == "started", F.concat(F.lit("Starting remediation: "), what, F.lit(" - Reason: "), have("reason")))
-        .when(kind == "succeeded", F.concat(F.lit("✅ Remediation successful: "), what, F.lit(" (completed in "), have("execution_time_ms"), F.lit("ms)")))
-        .when(kind == "failed", F.concat(F.lit("❌ Remediation failed: "), what, F.lit(" - Error: "), have("error")))
-        .when(kind == "breaker_opened", F.concat(F.lit("🚫 Circuit breaker OPENED for "), svc, F.lit(" - "), have("reason")))
-        .when(kind == "escalation", F.concat(F.lit("🚨 ESCALATION REQUIRED for "), svc, F.lit(" - Auto-remediation exhausted. Manual intervention needed. Reason: "), have("reason")))
-    )
-    severity = (
-        F.when(kind == "detected", have("severity", "INFO"))
-        .when(kind == "started", "INFO")
-        .when(kind == "succeeded", "SUCCESS")
-        .when(kind == "breaker_opened", "WARNING")
-        .otherwise("CRITICAL")
-    )
+    message = F.coalesce(*[F.when(kind == k, F.format_string(MESSAGES[k], *fills)) for k, (fills, _) in kinds.items()])
+    severity = F.coalesce(*[F.when(kind == k, level) for k, (_, level) in kinds.items()])
     out = df.withColumns({"message": message, "message_severity": severity})
     mark = F.coalesce(F.create_map(*[F.lit(x) for kv in MARKS.items() for x in kv])[F.col("message_severity")], F.lit(":bell:"))
     return out.withColumn("text", F.concat(mark, F.lit(" *"), F.col("message_severity"), F.lit("* - "), F.col("message")))
