@@ -41,7 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def block_count(df: DataFrame, block_bytes: int) -> int:
     """How many blocks of about `block_bytes` hold `df`, by Spark's own size statistics; at least the
     session's shuffle partitions. A larger estimate only makes smaller blocks."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(-(-size // block_bytes), 1 << 17))
 
@@ -210,3 +210,30 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     new = np.concatenate(([True], s[1:] > e[:-1]))
     first = np.flatnonzero(new)
     return s[first], np.append(e[first[1:] - 1], e[-1])
+
+
+def doc_block(ids, n: int):
+    """Block 0..n-1 of document ids, alike for a column and for a numpy array. `n` is odd, see `odd`."""
+    if isinstance(ids, np.ndarray):
+        return (ids ^ (ids >> 15) ^ (ids >> 31)) % n
+    return F.pmod(ids.bitwiseXOR(F.shiftright(ids, 15)).bitwiseXOR(F.shiftright(ids, 31)), F.lit(n)).cast("int")
+
+
+def odd(n: int) -> int:
+    return n | 1
+
+
+def rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def cut_by(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(key, slice) of each run of equal keys."""
+    first = starts_of(keys)
+    for a, b in zip(first, np.append(first[1:], len(keys))):
+        yield int(keys[a]), slice(int(a), int(b))
+
+
+def back_to_id(col: str = "id"):
+    """The identifier as it was given: LAST_ID stood for null."""
+    return F.when(F.col(col) != LAST_ID, F.col(col))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chat, mixing, quality
+from fleetlens.llm import chat, mixing, quality, substring, suffix
 from fleetlens.llm.common import table
 
 QUERIES: dict = {}
@@ -108,3 +108,28 @@ select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the line-first quality rules."""
     return quality.judge(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
+@query(
+    "op7_substring_dedup",
+    rf"""with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+win as (select r, doc_id, i, array_to_string(w[i:i + 12], ' ') as t from (select r, doc_id, w, unnest(range(1, len(w) - 11)) as i from d)),
+rep as (select r, i from (select r, doc_id, i, min(doc_id) over (partition by t) as least from win) where least < doc_id),
+gone as (select distinct r, i + k as i from rep, range(13) as v(k)),
+pos as (select r, w[i] as word, i from (select r, w, unnest(range(1, len(w) + 1)) as i from d)),
+kept as (select pos.r, string_agg(word, ' ' order by pos.i) as t from pos anti join gone on pos.r = gone.r and pos.i = gone.i group by pos.r),
+n as (select r, count(*) as n_removed from gone group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept.t, '')) as kept_sha256
+from d left join n on d.r = n.r left join kept on d.r = kept.r""",
+)
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left after windows of 13 words that a document with a smaller id has are gone."""
+    out = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left after strings of 100 bytes that also start earlier are gone."""
+    out = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
