@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chat, mixing, quality, substring, suffix
+from fleetlens.llm import chat, mixing, ngram_join, quality, substring, suffix
 from fleetlens.llm.common import table
 
 QUERIES: dict = {}
@@ -110,6 +110,26 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
+@query(
+    "op5_ngram_join",
+    r"""with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') as w from documents),
+sh as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n, md5(string_agg(s, chr(10) order by s)) as digest from sh group by doc_id),
+cls as (select doc_id, n, min(doc_id) over (partition by digest) as rep from n),
+rs as (select s, doc_id from sh where doc_id in (select rep from cls)),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as k from rs a join rs b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from pairs join n x on a = x.doc_id join n y on b = y.doc_id where 100 * k >= 80 * (x.n + y.n - k)),
+edges as (select a as u, b as v from links union all select b, a from links union all select rep, doc_id from cls union all select doc_id, rep from cls),
+reach(id, at) as (select doc_id, doc_id from cls union select id, v from reach join edges on at = u),
+comp as (select id, min(at) as component_id from reach group by id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(comp.component_id, d.doc_id) as component_id
+from d left join n on d.doc_id = n.doc_id left join comp on d.doc_id = comp.id""",
+)
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by a Jaccard similarity of 0.8 or more of their 5-word shingles."""
+    return ngram_join.group(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op7_substring_dedup",
     rf"""with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
