@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chat, mixing, ngram_join, quality, substring, suffix
+from fleetlens.llm import chat, fingerprint, langid, mixing, ngram_join, packing, quality, substring, suffix, warc
 from fleetlens.llm.common import table
+from fleetlens.session import durable
 
+TOKENIZER = "word_bpe_49k.json"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -112,7 +114,8 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "op5_ngram_join",
-    r"""with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') as w from documents),
+    r"""with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') as w from documents),
 sh as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0)),
 n as (select doc_id, count(*) as n, md5(string_agg(s, chr(10) order by s)) as digest from sh group by doc_id),
 cls as (select doc_id, n, min(doc_id) over (partition by digest) as rep from n),
@@ -120,8 +123,8 @@ rs as (select s, doc_id from sh where doc_id in (select rep from cls)),
 pairs as (select a.doc_id as a, b.doc_id as b, count(*) as k from rs a join rs b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
 links as (select a, b from pairs join n x on a = x.doc_id join n y on b = y.doc_id where 100 * k >= 80 * (x.n + y.n - k)),
 edges as (select a as u, b as v from links union all select b, a from links union all select rep, doc_id from cls union all select doc_id, rep from cls),
-reach(id, at) as (select doc_id, doc_id from cls union select id, v from reach join edges on at = u),
-comp as (select id, min(at) as component_id from reach group by id)
+reach(id, node) as (select doc_id, doc_id from cls union select id, v from reach join edges on node = u),
+comp as (select id, min(node) as component_id from reach group by id)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(comp.component_id, d.doc_id) as component_id
 from d left join n on d.doc_id = n.doc_id left join comp on d.doc_id = comp.id""",
 )
@@ -153,3 +156,48 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left after strings of 100 bytes that also start earlier are gone."""
     out = suffix.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    "op2_warc_bundles",
+    """with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, octet_length(encode(h)) as n, sha256(h) as digest from p),
+f as (select *, case when n >= 100 then min(page_id) over (partition by digest) else page_id end as first from d)
+select page_id, n as payload_bytes, digest as payload_digest, case when first = page_id then 'response' else 'revisit' end as record_type,
+  case when first <> page_id then first end as refers_to from f""",
+)
+def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to seekable bundles and read back."""
+    folder = warc.new_folder(spark)
+    index = warc.write(table(spark, sf_dir, "pages"), folder)
+    told = durable(warc.read(index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    warc.remove_folder(spark, folder)
+    return told
+
+
+@query("op3_best_fit_packing")
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens."""
+    return packing.best_fit(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Place of a vocabulary file; every machine has it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op4_fingerprint")
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited texts, and how alike they are."""
+    out = fingerprint.compare_neighbours(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the folds that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, ~langid.held_out())
+    return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
