@@ -58,7 +58,11 @@ def id_column(name: str) -> Column:
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text): a null id as LAST_ID, a null text as the empty text."""
-    return docs.select(id_column(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return docs.select(*text_columns(id_col, text_col))
+
+
+def text_columns(id_col: str, text_col: str) -> tuple[Column, Column]:
+    return id_column(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
 
 
 def id_block(n: int, col: str = "id") -> Column:

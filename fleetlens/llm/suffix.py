@@ -19,12 +19,17 @@ from fleetlens.llm import common as c
 from fleetlens.session import durable
 
 GRAM = 16
+BLOCK = 64
+#: Bytes of text that are cut into segments at a time; temporaries take about 120 times as much.
+STEP_BYTES = 1 << 20
+#: Bytes of segments that one collection sorts.
+COLLECTION_BYTES = 1 << 20
 #: The different segments of one anchor meet in one collection up to this number; beyond it, window by window.
 SEGMENTS_OF_ANCHOR = 2048
 _PARCEL = pa.schema([("kind", pa.int32()), ("key", pa.int32()), ("blob", pa.binary())])
 _HIT = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("anchor", pa.int64())])
 _SEGMENT = pa.schema([("kind", pa.int32()), ("key", pa.int32()), ("id", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("anchor", pa.int64()), ("bytes", pa.binary())])
-_RESULT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.binary())])
+_RESULT = ("id", "n_bytes", "n_removed", "starts", "ends", "kept")
 SEGMENTS, REMOVED, COMPARE, SPREAD = 0, 1, 2, 3
 
 
@@ -77,7 +82,7 @@ def _first_of_each(anchor, whole, ids, starts, sizes):
 
 def _parcels(length: int, buckets: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in c.steps(batches):
+        for batch in c.steps(batches, most=STEP_BYTES):
             ids = batch.column("id").to_numpy()
             anchor, whole, doc, starts, sizes = segments_of(*c.buffers(batch.column("text").cast(pa.binary())), length)
             first, later = _first_of_each(anchor, whole, ids[doc], starts, sizes)
@@ -119,15 +124,9 @@ def _hits(length: int):
         cols = [np.concatenate((a, b)) for a, b in zip(later, first)]
         order = np.lexsort((cols[3], cols[2], kinds))
         kinds, (anchor, _, ids, starts, sizes) = kinds[order], [x[order] for x in cols]
-        # removed segments of a document that touch or overlap are one hit
-        stops = starts + sizes + length - 1
         removed = kinds == REMOVED
-        s, e, i = starts[removed], stops[removed], ids[removed]
-        new = np.ones(len(s), bool)
-        new[1:] = (i[1:] != i[:-1]) | (s[1:] > e[:-1])
-        begin = np.flatnonzero(new)
-        s, i, e = s[begin], i[begin], e[np.append(begin[1:], len(e)) - 1] if len(begin) else e[:0]
-        n = len(begin)
+        i, s, e = _joined(ids[removed], starts[removed], (starts + sizes + length - 1)[removed])
+        n = len(i)
         rest = ~removed
         return pa.Table.from_batches([c.rows(
             _HIT, np.concatenate((np.full(n, REMOVED, np.int32), kinds[rest])), np.concatenate((i, ids[rest])), np.concatenate((s, starts[rest])),
@@ -175,124 +174,170 @@ def _cut_out(length: int, buckets: int):
 def sorted_suffixes(data: np.ndarray, offsets: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, suffix length, common prefix with the suffix before) of all suffixes of the strings in sorted order.
 
-    Round j puts the suffix of length j of every string in its place: behind as many suffixes with its first
-    symbol as the transform has of that symbol before the place of its own tail. A new suffix's common prefix
-    with its neighbours is one more than the least one between their tails. Prefixes count up to `most`."""
-    ends, m = offsets[1:], len(offsets) - 1
-    sizes = np.diff(offsets)
-    symbol = lambda s, n: np.where(n < sizes[s], data[np.maximum(ends[s] - 1 - n, 0)].astype(np.int16) + 1, 0).astype(np.uint16)
-    owner, size = np.arange(m, dtype=np.int32), np.zeros(m, np.int32)
-    common = np.zeros(m, np.uint16)
-    bwt = symbol(owner, size)
-    fresh = np.ones(m, bool)
+    The transform holds, for each sorted suffix, the symbol before it. Round j puts the suffix of length j of every
+    string in its place: behind as many suffixes with its first symbol as the transform has of that symbol before
+    the place of its own tail. A new suffix's common prefix with a neighbour is one more than the least one between
+    their tails. Prefixes count up to `most`. At the end the transform is walked once to name the suffixes."""
+    m, ends, sizes = len(offsets) - 1, offsets[1:], np.diff(offsets)
+    before = lambda s, n: np.where(n < sizes[s], data[np.maximum(ends[s] - 1 - n, 0)].astype(np.int16) + 1, 0).astype(np.uint8)
+    owner = np.arange(m)
+    place = np.arange(m)  # of the suffixes put in last
+    bwt = before(owner, 0) if m else np.zeros(0, np.uint8)
+    common = np.zeros(m, np.uint8)
     for j in range(1, int(sizes.max(initial=0)) + 1):
-        inner = np.flatnonzero(bwt)
-        by_symbol = inner[np.argsort(bwt[inner].astype(np.uint8) if bwt.max() < 256 else bwt[inner], kind="stable")]
-        new = np.flatnonzero(fresh[by_symbol])
-        if not len(new):
-            break
-        tail = by_symbol[new]
-        letters = bwt[by_symbol]
-        total = m + len(by_symbol)
-        old = np.ones(total, bool)
-        old[m + new] = False
-        grown = [np.zeros(total, x.dtype) for x in (owner, size, common, bwt)]
-        for out, x in zip(grown, (owner, size, common, bwt)):
-            out[old] = x
-        owner_, size_, common_, bwt_ = grown
-        owner_[m + new], size_[m + new] = owner[tail], j
-        bwt_[m + new] = symbol(owner[tail], j)
-        # places whose neighbour before changed: the new ones and those right after them
-        touched = np.unique(np.concatenate((new, new[new + 1 < len(by_symbol)] + 1)))
-        joined = touched[(touched > 0)]
-        joined = joined[letters[joined] == letters[joined - 1]]
-        common_[m + touched] = 0
-        if len(joined):
-            joined = joined[np.argsort(by_symbol[joined - 1], kind="stable")]
-            common_[m + joined] = np.minimum(_range_least(common, by_symbol[joined - 1] + 1, by_symbol[joined] + 1) + 1, most)
-        fresh = ~old
-        owner, size, common, bwt = owner_, size_, common_, bwt_
-    return owner, size, common
+        go = bwt[place] > 0
+        owner, place = owner[go], place[go]
+        order = np.argsort(bwt, kind="stable")
+        piles = np.concatenate(([0], np.cumsum(np.bincount(bwt, minlength=256))))
+        first = bwt[place]
+        by = np.argsort(first, kind="stable")  # places ascend, so new suffixes come in sorted order
+        owner, place, first = owner[by], place[by], first[by]
+        rank = np.empty(len(place), np.int64)
+        for symbol, part in c.cut_by(first):
+            rank[part] = piles[symbol] + np.searchsorted(order[piles[symbol] : piles[symbol + 1]], place[part])
+        ahead, behind = rank > piles[first], rank + 1 < piles[first.astype(np.int64) + 1]
+        at = m + rank - piles[1]
+        old = np.ones(len(bwt) + len(at), bool)
+        old[at] = False
+        new_bwt, new_common = np.empty(len(old), np.uint8), np.zeros(len(old), np.uint8)
+        new_bwt[old], new_common[old] = bwt, common
+        new_bwt[at] = before(owner, j)
+        left = order[rank[ahead] - 1] + 1
+        new_common[at[ahead]] = np.minimum(_range_least(common, left, place[ahead] + 1).astype(np.int64) + 1, most)
+        right = order[rank[behind] + 1] + 1
+        new_common[at[behind] + 1] = np.minimum(_range_least(common, place[behind] + 1, right).astype(np.int64) + 1, most)
+        bwt, common, place = new_bwt, new_common, at
+    n = len(bwt)
+    owners, lengths = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    step = np.empty(n, np.int64)  # from a suffix to the one that is longer by the symbol before it
+    zeros = int((bwt == 0).sum())
+    step[np.argsort(bwt, kind="stable")] = np.arange(n) - zeros + m
+    owner = place = np.arange(m)
+    for j in range(int(sizes.max(initial=0)) + 1):
+        owners[place], lengths[place] = owner, j
+        go = bwt[place] > 0
+        owner, place = owner[go], step[place[go]]
+    return owners, lengths, common
 
 
 def _range_least(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Least value of each [start, stop), in order of start, by way of the least of whole blocks."""
-    block = 32
-    whole = np.minimum.reduceat(values, np.arange(0, len(values), block))
-    padded = np.append(values, values.dtype.type(65535))
-    outer = np.append(whole, values.dtype.type(65535))
-    a, b = -(-start // block), stop // block
-    inside = a < b
-    out = np.minimum.reduceat(padded, np.stack((start, np.where(inside, np.minimum(a * block, stop), stop)), 1).ravel())[::2]
-    empty = np.where(inside, start >= a * block, False)
-    out[empty] = 65535
-    if inside.any():
-        order = np.flatnonzero(inside)
-        mid = np.minimum.reduceat(outer, np.stack((a[order], b[order]), 1).ravel())[::2]
-        right_start, right_stop = b[order] * block, stop[order]
-        right = np.minimum.reduceat(padded, np.stack((np.minimum(right_start, len(values)), right_stop), 1).ravel())[::2]
-        right = np.where(right_start < right_stop, right, 65535)
-        out[order] = np.minimum(out[order], np.minimum(mid, right))
+    """Least value of each non-empty [start, stop), by way of the least of whole blocks."""
+    if not len(start):
+        return np.zeros(0, values.dtype)
+    order = np.argsort(start, kind="stable")  # in this order, what lies between the ranges is passed over once
+    start, stop = start[order], stop[order]
+    top = np.iinfo(values.dtype).max
+    whole = np.append(np.minimum.reduceat(values, np.arange(0, len(values), BLOCK)), values.dtype.type(top))
+    padded = np.append(values, values.dtype.type(top))
+    ranges = lambda v, a, b: np.minimum.reduceat(v, np.stack((a, b), 1).ravel())[::2]
+    a, b = -(-start // BLOCK), stop // BLOCK
+    wide = a < b
+    found = np.full(len(start), top, values.dtype)
+    found[~wide] = ranges(padded, start[~wide], stop[~wide]) if not wide.all() else found[:0]
+    if wide.any():
+        s, e, a, b = start[wide], stop[wide], a[wide], b[wide]
+        least = ranges(whole, a, b)
+        head = np.where(s < a * BLOCK, ranges(padded, s, a * BLOCK), top)
+        tail = np.where(b * BLOCK < e, ranges(padded, np.minimum(b * BLOCK, len(values)), e), top)
+        found[wide] = np.minimum(np.minimum(least, head), tail)
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
+def _runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first byte, end) of the maximal runs of windows whose hash occurs twice or more; no other window
+    of these segments can repeat."""
+    n = len(data)
+    sums = np.zeros(n + 1, c.U)
+    np.cumsum(c.BYTE_HASH[data] * c.powers(n), out=sums[1:])
+    counts = np.maximum(np.diff(offsets) - length + 1, 0)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    at = np.arange(len(owner)) + np.repeat(offsets[:-1] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
+    h = (sums[at + length] - sums[at]) * c.powers(n, c.BASE_INVERSE)[at]
+    order = np.argsort(h, kind="stable")
+    first = c.starts_of(h[order])
+    times = np.diff(np.append(first, len(h)))
+    twice = np.zeros(len(h), bool)
+    twice[order] = np.repeat(times, times) > 1
+    at, owner = at[twice], owner[twice]
+    begin = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])))) if len(at) else at
+    return owner[begin], at[begin], (at[np.append(begin[1:], len(at)) - 1] + length if len(begin) else at)
+
+
 def _collection(length: int):
-    """Removed intervals that the sorted suffixes of one bucket's segments show."""
+    """Removed intervals that the sorted suffixes of one bucket's segments show. Of runs with equal bytes only the
+    earliest enters the collection; the others are removed."""
 
     def run(segments: pa.Table) -> pa.Table:
         ids, starts = segments.column("id").to_numpy(), segments.column("start").to_numpy()
-        data, offsets = c.buffers(segments.column("bytes").combine_chunks() if segments.num_rows else pa.array([], pa.binary()))
-        owner, size, common = sorted_suffixes(data, offsets, length)
-        full = size >= length
+        data, offsets = c.buffers(segments.column("bytes").combine_chunks())
+        of, begin, end = _runs(data, offsets, length)
+        ids, starts = ids[of], starts[of] + begin - offsets[of]
+        order = np.lexsort((starts, ids))
+        raw, least, gone = data.tobytes(), {}, []
+        for k in order.tolist():
+            kept = least.setdefault(raw[begin[k] : end[k]], k)
+            if kept != k and (ids[kept], starts[kept]) != (ids[k], starts[k]):
+                gone.append(k)
+        kept = np.array(list(least.values()), np.int64)
+        found_i, found_s, found_e = [ids[gone]], [starts[gone]], [starts[gone] + (end - begin)[gone]]
+        bounds = np.concatenate(([0], np.cumsum([len(x) for x in least]))).astype(np.int64)
+        owner, size, common = sorted_suffixes(np.frombuffer(b"".join(least), np.uint8), bounds, length)
         same = common >= length
-        inside = full & (same | np.append(same[1:], False))
-        at = np.flatnonzero(inside)
-        if not len(at):
-            return pa.Table.from_batches([], _HIT)
-        i, s = ids[owner[at]], starts[owner[at]] + (np.diff(offsets)[owner[at]] - size[at])
-        group = np.cumsum(~same[at])
-        order = np.lexsort((s, i, group))
-        i, s, group = i[order], s[order], group[order]
-        first = c.starts_of(group)
-        rank = np.repeat(first, np.diff(np.append(first, len(group))))
-        later = (i != i[rank]) | (s != s[rank])
-        i, s = i[later], s[later]
+        at = np.flatnonzero((size >= length) & (same | np.append(same[1:], False)[: len(same)]))
+        if len(at):
+            i, s = ids[kept[owner[at]]], starts[kept[owner[at]]] + (np.diff(bounds)[owner[at]] - size[at])
+            group = np.cumsum(~same[at])
+            order = np.lexsort((s, i, group))
+            i, s, group = i[order], s[order], group[order]
+            first = c.starts_of(group)
+            rank = np.repeat(first, np.diff(np.append(first, len(group))))
+            later = (i != i[rank]) | (s != s[rank])
+            found_i.append(i[later]), found_s.append(s[later]), found_e.append(s[later] + length)
+        i, s, e = np.concatenate(found_i), np.concatenate(found_s), np.concatenate(found_e)
         order = np.lexsort((s, i))
-        i, s = i[order], s[order]
-        new = np.ones(len(s), bool)
-        new[1:] = (i[1:] != i[:-1]) | (s[1:] > s[:-1] + length)
-        begin = np.flatnonzero(new)
-        stop = s[np.append(begin[1:], len(s)) - 1] + length if len(begin) else s
-        n = len(begin)
-        return pa.Table.from_batches([c.rows(_HIT, np.full(n, REMOVED, np.int32), i[begin], s[begin], (stop - s[begin]).astype(np.int32), np.zeros(n, np.int64))], _HIT)
+        i, s, e = _joined(i[order], s[order], e[order])
+        return pa.Table.from_batches([c.rows(_HIT, np.full(len(i), REMOVED, np.int32), i, s, (e - s).astype(np.int32), np.zeros(len(i), np.int64))], _HIT)
 
     return run
 
 
-def _apply():
+def _joined(i: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals (document, start, end), sorted, with neighbours that touch as one; some may still overlap."""
+    if not len(i):
+        return i, s, e
+    new = np.concatenate(([True], (i[1:] != i[:-1]) | (s[1:] > e[:-1])))
+    begin = np.flatnonzero(new)
+    return i[begin], s[begin], np.maximum.reduceat(e, begin)
+
+
+def _apply(as_text: bool):
     def run(texts: pa.Table, hits: pa.Table) -> pa.Table:
         ids, starts, sizes = (hits.column(k).to_numpy() for k in ("id", "start", "size"))
         order = np.lexsort((starts, ids))
         ids, starts, stops = ids[order], starts[order], starts[order] + sizes[order]
         own = texts.column("id").to_numpy()
         lo, hi = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
-        n_bytes, removed, s_all, e_all, kept = [], [], [], [], []
+        cols: list = [[], [], [], [], []]
         for d, text in enumerate(texts.column("text")):
             raw = text.as_buffer().to_pybytes()
             s, e = c.merged(starts[lo[d] : hi[d]], stops[lo[d] : hi[d]])
-            if len(s):
-                edges = np.concatenate(([0], np.stack((s, e), 1).ravel(), [len(raw)])).tolist()
-                raw_kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
-            else:
-                raw_kept = raw
-            n_bytes.append(len(raw)), removed.append(int((e - s).sum())), s_all.append(s), e_all.append(e), kept.append(raw_kept)
-        return pa.Table.from_batches([c.rows(_RESULT, own, n_bytes, removed, s_all, e_all, pa.array(kept, pa.binary()))], _RESULT)
+            edges = np.concatenate(([0], np.stack((s, e), 1).ravel(), [len(raw)])).tolist()
+            parts = [raw[a:b] for a, b in zip(edges[::2], edges[1::2])]
+            kept = "".join(x.decode("utf-8", "ignore") for x in parts) if as_text else b"".join(parts)
+            for col, v in zip(cols, (len(raw), int((e - s).sum()), s, e, kept)):
+                col.append(v)
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string() if as_text else pa.binary()]
+        arrays = [texts.column("id"), *[pa.array(v, k) for v, k in zip(cols, kinds)], texts.column("rest")]
+        return pa.table(arrays, names=[*_RESULT, "rest"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans and kept bytes of every document, of its text in UTF-8.
+def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False, keep: tuple = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, spans and kept bytes of every document, of its text in UTF-8, and `rest`, a
+    struct of the columns in `keep`. With `as_text`, kept is text, without characters that a removal cut.
 
     A byte goes if a string of `length` bytes covers it that also starts earlier: in a document with a smaller
     id, or in the same one further ahead. All strings are judged on the input. `spans` are the maximal runs of
@@ -306,12 +351,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     Null text: empty. Null id: behind all ids; rows that repeat an id do not remove the same place from each
     other. Other columns are ignored."""
-    if not GRAM <= length <= GRAM + 240:
+    if not GRAM <= length <= 250:
         raise ValueError("length")
     spark = docs.sparkSession
     c.bounded_batches(spark)
     texts = c.texts_of(docs, id_col, text_col)
-    n = c.block_count(texts, 16 << 20)
+    n = c.block_count(texts, 8 << 20)
     blocks = c.odd(n)
     hit = "kind int, id long, start long, size int, anchor long"
     parcels = texts.mapInArrow(_parcels(length, n, blocks), "kind int, key int, blob binary")
@@ -319,10 +364,15 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     c.release(spark)
     keyed = lambda df: df.withColumn("key", c.doc_block(F.col("id"), blocks)).groupBy("key")
     segment = "kind int, key int, id long, start long, size int, anchor long, bytes binary"
-    cut = durable(keyed(texts).cogroup(keyed(hits.where(F.col("kind") != REMOVED))).applyInArrow(_cut_out(length, n), segment))
+    asked = hits.where(F.col("kind") != REMOVED)
+    size = asked.agg(F.sum(F.col("size").cast("long") + length)).first()[0] or 0
+    cut = durable(keyed(texts).cogroup(keyed(asked)).applyInArrow(_cut_out(length, max(1, -(-size // COLLECTION_BYTES))), segment))
     c.release(spark)
     shared = durable(cut.where(F.col("kind") == COMPARE).groupBy("key").applyInArrow(_collection(length), hit))
     removed = hits.unionByName(shared).unionByName(cut.select(*shared.columns)).where(F.col("kind") == REMOVED)
-    found = keyed(texts).cogroup(keyed(removed)).applyInArrow(_apply(), "id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary")
+    rest = F.struct(*[F.col(k) for k in keep]) if keep else F.struct(F.lit(None).cast("int").alias("none"))
+    whole = docs.select(*c.text_columns(id_col, text_col), rest.alias("rest"))
+    schema = f"id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept {'string' if as_text else 'binary'}, rest {whole.schema['rest'].dataType.simpleString()}"
+    found = keyed(whole).cogroup(keyed(removed)).applyInArrow(_apply(as_text), schema)
     spans = F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end"))
-    return found.select(c.back_to_id().alias("doc_id"), "n_bytes", "n_removed", spans.alias("spans"), "kept")
+    return found.select(c.back_to_id().alias("doc_id"), "n_bytes", "n_removed", spans.alias("spans"), "kept", "rest")
