@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from fleetlens.llm import common as c
 
@@ -19,7 +20,6 @@ ORDERS = (1, 2, 3)
 SAMPLE_ROWS, LANDMARKS, RIDGE = 600, 50, 1e-3
 UNKNOWN = "und"
 _FEATURES = pa.schema([("lang", pa.string()), ("features", pa.binary())])
-_SCORED = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
 @lru_cache(1)
@@ -146,26 +146,45 @@ def fit(docs: DataFrame, may_learn: Column, sample_rows: int = SAMPLE_ROWS, land
     return Model.fit([r[0] for r in rows], [np.frombuffer(r[1], np.int32) for r in rows], landmarks)
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred and score (0 to 1) of every whole text; `und` with score 0 for a null text or one without
-    a letter, and for all without a model. Nothing but the text is used. Other columns are ignored."""
+def predict_rows(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows with all their columns, and lang_pred and score (0 to 1), which replace columns so named.
+
+    `und` with score 0 for a null text or one without a letter, and for all without a model. Nothing but the
+    text, as a whole, is used."""
     c.bounded_batches(docs.sparkSession)
+    docs = docs.drop("lang_pred", "score")
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in c.steps(batches):
-            found, letters = features(batch.column("text"))
-            if model is None:
-                letters[:] = False
-                names, scores = [UNKNOWN] * len(found), np.zeros(len(found))
-            else:
-                values = model.score(found)
-                best = values.argmax(1)
-                names = [model.langs[k] if ok else UNKNOWN for k, ok in zip(best, letters)]
-                scores = np.where(letters, np.clip((values.max(1) + 1) / 2, 0, 1), 0.0)
-            yield c.rows(_SCORED, batch.column("id"), names, scores)
-
-    found = c.texts_of(docs, id_col, text_col).mapInArrow(run, "id long, lang_pred string, score double")
-    return found.select(c.back_to_id().alias("doc_id"), "lang_pred", "score")
+        for batch in batches:
+            texts = batch.column(names.index(text_col)).fill_null("")
+            for at, found, letters in _found(texts):
+                if model is None:
+                    letters[:] = False
+                    labels, scores = [UNKNOWN] * len(found), np.zeros(len(found))
+                else:
+                    values = model.score(found)
+                    labels = [model.langs[k] if ok else UNKNOWN for k, ok in zip(values.argmax(1), letters)]
+                    scores = np.where(letters, np.clip((values.max(1) + 1) / 2, 0, 1), 0.0)
+                rows = batch.slice(at, len(found))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return docs.mapInArrow(run, schema)
+
+
+def _found(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+    """(first row, features, letters) of steps of a column."""
+    at = 0
+    for part in c.steps([pa.RecordBatch.from_arrays([texts], names=["text"])]):
+        yield (at, *features(part.column("text")))
+        at += part.num_rows
+
+
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred and score of every document, see `predict_rows`. Other columns are ignored."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return predict_rows(texts, model).select("doc_id", "lang_pred", "score")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -91,7 +91,8 @@ def read_seek_table(source) -> list[tuple[int, int, int]]:
 class _Bundle:
     """Writes one bundle; rows of its index collect meanwhile."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, frame_bytes: int):
+        self.frame_bytes = frame_bytes
         self.name = f"{folder}/bundle-{uuid.uuid4().hex}.warc.zst"
         store, path = _store(self.name)
         store.create_dir(path.rpartition("/")[0], recursive=True)
@@ -103,7 +104,7 @@ class _Bundle:
         self.index.append((page_id, self.name, len(self.frames), self.held, len(data)))
         self.buffer.append(data)
         self.held += len(data)
-        if self.held >= FRAME_BYTES:
+        if self.held >= self.frame_bytes:
             self.flush()
 
     def flush(self) -> None:
@@ -121,7 +122,7 @@ class _Bundle:
         return c.rows(_INDEX, *zip(*self.index))
 
 
-def _write(folder: str):
+def _write(folder: str, frame_bytes: int, bundle_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle = None
         for batch in batches:
@@ -130,9 +131,9 @@ def _write(folder: str):
                 page_id, url, _, digest, size, first = [None if k == 2 else r[k].as_py() for k in range(6)]
                 payload = r[2].as_buffer().to_pybytes()
                 kind = "response" if first is None or first == page_id else "revisit"
-                bundle = bundle or _Bundle(folder)
+                bundle = bundle or _Bundle(folder, frame_bytes)
                 bundle.add(page_id, record(page_id, url, payload, size, digest, first, kind))
-                if bundle.bytes >= BUNDLE_BYTES:
+                if bundle.bytes >= bundle_bytes:
                     yield bundle.close()
                     bundle = None
         if bundle:
@@ -151,7 +152,7 @@ def with_first(pages: DataFrame) -> DataFrame:
     return rows.join(several.select("digest", "first"), "digest", "left").select("page_id", "url", "payload", "digest", "size", "first")
 
 
-def write(pages: DataFrame, folder: str) -> DataFrame:
+def write(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Write the archives of all pages to bundles in `folder` and return the index, which is stored beside them.
 
     Of equal payloads the smallest page_id is a response and the others revisit it; below LEAST_PAYLOAD bytes
@@ -159,7 +160,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     repeat the smallest page_id are responses too. The index names the bundles that count: what a lost task
     left behind is in none of its rows."""
     c.bounded_batches(pages.sparkSession)
-    index = with_first(pages).mapInArrow(_write(folder), "page_id long, bundle string, frame int, offset int, size int")
+    index = with_first(pages).mapInArrow(_write(folder, frame_bytes, bundle_bytes), "page_id long, bundle string, frame int, offset int, size int")
     index.write.parquet(f"{folder}/index")
     return pages.sparkSession.read.parquet(f"{folder}/index")
 
