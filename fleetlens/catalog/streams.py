@@ -39,7 +39,16 @@ _FOUND = """select service_name, timestamp, 'health_check_failed' as type, 'CRIT
  union all select service_name, timestamp, 'high_error_rate', case when value/100 > 0.2*3 then 'CRITICAL' else 'WARNING' end, id from incident_events where type <> 'signup' and value/100 > 0.2"""
 
 
-@query("j1_detection_stream", "select service_name, type, timestamp, 'restart_container' as action_type from (" + _chain(_FOUND, ["service_name", "type"], 600) + ") q")
+# What the watermark of a stream over all events has passed at its end.
+_PASSED = "timestamp <= (select date_trunc('milliseconds', max(timestamp)) from incident_events) - interval 10 minute"
+
+
+def _passed(sql, columns="*"):
+    """The part of a chain that the watermark has passed; later rows do not change it."""
+    return f"select {columns} from ({sql}) q where {_PASSED}"
+
+
+@query("j1_detection_stream", _passed(_chain(_FOUND, ["service_name", "type"], 600), "service_name, type, timestamp, 'restart_container' as action_type"))
 def j1(spark, p):
     health = _events(spark, p).select(
         "service_name", "timestamp", (F.col("type") != "signup").alias("reachable"),
@@ -48,7 +57,7 @@ def j1(spark, p):
     return _drained(spark, st.detections(health, window_s=600)).select("service_name", "type", "timestamp", "action_type")
 
 
-@query("j2_dedupe_stream", _chain("select * from incident_events", ["type"], 600))
+@query("j2_dedupe_stream", _passed(_chain("select * from incident_events", ["type"], 600)))
 def j2_stream(spark, p):
     return _drained(spark, st.dedupe_stream(st.with_event_time(_events(spark, p)), ["type"], window_s=600)).select("id", "type", "timestamp")
 

@@ -5,8 +5,10 @@ Sources have timestamps without zone; watermarks need one, so `with_event_time`
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,30 +21,44 @@ from fleetlens.operators.stateful import Breaker, FirstPerWindow
 from fleetlens.schemas import BREAKER
 
 
+# Groups that `drop_late` spreads its rows over.
+LATE_PARTS = 1024
+
+
 def with_event_time(df: DataFrame, ts: str = "timestamp", delay: str = "10 minutes") -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
-def _stateful(machine, fields: list[str], keep_ms: int, flags: Sequence[str]):
-    """State function around a machine of `plans.replay`: sorts the rows a trigger brings for a key,
-    runs them and lets the state expire once it no longer matters."""
+def _stateful(machine, fields: list[str], keep_ms: int):
+    """State function around a machine of `plans.replay`. Rows wait in the state until the watermark has passed
+    them; then they run in (time, tie) order, so the result does not depend on how rows fall into triggers.
+    A timer fires for the earliest row that waits, and for a state that no longer matters."""
 
     def work(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
+        have, waiting = (json.loads(state.get[0]), state.get[1]) if state.exists else (machine.fresh(), None)
+        parts = [pickle.loads(waiting)] if waiting else []
+        parts += [b for b in batches if len(b)] if not state.hasTimedOut else []
+        mark = state.getCurrentWatermarkMs() * 1000
+        if not parts:
             state.remove()
             return
-        have = json.loads(state.get[0]) if state.exists else machine.fresh()
-        rows = pd.concat(list(batches), ignore_index=True)
-        rows = rows.sort_values(["_us", "_tie"], kind="stable")
-        us = rows["_us"].to_numpy()
-        have, got = machine.run(have, us, {c: rows[c].to_numpy() for c in machine.inputs})
-        state.update((json.dumps(have),))
-        expires = int(us[-1]) // 1000 + keep_ms
-        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-        out = rows[fields].copy()
-        for c, v in got.items():
-            out[c] = v
-        yield out
+        rows = (pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]).sort_values(["_us", "_tie"], kind="stable")
+        n = int(np.searchsorted(rows["_us"].to_numpy(), mark, "right"))
+        ready, rest = rows.iloc[:n], rows.iloc[n:]
+        if n:
+            us = ready["_us"].to_numpy()
+            have, got = machine.run(have, us, {c: ready[c].to_numpy() for c in machine.inputs})
+            out = ready[fields].copy()
+            for c, v in got.items():
+                out[c] = v
+            last = int(us[-1])
+        else:
+            last = mark
+        state.update((json.dumps(have), pickle.dumps(rest.reset_index(drop=True)) if len(rest) else None))
+        due = int(rest["_us"].iloc[0]) // 1000 + 1 if len(rest) else last // 1000 + keep_ms
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        if n:
+            yield out
 
     return work
 
@@ -51,14 +67,15 @@ def _run(df: DataFrame, keys, ts, tie, machine, keep_s: float) -> DataFrame:
     ready = df.withColumns({"_us": F.unix_micros(ts), "_tie": F.col(tie)})
     schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(machine.schema).fields])
     return ready.groupBy(*keys).applyInPandasWithState(
-        _stateful(machine, df.columns, int(keep_s * 1000), machine.outputs), schema, "state string", "append",
+        _stateful(machine, df.columns, int(keep_s * 1000)), schema, "state string, waiting binary", "append",
         GroupStateTimeout.EventTimeTimeout,
     )
 
 
 def dedupe_stream(df: DataFrame, keys: Sequence[str], ts: str = "timestamp", window_s: float = 60, tie: str = "id") -> DataFrame:
-    """Streaming `dedupe`; `df` has a watermark on `ts`. A trigger's rows of one key meet in one task, so
-    bound the trigger size at the source."""
+    """Streaming `dedupe`; `df` has a watermark on `ts`. A row is decided when the watermark has passed it, so
+    the last rows of a source that ends stay undecided, as windows stay open. The rows of one key that the
+    watermark has not passed are held in its state."""
     out = _run(df, keys, ts, tie, FirstPerWindow(window_s), window_s)
     return out.filter("emitted").drop("emitted")
 
@@ -67,7 +84,8 @@ def breaker_stream(
     df: DataFrame, max_actions=BREAKER["max_actions"], window_s=BREAKER["window_s"], cooldown_s=BREAKER["cooldown_s"],
     service="service_name", action="action_type", success="success", ts="timestamp", tie="id", keep_s: float = 86400,
 ) -> DataFrame:
-    """Streaming `breaker_replay`. The state of a service is kept `keep_s` after its last request."""
+    """Streaming `breaker_replay`, decided as in `dedupe_stream`. The state of a service is kept `keep_s` after
+    its last request."""
     ready = df.withColumns({"_kind": F.col(action), "_ok": F.coalesce(F.col(success), F.lit(False))})
     out = _run(ready, [service], ts, tie, Breaker(max_actions, window_s, cooldown_s), keep_s)
     return out.withColumn("opened_at", F.timestamp_micros("opened_us")).drop("_kind", "_ok", "opened_us")
@@ -93,9 +111,20 @@ def sliding_rates(df: DataFrame, size_s: int = 300, slide_s: int = 30, keys: Seq
 
 
 def drop_late(df: DataFrame, ts: str = "timestamp", delay: str = "168 hours", ids: Sequence[str] = ("id",)) -> DataFrame:
-    """Rows not older than `delay` behind the newest time seen, each id once."""
+    """Rows not older than `delay` behind the newest time of earlier triggers; rows that repeat an id stay.
+
+    Spark keeps rows behind the watermark from a state function, and this one passes the others on without
+    keeping a state. `ids` only spread the rows over tasks."""
     timed = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-    return timed.dropDuplicatesWithinWatermark(list(ids))
+    spread = timed.withColumn("_part", F.pmod(F.xxhash64(*ids), F.lit(LATE_PARTS)))
+
+    names = timed.columns
+
+    def work(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        for b in batches:
+            yield b[names]
+
+    return spread.groupBy("_part").applyInPandasWithState(work, timed.schema, "none int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def incident_sink(path: str):
