@@ -162,10 +162,9 @@ def k19(spark, p):
     return out.select("service", "timestamp", "failure_probability", "risk_level", F.transform("top_contributing_features", lambda c: c["feature"]).alias("top_features"))
 
 
-@query("k21_predict_hours", """select id, failure_probability, k as hour_ahead, timestamp '2024-01-31 00:00:00' + to_hours(k) as predicted_for from predictions, range(1, 7) r(k) where risk_level = 'high'""")
+@query("k21_predict_hours", """select id, failure_probability, k as hour_ahead, timestamp '2024-01-31 00:00:00' + to_hours(k) as predicted_for from predictions, range(1, 7) r(k)""")
 def k21(spark, p):
-    pr = t.predictions(spark, p).filter(F.col("risk_level") == "high")
-    return failure.predict_hours(pr, EV_NOW, 6).select("id", "failure_probability", "hour_ahead", "predicted_for")
+    return failure.predict_hours(t.predictions(spark, p), EV_NOW, 6).select("id", "failure_probability", "hour_ahead", "predicted_for")
 
 
 @query("f2_top_contributors", f"""with a as (select service_name, timestamp, abs(cpu_usage_percent) as c, abs(memory_usage_percent) as m, abs(error_rate) as e from metrics_wide),

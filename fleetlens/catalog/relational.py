@@ -315,8 +315,7 @@ join (select concat('svc_', user_id % 4) as service, ts, event_id, value, case e
     when 'purchase' then 'response_time' else 'disk_usage' end as metric_name from events) m
 on m.service = f.service and m.metric_name = f.metric_name and m.ts between f.predicted_timestamp - interval 5 minute and f.predicted_timestamp + interval 5 minute""")
 def c5(spark, p):
-    raw = t.metrics_long(spark, p).drop("timestamp").join(t.incident_events(spark, p).select(F.col("id").alias("event_id"), "timestamp"), "event_id")
-    m = jn.match_forecasts(t.forecasts(spark, p).drop("actual"), raw)
+    m = jn.match_forecasts(t.forecasts(spark, p).drop("actual"), t.metrics_long(spark, p, hourly=False))
     return m.select("service", "metric_name", "predicted_timestamp", "predicted_value", "event_id", "value")
 
 
@@ -334,7 +333,7 @@ left join newest n on n.incident_id = i.id and rn = 1 left join remediation_acti
 def c7(spark, p):
     inc, act = t.incidents(spark, p), t.remediation_actions(spark, p)
     li = t.table(spark, p, "lineitem")
-    ana = li.join(t.table(spark, p, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").select(
+    ana = li.select(
         F.col("l_orderkey").alias("incident_id"),
         F.concat(F.lit("cause "), F.col("l_linenumber").cast("string")).alias("root_cause"),
         F.col("l_shipdate").alias("analyzed_at"),

@@ -40,15 +40,12 @@ _FOUND = """select service_name, timestamp, 'health_check_failed' as type, 'CRIT
 
 
 # What the watermark of a stream over all events has passed at its end.
-_PASSED = "timestamp <= (select date_trunc('milliseconds', max(timestamp)) from incident_events) - interval 10 minute"
-
-
-def _passed(sql, columns="*"):
+def _passed(sql, columns="*", of="incident_events"):
     """The part of a chain that the watermark has passed; later rows do not change it."""
-    return f"select {columns} from ({sql}) q where {_PASSED}"
+    return f"select {columns} from ({sql}) q where timestamp <= (select date_trunc('milliseconds', max(timestamp)) from {of}) - interval 10 minute"
 
 
-@query("j1_detection_stream", _passed(_chain(_FOUND, ["service_name", "type"], 600), "service_name, type, timestamp, 'restart_container' as action_type"))
+@query("j1_detection_stream", _passed(_chain(_FOUND, ["service_name", "type"], 600), "service_name, type, timestamp, 'restart_container' as action_type", f"({_FOUND}) f"))
 def j1(spark, p):
     health = _events(spark, p).select(
         "service_name", "timestamp", (F.col("type") != "signup").alias("reachable"),

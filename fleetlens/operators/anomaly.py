@@ -22,7 +22,6 @@ from fleetlens.plans.quantiles import grouped_quantiles
 from fleetlens.session import durable
 
 NODES = "tree int, node int, feature int, cut double, low int, high int, depth int, size int"
-POOL = 20  # sampled rows per tree row wanted, over all trees
 
 
 def mean_path(n):
@@ -74,15 +73,25 @@ class Forest:
 
 
 def _sample(df: DataFrame, row_id: Sequence[str], n: int, trees: int, psi: int, seed: int) -> DataFrame:
-    """`psi` rows for each tree, as (tree, x)."""
-    share = min(1.0, POOL * psi / n)
-    here = F.pmod(F.xxhash64(F.lit(seed), *row_id), F.lit(1_000_000)) < int(share * 1_000_000)
-    pool = df.filter(here).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    pool = pool.withColumn("_h", F.xxhash64(F.lit(seed), "tree", *row_id))
+    """`psi` rows for each tree, as (tree, x): those with the smallest hashes among the rows dealt to the tree.
+
+    A row is dealt to as many trees as leave each about twice `psi` rows or more, one in a large table, so trees
+    share few rows; a 64-bit threshold keeps about twice `psi` of them before any are sorted."""
+    deals = min(trees, int(np.ceil(2 * trees * psi / n)))
+    share = min(1.0, 2 * psi * trees / (n * deals))
+    first = F.pmod(F.xxhash64(F.lit(seed), *row_id), F.lit(trees))
+    dealt = F.transform(F.sequence(F.lit(0), F.lit(deals - 1)), lambda k: ((first + k) % trees).cast("int"))
+    pool = df.withColumn("tree", F.explode(dealt)).withColumn("_h", F.xxhash64(F.lit(seed + 1), "tree", *row_id))
+    pool = pool.filter(F.col("_h") <= F.lit(sample_bound(share)))
     w = Window.partitionBy("tree").orderBy("_h", *row_id)
     return pool.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= psi).select("tree", "_h", "x")
 
 
+def sample_bound(share: float) -> int:
+    """The 64-bit hash below which `share` of all hashes lie."""
+    return min(int(share * 2**64) - 2**63, 2**63 - 1)
+
+
 def _vector(cols: Sequence[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in cols])
 
@@ -144,6 +153,8 @@ def fit_isolation_forest(
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
         x = np.stack(pdf.sort_values("_h")["x"].to_numpy())
+        if len(x) != psi:
+            raise ValueError(f"tree {tree} got {len(x)} of {psi} rows")
         got = grow(x, np.random.default_rng([seed, tree]), max_depth)
         out = pd.DataFrame(got, columns=["node", "feature", "cut", "low", "high", "depth", "size"])
         out.insert(0, "tree", tree)

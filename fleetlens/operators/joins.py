@@ -22,9 +22,10 @@ def _span(seconds: float):
 def recent_incidents(inc: DataFrame, act: DataFrame, as_of, hours: float = 24) -> DataFrame:
     """Incidents younger than `hours` with their number of actions, 0 without any.
 
-    Actions are counted before the join, so an incident with very many brings one row."""
+    Only actions of these incidents are counted, before the join, so an incident with very many brings one row."""
     fresh = inc.filter(F.col("timestamp") > before(as_of, hours=hours))
-    tries = act.groupBy(F.col("incident_id").alias("id")).agg(F.count("*").alias("remediation_attempts"))
+    mine = act.join(fresh.select(F.col("id").alias("incident_id")), "incident_id", "left_semi")
+    tries = mine.groupBy(F.col("incident_id").alias("id")).agg(F.count("*").alias("remediation_attempts"))
     return fresh.join(tries, "id", "left").withColumn(
         "remediation_attempts", F.coalesce("remediation_attempts", F.lit(0).cast("long"))
     )

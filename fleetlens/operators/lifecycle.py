@@ -65,7 +65,7 @@ def retrain_cycle(status: DataFrame, trainers: dict[str, Callable[[], dict]], fo
         why = "Forced retraining" if force else r["retrain_reason"]
         try:
             report.append({"model": r["model_name"], "status": "success", "reason": why, "result": trainers[r["model_name"]]()})
-        except ValueError as e:
+        except Exception as e:  # one model's failure, of whatever kind, does not end the cycle
             report.append({"model": r["model_name"], "status": "failed", "reason": str(e)})
     return report
 

@@ -43,5 +43,4 @@ def expire_days(spark, path: str, as_of, days: int, out: str) -> None:
     and only the day of the cutoff is filtered by row."""
     cutoff = before(as_of, days=days)
     kept = spark.read.parquet(path).filter((F.col("date") >= F.to_date(cutoff)) & (F.col("timestamp") >= cutoff))
-    spread = F.pmod(F.xxhash64("timestamp"), F.lit(8))
-    kept.repartition("date", spread).write.mode("overwrite").partitionBy("date").parquet(out)
+    kept.hint("rebalance", "date").write.mode("overwrite").partitionBy("date").parquet(out)

@@ -22,13 +22,13 @@ _hot_seen: dict[tuple, bool] = {}
 
 def has_hot_key(df: DataFrame, keys: Sequence[str], limit: int | None = MAX_ROWS_PER_TASK) -> bool:
     """True when some key has more than `limit` rows. One aggregate over the key columns; the answer is
-    remembered per plan, since it only chooses between two exact ways. `limit=None` says that the caller
+    remembered per plan and its files, since it only chooses between two exact ways. `limit=None` says that the caller
     has already bounded the rows of a key, 0 that a hot key is known."""
     if not keys or limit == 0:
         return True
     if limit is None:
         return False
-    memo = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), limit)
+    memo = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), hash(tuple(df.inputFiles())), tuple(keys), limit)
     if memo not in _hot_seen:
         _hot_seen[memo] = not (
             df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).isEmpty()

@@ -16,12 +16,11 @@ ALERT_SCHEMA = (
 
 
 def append_by_day(df: DataFrame, path: str, ts: str = "timestamp", keys: Sequence[str] = ()) -> None:
-    """Append rows under one folder per key and day. Rows of one day may go to several files, so that a
-    busy day is not written by one task."""
+    """Append rows under one folder per key and day. The number of files of a day follows its size: large ones
+    are split and small ones merged at run time."""
     out = df.withColumn("date", F.to_date(ts))
     parts = [*keys, "date"]
-    spread = F.pmod(F.xxhash64(ts), F.lit(8))
-    out.repartition(*parts, spread).write.mode("append").partitionBy(*parts).parquet(path)
+    out.hint("rebalance", *parts).write.mode("append").partitionBy(*parts).parquet(path)
 
 
 def append_metrics(df: DataFrame, path: str) -> None:
@@ -127,9 +126,9 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def incident_rows(detections: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Detections as incident rows. The id is a hash of the key, so a repeated batch gives the same ids."""
+    """Detections as incident rows. The id is a 128-bit digest of the key, so a repeated batch gives the same ids."""
     return detections.select(
-        F.xxhash64(*key, "type", "service_name").alias("id"),
+        F.md5(F.to_json(F.struct(*key, "type", "service_name"))).alias("id"),
         "timestamp",
         "type",
         "severity",

@@ -58,13 +58,13 @@ EVENT_METRICS = {
 LONG_METRICS = ["cpu_usage", "disk_usage", "error_rate", "memory_usage", "response_time"]
 
 
-def metrics_long(spark: SparkSession, path: str) -> DataFrame:
+def metrics_long(spark: SparkSession, path: str, hourly: bool = True) -> DataFrame:
     name = F.lit("disk_usage")
     for event, metric in EVENT_METRICS.items():
         name = F.when(F.col("event_type") == event, metric).otherwise(name)
     return table(spark, path, "events").select(
         _service("user_id", 4).alias("service"),
-        hour_start("ts").alias("timestamp"),
+        (hour_start("ts") if hourly else F.col("ts")).alias("timestamp"),
         name.alias("metric_name"),
         "value",
         "event_id",

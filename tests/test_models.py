@@ -126,3 +126,21 @@ def test_lifecycle(spark):
     runs = spark.createDataFrame([("cleanup", "2024-01-01 00:00:00")], "job string, at string").select("job", F.col("at").cast("timestamp_ntz").alias("started_at"))
     due = {r["job"]: r["due"] for r in lifecycle.due_jobs(runs, "2024-01-01 12:00:00").collect()}
     assert due == {"cleanup": False, "failure_check": True, "retrain_check": True}
+
+
+def test_sample_bound_does_not_vanish():
+    """A share far below one in a million keeps a threshold of its own."""
+    from fleetlens.operators.anomaly import sample_bound
+
+    assert sample_bound(1.0) == 2**63 - 1
+    share = 2 * 256 * 100 / 1e10  # of 1e10 rows
+    assert abs((sample_bound(share) + 2**63) / 2**64 / share - 1) < 1e-6
+
+
+def test_every_tree_is_full(spark):
+    from fleetlens.operators.anomaly import _sample
+
+    rows = spark.range(20_000).select("id", F.array(F.col("id").cast("double")).alias("x"))
+    for psi, trees in ((64, 100), (256, 10), (5000, 3)):
+        got = _sample(rows, ["id"], 20_000, trees, psi, 1).groupBy("tree").count().collect()
+        assert len(got) == trees and {r["count"] for r in got} == {psi}
