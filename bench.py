@@ -13,8 +13,8 @@ from fleetlens.session import local_session
 HEADLINE = [
     "flagship", "b1_search_incidents", "c1_recent_incidents", "c3_match_anomalies", "c6_label_next_hour", "d1_remediation_stats",
     "d2_metric_stats", "d11_percentile_all", "d18_evaluate_anomalies_fanout", "e1_rolling", "e10_counter_rate", "e13_action_counts",
-    "a2_export_range", "a8_resolve_incidents", "i1_i4_health_documents", "j2_dedupe", "j4_breaker_replay", "k1_extract_features",
-    "k11_fit_forecaster", "k16_failure_features", "l5_fallback_reports", "m3_retain_incidents",
+    "a1_append_metrics", "a2_export_range", "a8_resolve_incidents", "i10_all_rules", "i1_i4_health_documents", "j2_dedupe",
+    "j2_dedupe_stream", "j4_breaker_replay", "k1_extract_features", "k11_fit_forecaster", "k16_failure_features", "l5_fallback_reports", "m3_retain_incidents",
 ]
 
 
