@@ -87,7 +87,7 @@ def _parcels(length: int, buckets: int, blocks: int):
             anchor, whole, doc, starts, sizes = segments_of(*c.buffers(batch.column("text").cast(pa.binary())), length)
             first, later = _first_of_each(anchor, whole, ids[doc], starts, sizes)
             out = []
-            for kind, cols, keys in ((SEGMENTS, first, c.bucket_of(first[0], buckets).astype(np.int64)), (REMOVED, later, c.doc_block(later[2], blocks))):
+            for kind, cols, keys in ((SEGMENTS, first, c.bucket_of(c.mix(first[0]), buckets).astype(np.int64)), (REMOVED, later, c.doc_block(later[2], blocks))):
                 order = np.lexsort((cols[2], keys))
                 cols, keys = [x[order] for x in cols], keys[order]
                 for key, part in c.cut_by(keys):
@@ -165,7 +165,7 @@ def _cut_out(length: int, buckets: int):
         if not out:
             return pa.Table.from_batches([], _SEGMENT)
         kind, i, at, n, a, t = zip(*out)
-        keys = c.bucket_of(np.array(a, np.int64).view(c.U), buckets).astype(np.int32)
+        keys = c.bucket_of(c.mix(np.array(a, np.int64).view(c.U)), buckets).astype(np.int32)  # anchors are small hashes
         return pa.Table.from_batches([c.rows(_SEGMENT, kind, keys, i, at, n, a, t)], _SEGMENT)
 
     return run
@@ -369,6 +369,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     cut = durable(keyed(texts).cogroup(keyed(asked)).applyInArrow(_cut_out(length, max(1, -(-size // COLLECTION_BYTES))), segment))
     c.release(spark)
     shared = durable(cut.where(F.col("kind") == COMPARE).groupBy("key").applyInArrow(_collection(length), hit))
+    c.release(spark)
     removed = hits.unionByName(shared).unionByName(cut.select(*shared.columns)).where(F.col("kind") == REMOVED)
     rest = F.struct(*[F.col(k) for k in keep]) if keep else F.struct(F.lit(None).cast("int").alias("none"))
     whole = docs.select(*c.text_columns(id_col, text_col), rest.alias("rest"))
