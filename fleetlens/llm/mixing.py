@@ -61,7 +61,7 @@ def mix(docs: DataFrame, size: Column, weights: tuple = WEIGHTS, share: float =
     sizes = durable(docs.select(*keep, F.col("source").cast("string").alias("source"), size.alias("size")))
     plan = targets(sizes, weights, share, most)
     same = lambda a, b: a.eqNullSafe(b)
-    wide = sizes.join(F.broadcast(plan.withColumnRenamed("source", "of")), same(F.col("source"), F.col("of"))).drop("of")
+    wide = sizes.join(plan.withColumnRenamed("source", "of"), same(F.col("source"), F.col("of"))).drop("of")
     blocks = F.ceil(F.col("documents") / F.lit(BLOCK_ROWS))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     wide = wide.withColumn("block", _digest(name, 8) % blocks)

@@ -69,7 +69,8 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     length = lambda c: F.char_length(c).cast("long")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    bad = lambda x: ~x.rlike(TERMINAL) | x.rlike(NAVIGATION) | x.rlike(BOILERPLATE)
+    noisy = lambda x: 10 * (F.char_length(x) - F.char_length(F.translate(x, SYMBOLS, ""))) > F.char_length(x)
+    bad = lambda x: ~x.rlike(TERMINAL) | noisy(x) | x.rlike(NAVIGATION) | x.rlike(BOILERPLATE)
     found = docs.select("doc_id", text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"), lines.alias("lines"))
     kept_lines = F.filter("lines", lambda x: ~bad(x))
     return found.select(
@@ -85,7 +86,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def judge(docs: DataFrame, text_col: str = "text", least_words: int = 50, most_repeat: int = 50, most_lost: int = 50) -> DataFrame:
     """The counts of `measure`, base_failed, lost_chars and kept.
 
-    A line fails without an end mark, as navigation or as boilerplate, and goes. A document fails when it has
+    A line fails without an end mark, with more than a tenth of symbols, as navigation or as boilerplate, and goes. A document fails when it has
     fewer than `least_words` words, when more than `most_repeat` % of its words lie in repeated windows, or when
     more than `most_lost` % of its characters outside white space go with failed lines. `cleaned` is the rest."""
     m = measure(docs, text_col)

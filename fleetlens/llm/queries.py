@@ -94,6 +94,7 @@ lines as (select r, unnest(string_split(text, chr(10))) as l from d),
 good as (select r, l from lines where regexp_matches(l, '[^\x20\x09-\x0D]')),
 dup as (select r, count(*) - count(distinct l) as n_dup_lines,
   sum(case when not regexp_matches(l, '[.!?:;…。！？"''”’»)\]][ \t\n\f\r\v]*$')
+      or 10 * (length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g'))) > length(l)
       or regexp_matches(l, '^(?:[^|»›>\n]{{1,30}}[|»›>]){{2,}}|^[ \t\f\r\v]*(?:home|menu|next|previous|back|top)[ \t\f\r\v]*$')
       or regexp_matches(l, '(?i)lorem ipsum|javascript|cookie|terms of (use|service)|privacy policy|all rights reserved|copyright|subscribe|sign (in|up)|log ?in|click here|read more|share this|powered by')
     then length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) else 0 end) as lost from good group by r),
