@@ -7,7 +7,9 @@ classes are replaced by their longest pieces, and what remains is filled in best
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -22,7 +24,7 @@ from fleetlens.session import durable
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a Python worker keeps at hand; longer words are not kept.
-CACHED_WORDS, CACHED_CHARS = 600_000, 40
+CACHED_WORDS, CACHED_CHARS = 900_000, 40
 #: Classes of lengths in the program, rounds of the solver, and the share of its scarcest class a round may cover.
 CLASSES, ROUNDS, EPSILON = 96, 300, 0.5
 #: Pieces below this part of the capacity stay out of the program and fill what it leaves.
@@ -31,30 +33,47 @@ _PIECE = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int6
 
 
 class _Words(dict):
-    """Token ids, as bytes, of words between blanks. Tokens never reach over white space in these vocabularies."""
+    """Token ids, as bytes, of words between blanks. Tokens never reach over white space in these vocabularies.
+
+    A word of plain Latin letters, perhaps with marks behind it, is what the pre-tokenizer makes of it: its lower
+    case and the marks. The model takes such parts as they are, and they are kept for other words; any other
+    word goes through the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)").fullmatch
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
-        if len(word) <= CACHED_CHARS:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = ids
+        if len(word) > CACHED_CHARS:
+            return self.whole(word)
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        parts = self.plain(word)
+        if not parts:
+            ids = self.whole(word)
+        elif parts[2]:
+            ids = self[parts[1]] + self[parts[2]]
+        elif (lower := parts[1].lower()) != word:
+            ids = self[lower]
+        else:
+            letters = word if word.isascii() else self.tokenizer.pre_tokenizer.pre_tokenize_str(word)[0][0]
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+        self[word] = ids
         return ids
 
+    def whole(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
 
 _WORDS: dict[str, _Words] = {}
-_BLANKS = str.maketrans("\t\n\r", "   ")
 
 
 def token_ids(text: str, path: str) -> bytes:
     """Ids of a text as little-endian unsigned 32-bit numbers."""
     words = _WORDS.get(path) or _WORDS.setdefault(path, _Words(path))
-    return b"".join(map(words.__getitem__, text.translate(_BLANKS).split(" ")))
+    return b"".join(map(words.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
 def _cut(path: str, capacity: int, with_tokens: bool):
