@@ -152,7 +152,7 @@ def k17(spark, p):
 def _fitted(spark, p):
     # Boosting reads its rows many times.
     rows = durable(failure.training_set(t.metrics_long(spark, p), _errors(spark, p), EV_NOW, t.LONG_METRICS, hours=744))
-    return rows, failure.fit_failure_model(rows, rounds=8)
+    return rows, failure.fit_failure_model(rows)
 
 
 @query("k18_k20_failure_prediction")

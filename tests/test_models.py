@@ -1,5 +1,7 @@
 """Models: invariants, planted outliers, persistence and the lifecycle."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +146,21 @@ def test_every_tree_is_full(spark):
     for psi, trees in ((64, 100), (256, 10), (5000, 3)):
         got = _sample(rows, ["id"], 20_000, trees, psi, 1).groupBy("tree").count().collect()
         assert len(got) == trees and {r["count"] for r in got} == {psi}
+
+
+def test_registered_prediction_trains_every_round(spark, small, monkeypatch):
+    """K18 has 100 rounds; two stand for them here, to save time."""
+    from fleetlens.catalog import models
+
+    real, asked = failure.fit_failure_model, []
+
+    def spy(*args, **kwargs):
+        call = inspect.signature(real).bind(*args, **kwargs)
+        call.apply_defaults()
+        asked.append(call.arguments["rounds"])
+        call.arguments["rounds"] = 2
+        return real(*call.args, **call.kwargs)
+
+    monkeypatch.setattr(failure, "fit_failure_model", spy)
+    assert models.k19(spark, small).count() == 4
+    assert asked == [100]
