@@ -216,11 +216,33 @@ def j10(spark, p):
     return lifecycle.due_jobs(runs, INC_NOW, every, ["affected_service"]).select("affected_service", "job", "last_run", "due")
 
 
+def _train_forest(spark, p):
+    rows = _feature_rows(spark, p)
+    model = anomaly.fit_isolation_forest(rows, ft.feature_columns(rows), KEY)
+    scored = anomaly.score_isolation_forest(rows, model, [*KEY, "label"])
+    return model.stats | {"accuracy": anomaly.evaluate(scored).first()["accuracy"]}
+
+
+def _train_trees(spark, p):
+    facts = _fitted(spark, p)[1].metrics
+    return facts | {"accuracy": facts["train_accuracy"]}
+
+
+def _train_forecaster(spark, p):
+    facts = _model(spark, p).agg(F.count("*").alias("series"), F.avg("mae").alias("mae")).first().asDict()
+    if not facts["series"]:
+        raise ValueError("no series has enough samples")
+    return facts
+
+
 @query("k22_retrain_cycle")
 def k22(spark, p):
     """Decide for every model, train those due, and return the registry rows of the cycle."""
-    status = lifecycle.model_status(t.registry(spark, p), _log(spark, p), "2001-08-03 12:00:00")
-    trainers = {"forecaster": lambda: {"series": _model(spark, p).count()}}
-    report = lifecycle.retrain_cycle(status, trainers)
-    rows = [(r["model"], r["status"], r["reason"]) for r in report]
-    return spark.createDataFrame(rows, "model string, status string, reason string")
+    now, reg = "2001-08-03 12:00:00", t.registry(spark, p)
+    trainers = {
+        "anomaly_detector": lambda: _train_forest(spark, p),
+        "failure_predictor": lambda: _train_trees(spark, p),
+        "forecaster": lambda: _train_forecaster(spark, p),
+    }
+    report = lifecycle.retrain_cycle(lifecycle.model_status(reg, _log(spark, p), now), trainers, every=True)
+    return lifecycle.registry_rows(reg, report, now)

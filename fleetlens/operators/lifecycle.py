@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -54,11 +55,17 @@ def model_status(reg: DataFrame, log: DataFrame, as_of, names: Sequence[str] = t
     return should_retrain(out, as_of)
 
 
-def retrain_cycle(status: DataFrame, trainers: dict[str, Callable[[], dict]], force: bool = False) -> list[dict]:
-    """Train every model that is due (all with `force`) and report each outcome. One row per model is read."""
-    rows = status.filter(F.col("model_name").isin(list(trainers))).orderBy("model_name").collect()
+def retrain_cycle(status: DataFrame, trainers: dict[str, Callable[[], dict]], force: bool = False, every: bool = False) -> list[dict]:
+    """Train every model that is due (all with `force`) and report each outcome. One row per model is read.
+
+    Models without a trainer are left out, or reported as skipped with `every`."""
+    if not every:
+        status = status.filter(F.col("model_name").isin(list(trainers)))
     report = []
-    for r in rows:
+    for r in status.orderBy("model_name").collect():
+        if r["model_name"] not in trainers:
+            report.append({"model": r["model_name"], "status": "skipped", "reason": "No trainer"})
+            continue
         if not (force or r["should_retrain"]):
             report.append({"model": r["model_name"], "status": "skipped", "reason": r["retrain_reason"]})
             continue
@@ -70,6 +77,36 @@ def retrain_cycle(status: DataFrame, trainers: dict[str, Callable[[], dict]], fo
     return report
 
 
+# What each model is called in the registry.
+MODEL_TYPES = {"anomaly_detector": "isolation_forest", "failure_predictor": "boosted_trees", "forecaster": "seasonal_trend"}
+
+
+def registry_rows(reg: DataFrame, report: list[dict], as_of) -> DataFrame:
+    """One row per model of a cycle; a trained one has the registry row to append, with the next version.
+
+    A run of the registry is a version: a model's next one counts the runs up to `as_of` and itself.
+    Result facts other than accuracy and mae become JSON metadata."""
+    made = []
+    for r in report:
+        facts = r.get("result", {})
+        rest = {k: v for k, v in facts.items() if k not in ("accuracy", "mae")}
+        made.append((
+            r["model"], r["status"], r["reason"], MODEL_TYPES.get(r["model"]), facts.get("accuracy"), facts.get("mae"),
+            json.dumps(rest, default=str) if "result" in r else None,
+        ))
+    schema = "model_name string, status string, reason string, model_type string, accuracy double, mae double, metadata string"
+    done = reg.sparkSession.createDataFrame(made, schema)
+    runs = reg.filter(F.col("trained_at") <= moment(as_of)).groupBy("model_name").agg(F.count("*").alias("_runs"))
+    trained = F.col("status") == "success"
+    return done.join(runs, "model_name", "left").select(
+        F.col("model_name").alias("model"), "status", "reason",
+        F.when(trained, F.col("model_type")).alias("model_type"),
+        F.when(trained, F.coalesce("_runs", F.lit(0)) + 1).alias("version"),
+        "accuracy", "mae", "metadata",
+        F.when(trained, moment(as_of)).alias("trained_at"),
+    )
+
+
 def cycle_summary(report: list[dict]) -> dict:
     done = [r for r in report if r["status"] != "skipped"]
     return {"total": len(done), "successful": sum(r["status"] == "success" for r in done)}

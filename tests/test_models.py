@@ -164,3 +164,28 @@ def test_registered_prediction_trains_every_round(spark, small, monkeypatch):
     monkeypatch.setattr(failure, "fit_failure_model", spy)
     assert models.k19(spark, small).count() == 4
     assert asked == [100]
+
+
+def test_retrain_cycle_trains_and_registers_all_models(spark, small, monkeypatch):
+    from fleetlens.catalog import models
+
+    real = failure.fit_failure_model
+    monkeypatch.setattr(failure, "fit_failure_model", lambda df: real(df, rounds=2))
+    status = lifecycle.model_status(t.registry(spark, small), models._log(spark, small), "2001-08-03 12:00:00")
+    due = {r["model_name"] for r in status.filter("should_retrain").collect()}
+    rows = {r["model"]: r for r in models.k22(spark, small).collect()}
+    assert set(rows) == set(t.MODELS) and due == set(t.MODELS)
+    runs = {r["model_name"]: r["count"] for r in t.registry(spark, small).groupBy("model_name").count().collect()}
+    for name in ("anomaly_detector", "failure_predictor"):
+        assert rows[name]["status"] == "success" and 0 < rows[name]["accuracy"] <= 1
+        assert rows[name]["version"] == runs[name] + 1 and rows[name]["model_type"] == lifecycle.MODEL_TYPES[name]
+    # The smallest data has no series of 100 points, so nothing is registered for it.
+    assert rows["forecaster"]["status"] == "failed" and rows["forecaster"]["version"] is None
+
+
+def test_retrain_cycle_reports_models_without_trainer(spark, small):
+    from fleetlens.catalog import models
+
+    status = lifecycle.model_status(t.registry(spark, small), models._log(spark, small), "2001-08-03 12:00:00")
+    report = lifecycle.retrain_cycle(status, {"forecaster": lambda: {"mae": 1.0}}, every=True)
+    assert {r["model"]: r["status"] for r in report} == {"anomaly_detector": "skipped", "failure_predictor": "skipped", "forecaster": "success"}
