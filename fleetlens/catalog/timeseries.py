@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens.catalog.base import R, query
-from fleetlens.functions.numeric import fixed
+from fleetlens.catalog.operations import _replayed
+from fleetlens.functions.numeric import fixed, flag
 from fleetlens.operators import features as ft
 from fleetlens.operators import promlike as prom
 from fleetlens.operators import windows as win
+from fleetlens.plans.ordered import running
 from fleetlens.sources import tables as t
 
 KEY = ["service_name", "timestamp"]
@@ -208,6 +210,45 @@ def _samples(spark, p):
     return reqs.unionByName(g).unionByName(b)
 
 
+def _total(rows, metric, keys, steps):
+    """Samples of an ever growing counter with the labels `keys`: the sum of `steps` so far at every moment with rows."""
+    at = rows.groupBy(*keys, "timestamp").agg(F.sum(steps).alias("_n"))
+    labels = F.create_map(*[x for k in keys for x in (F.lit(k), F.col(k))])
+    grown = running(at, keys, ["timestamp"], sums={"_total": F.col("_n")})
+    return grown.select("timestamp", F.lit(metric).alias("metric"), labels.alias("labels"), F.col("_total").cast("double").alias("value"))
+
+
+def _gauge(rows, metric, labels, value):
+    """Samples of a gauge, the worst (largest) where several rows of a series share a moment."""
+    at = rows.groupBy(F.col("service_name").alias("service"), "timestamp").agg(value.alias("value"))
+    return at.select("timestamp", F.lit(metric).alias("metric"), labels.alias("labels"), F.col("value").cast("double").alias("value"))
+
+
+def _other_samples(spark, p):
+    """Samples of the metrics that `_samples` lacks, over whole tables. An event's value is its CPU seconds, a
+    `signup` stands for a failed poll, and of the services only svc_0 and svc_1 have a job."""
+    service = F.create_map(F.lit("service"), F.col("service"))
+    job = F.create_map(F.lit("service"), F.col("service"), F.lit("job"), F.lit("flask-app"))
+    e = t.incident_events(spark, p).withColumn("service", F.col("service_name"))
+    ra = t.remediation_actions(spark, p)
+    m = t.metrics_wide(spark, p)
+    parts = [
+        _total(e, "process_cpu_seconds_total", ["service"], F.col("value")),
+        _total(e, "database_errors_total", ["service"], flag(F.col("type") == "error")),
+        _total(ra, "remediation_actions_total", ["target", "action_type"], F.lit(1)),
+        _total(ra, "remediation_failures_total", ["target"], flag(~F.col("success"))),
+        _total(t.incidents(spark, p), "incidents_total", ["affected_service"], F.lit(1)),
+        _gauge(m, "process_resident_memory_bytes", service, F.max(F.col("memory_usage_mb") * 1e6)),
+        _gauge(m, "error_percent", service, F.max(F.col("error_rate") * 100)),
+        _gauge(e, "up", F.when(F.col("service").isin("svc_0", "svc_1"), job).otherwise(service), 1 - F.max(flag(F.col("type") == "signup"))),
+        _gauge(_replayed(spark, p), "circuit_breaker_state", service, F.max(flag(F.col("breaker_state") == "OPEN"))),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 @query("i10_gauge_rules", """with g as (select 'CPUExhaustion' as alert, service_name, timestamp, cpu_usage_percent as v, 90.0 as b, 'critical' as severity from metrics_wide
  union all select 'MemoryExhaustion', service_name, timestamp, memory_usage_percent, 85.0, 'warning' from metrics_wide
  union all select 'SlowResponses', service_name, timestamp, response_time_p95, 500.0, 'warning' from metrics_wide),
@@ -235,7 +276,8 @@ def i10_rate(spark, p):
 
 @query("i10_all_rules")
 def i10_all(spark, p):
-    out = prom.evaluate_rules(_samples(spark, p), step=300)
+    samples = _samples(spark, p).unionByName(_other_samples(spark, p))
+    out = prom.evaluate_rules(samples, step=300)
     return out.groupBy("alert", "state", "severity").agg(F.count("*").alias("evaluations"))
 
 

@@ -185,3 +185,17 @@ def test_response_edges(spark):
     assert got[1]["root_cause"] == got[2]["root_cause"] == "Unable to parse structured response"
     assert got[3]["json"] == "{}" and got[3]["root_cause"] is None
     assert got[5]["suggestions"] == ["a"] and got[5]["confidence"] == "high"
+
+
+def test_every_alert_rule_has_samples(spark, small):
+    """Each of the 15 rules is evaluated, over all rows of its tables."""
+    from fleetlens.catalog import timeseries as ts
+    from fleetlens.operators import promlike as prom
+
+    got = {r["alert"] for r in ts.i10_all(spark, small).select("alert").distinct().collect()}
+    assert got == {r[0] for r in prom.RULES} and len(got) == 15
+    last = {r["metric"]: r["n"] for r in ts._other_samples(spark, small).groupBy("metric", "labels").agg(F.max("value").alias("v")).groupBy("metric").agg(F.sum("v").alias("n")).collect()}
+    assert last["remediation_actions_total"] == t.remediation_actions(spark, small).count()
+    assert last["remediation_failures_total"] == t.remediation_actions(spark, small).filter("not success").count()
+    assert last["incidents_total"] == t.incidents(spark, small).count()
+    assert last["database_errors_total"] == t.incident_events(spark, small).filter("type = 'error'").count()
