@@ -61,9 +61,16 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return k / union if union else 1.0
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of a's shingles that b has, however much longer b is; 1 for an empty a."""
-    return _shared(a, b) / len(a) if len(a) else 1.0
+def containment(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float | None:
+    """Estimated share of a's shingles that b has, however much longer b is; 1 for an empty a.
+
+    A sketch without hashes below `fraction` holds its least hash alone, which a longer document's sketch does
+    not keep, so only hashes below it count. None where a has none there: it says nothing about b."""
+    if not len(a):
+        return 1.0
+    bound = c.U(int(fraction * 2**64))
+    low = a[a < bound]
+    return _shared(low, b[b < bound]) / len(low) if len(low) else None
 
 
 def _place(tops: np.ndarray):

@@ -160,6 +160,22 @@ def test_fingerprint_estimates():
     assert [len(s) for s in one] == [1, 1, 0]
 
 
+def test_containment_of_short_texts():
+    """A text without hashes below the threshold says nothing; one with some is found in a long text."""
+    import pyarrow as pa
+
+    bound = int(fingerprint.FRACTION * 2**64)
+    short = [" ".join(f"s{i}x{k}" for k in range(8)) for i in range(200)]
+    own = fingerprint.sketches(pa.array(short))
+    whole = fingerprint.sketches(pa.array([" ".join(short)]))[0]
+    none = [s for s in own if not (s < bound).any()]
+    some = [s for s in own if (s < bound).any()]
+    assert none and some
+    assert all(fingerprint.containment(s, whole) is None for s in none)
+    assert all(fingerprint.containment(s, whole) == 1.0 for s in some)
+    assert fingerprint.containment(whole[:0], whole) == 1.0
+
+
 def test_fingerprint_of_one_and_none(make):
     assert fingerprint.compare_neighbours(make([])).collect() == []
     rows = fingerprint.compare_neighbours(make([(None, "abcdef")])).collect()
