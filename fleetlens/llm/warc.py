@@ -191,7 +191,10 @@ def _read(with_payload: bool):
 
 def read(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """Every record of the bundles in the index; digests and sizes of responses are taken from what is stored."""
+    # A requested number of partitions, by the count of bundles: adaptive execution would merge a shuffle of
+    # short names into one task.
     bundles = index.select("bundle").distinct()
+    bundles = bundles.repartition(max(1, bundles.count()))
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     return bundles.mapInArrow(_read(with_payload), schema)
 

@@ -311,3 +311,11 @@ def test_warc_round_trip(spark, tmp_path):
         assert head["WARC-Record-ID"] == f"<urn:page:{'null' if r.page_id is None else r.page_id}>"
     assert len({(r.bundle, r.frame) for r in index.collect()}) > 1
     assert warc.read(warc.write(pages.limit(0), str(tmp_path / "e"))).collect() == []
+
+
+def test_bundles_are_read_by_a_task_each(spark, tmp_path):
+    pages = spark.range(12, numPartitions=4).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.col("id").cast("string"), 600).alias("html"))
+    index = warc.write(pages, str(tmp_path / "b"), frame_bytes=500, bundle_bytes=400)
+    bundles = index.select("bundle").distinct().count()
+    tasks = warc.read(index).select(F.spark_partition_id().alias("task")).distinct().count()
+    assert bundles > 3 and tasks == bundles
