@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chat, fingerprint, langid, mixing, ngram_join, packing, quality, substring, suffix, warc
+from fleetlens.llm import chat, fingerprint, langid, line_dedup, mixing, negatives, ngram_join, packing, quality, repair, substring, suffix, warc
 from fleetlens.llm.common import table
 from fleetlens.session import durable
 
@@ -202,3 +202,110 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, ~langid.held_out())
     return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op11_line_dedup",
+    r"""with d as (select row_number() over () as r, doc_id, coalesce(doc_id, 9223372036854775807) as id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select r, id, i, ls[i] as line, translate(trim(ls[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+  from (select r, id, ls, unnest(range(1, len(ls) + 1)) as i from d)),
+common as (select k, max(id) as last from l where length(k) >= 20 group by k having count(distinct id) >= 3),
+judged as (select l.*, coalesce(common.last <> l.id, false) as gone from l left join common on l.k = common.k),
+docs as (select r, count(*) as n_lines, count(*) filter (gone) as n_dropped, coalesce(string_agg(line, chr(10) order by i) filter (not gone), '') as kept from judged group by r)
+select doc_id, n_lines, n_dropped, sha256(kept) as kept_sha256 from docs join d on docs.r = d.r""",
+)
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the lines of 20 characters or more that three documents have."""
+    out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults planted by a checksum of conversation and turn. Nulls: one space."""
+    blank = F.lit(" ")
+    code = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank)).cast("binary")) % 20
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"), code.alias("code")).where("code <> 0")
+    text = F.when(F.col("code") == 1, "").when(F.col("code") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("code") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.col("code") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def _repair_sql() -> str:
+    """The same search row by row, each state with its cost, edits and rows; ties by the edits."""
+    least = lambda *options: f"list_sort(list_filter([{', '.join(options)}], lambda o: o is not null))[1]"
+    edit = lambda x, cost, e, row: f"case when {x} is not null then struct_pack(c := {x}.c + {cost}, e := {x}.e || '{e}', r := {x}.r || {row}) end"
+    add = lambda x, role: edit(x, 3, "I", f"['{role}:']")
+    on = lambda x, when: f"case when {when} then {x} end"
+    keep, change = "(case when fault = 'truncated' then 3 else 0 end)", "(case when fault = 'truncated' then 6 else 3 end)"
+    live = "coalesce(fault not in ('blank', 'duplicate'), true)"
+    kept = lambda x, initial: on(edit(x, keep, "K", "[role || ':' || text]"), f"{live} and role[1] = '{initial}'")
+    changed = lambda x, role: on(edit(x, change, "R", f"['{role}:' || text]"), live)
+    gone = lambda x: edit(x, 4, "D", "[]::varchar[]")
+    state = "struct(c bigint, e varchar, r varchar[])"
+    return rf"""with recursive
+bits as (select list(c order by n) as t from (select n, list_reduce(list_prepend(n, range(8)), lambda v, k: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end) as c from range(256) as x(n))),
+coded as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ascii(x)::bigint)),
+    lambda v, b: xor(v >> 8, bits.t[(xor(v, b) & 255) + 1])), 4294967295) % 20 as code from conversations, bits),
+dam as (select conv_id, turn, case when code = 4 then 'user' else role end as role,
+  case code when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case when code = 3 then 2 else 1 end)) as copy from coded where code <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i from dam),
+f as (select *, case when not regexp_matches(text, '[^ 	-]') then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+    when not regexp_matches(text, '[.!?][ 	-]*\z') then 'truncated' end as fault,
+  coalesce(left(lag(role) over (partition by conv_id order by i), 1) || left(role, 1) not in ('su', 'ua', 'au'), false) as illegal,
+  count(*) over (partition by conv_id) as n from o),
+s(conv_id, i, z, s, u, a) as (
+  select distinct conv_id, 0::bigint, struct_pack(c := 0::bigint, e := '', r := []::varchar[]), null::{state}, null::{state}, null::{state} from f
+  union all
+  select conv_id, i, {gone("z")}, {least(kept("z", "s"), gone("s"))},
+    {least(gone("u"), kept("z", "u"), kept("s", "u"), kept("a", "u"), changed("z", "user"), changed("s", "user"), changed("a", "user"))},
+    {least(gone("a"), kept("u", "a"), changed("u", "assistant"))}
+  from (select conv_id, i, z, s, u, {least("a", add("u", "assistant"))} as a, role, text, fault
+    from (select s.conv_id, f.i, s.z, s.s, {least("s.u", add("s.z", "user"), add("s.s", "user"), add("s.a", "user"))} as u, s.a, f.role, f.text, f.fault
+      from s join f on s.conv_id is not distinct from f.conv_id and f.i = s.i + 1))),
+ends as (select s.conv_id, {least("s.z", "s.a", add("s.u", "assistant"), add(f"({add('s.s', 'user')})", "assistant"))} as b
+  from s join (select distinct conv_id, n from f) as l on s.conv_id is not distinct from l.conv_id and s.i = l.n),
+g as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+  count(*) filter (fault = 'truncated') as truncated, count(*) filter (illegal) as illegal from f group by conv_id)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(b.c, 0)::bigint as cost, coalesce(b.e, '') as audit, sha256(coalesce(array_to_string(b.r, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) as c left join g on c.conv_id is not distinct from g.conv_id left join ends on c.conv_id is not distinct from ends.conv_id"""
+
+
+@query("op12_conversation_repair", _repair_sql())
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of damaged conversations and the cheapest edits that repair their order of roles."""
+    turns = table(spark, sf_dir, "conversations")
+    edits = repair.repair(damaged(turns))
+    of = lambda fault: F.count(F.when(F.col("fault") == fault, 1)).alias(fault)
+    steps = F.sort_array(F.collect_list(F.struct("step", "edit", F.when(F.col("edit") != repair.DELETE, F.concat("role", F.lit(":"), "text")).alias("row"))))
+    told = edits.groupBy("conv_id").agg(
+        F.coalesce(F.max("turn") - F.min("turn") + 1 - F.size(F.collect_set("turn")), F.lit(0)).cast("long").alias("gaps"), of("blank"), of("duplicate"), of("truncated"),
+        F.count(F.when(F.col("illegal"), 1)).alias("illegal"), F.sum(repair.edit_cost(F.col("edit"), F.col("fault"))).alias("cost"), steps.alias("steps"),
+    )
+    told = told.select(
+        F.col("conv_id").alias("of"), *[F.col(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.array_join("steps.edit", "").alias("audit"), F.array_join(F.filter("steps.row", lambda x: x.isNotNull()), "\n").alias("repaired"),
+    )
+    out = turns.select("conv_id").distinct().join(told, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    numbers = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce("repaired", F.lit("")), 256).alias("repaired_sha256"))
+
+
+@query(
+    "op13_hard_negatives",
+    """with r as (select row_number() over () as uid, vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end as label,
+  list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where label is not null and embedding is not null and list_count(embedding) = len(embedding) and len(list_filter(embedding, lambda x: not isfinite(x))) = 0),
+p as (select a.uid, a.vec_id as anchor_id, b.uid as other, b.vec_id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score from r a join r b on a.vec_id % 50 = 0 and a.uid <> b.uid),
+pos as (select *, row_number() over (partition by uid order by score desc, vec_id, other) as k from p where same qualify k <= 5),
+neg as (select pos.anchor_id, pos.vec_id as positive_id, row_number() over (partition by pos.uid, pos.k order by p.score desc, p.vec_id, p.other) as rank, p.vec_id as negative_id,
+  pos.score as positive_score, p.score as negative_score from pos join p on pos.uid = p.uid and not p.same and 50 * pos.score <= 100 * p.score and 100 * p.score <= 95 * pos.score qualify rank <= 3)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from neg""",
+)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, with some labels moved on by one."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return negatives.hard_negatives(rows.select("vec_id", moved.alias("label"), "embedding"))

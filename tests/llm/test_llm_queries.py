@@ -21,7 +21,7 @@ def test_query_equals_its_sql(spark, small, name):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in oracle_sql()
 
 
