@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.dates import moment, seconds_between
-from fleetlens.plans.replay import replay
+from fleetlens.plans.replay import JumpTable, replay
 from fleetlens.schemas import BREAKER
 
 SECOND = 1_000_000
@@ -33,8 +33,11 @@ class FirstPerWindow:
     def settle(self, state, us):
         return None if state is None or state <= us else state
 
+    def exits(self):
+        return JumpTable(max(int(self.window_s * SECOND), 1))
+
     def run(self, state, us, cols):
-        w = int(self.window_s * SECOND)
+        w = max(int(self.window_s * SECOND), 1)
         ok = np.zeros(len(us), dtype=bool)
         i = 0 if state is None else int(np.searchsorted(us, state))
         after = np.searchsorted(us, us + w)
@@ -109,6 +112,28 @@ class Breaker:
         return left, dict(zip(self.outputs, (allowed, why, states, fails, recent, open_us)))
 
 
+@dataclass(frozen=True)
+class Increments:
+    """Growth of a counter since its former sample; the value itself after a reset. The state is the last value."""
+
+    inputs = ("_value",)
+    outputs = ("increment",)
+    schema = "increment double"
+
+    def fresh(self):
+        return None
+
+    def settle(self, state, us):
+        return state
+
+    def run(self, state, us, cols):
+        v = cols["_value"].astype(float)
+        before = np.concatenate(([np.nan if state is None else state], v[:-1]))
+        grown = np.where(v < before, v, v - before)
+        grown[np.isnan(before)] = 0.0
+        return (float(v[-1]) if len(v) else state), {"increment": grown}
+
+
 def dedupe(df: DataFrame, keys: Sequence[str], ts: str = "timestamp", window_s: float = 60, ties=("id",), **how) -> DataFrame:
     """Rows whose key last emitted a row at least `window_s` ago; suppressed rows do not move the clock."""
     return replay(df, keys, ts, ties, FirstPerWindow(window_s), **how).filter("emitted").drop("emitted")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from fleetlens.session import MAX_ROWS_PER_TASK, durable
 
 BLOCK = "_block"
+BLOCK_BYTES = 256 << 20
 
 _hot_seen: dict[tuple, bool] = {}
 
@@ -42,10 +43,16 @@ def settle(df: DataFrame, keys: Sequence[str], how: dict) -> dict:
     return {**how, "limit": 0 if hot else None}
 
 
+def block_number(df: DataFrame) -> int:
+    """Blocks of about BLOCK_BYTES by Spark's own size estimate, at least the session's shuffle partitions."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
+
+
 def ordered_blocks(df: DataFrame, keys: Sequence[str], by: Sequence[str], blocks: int | None = None) -> DataFrame:
     """Range-partition and sort by (keys, by); `_block` numbers the partitions in that order. Checkpointed,
     because range bounds come from a sample and must not move between the passes that use them."""
-    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = blocks or block_number(df)
     cols = [*keys, *by]
     return durable(
         df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).withColumn(BLOCK, F.spark_partition_id())

@@ -5,10 +5,17 @@ the next rows of one key as numpy arrays and returns the new state and the outpu
 `settle(state, time)` reduces a state to what still matters at a time (None when nothing does).
 
 Small keys: the rows are hashed by key, sorted, and each task streams its keys batch by batch.
-Hot keys: the rows are range-partitioned by (key, time), so one key spans many tasks. Each block is run
-from a fresh state first; then every block whose true entry state differs is run again, all of them at
-once, until no entry changes. Block i is right after at most i rounds; rules that forget, as these do,
-usually need one or two. A task holds one batch of rows, never a key.
+Hot keys: the rows are range-partitioned by (key, time), so one key spans many tasks, and written once. What
+remains is the state in which each block is entered:
+
+* A machine with `exits()` describes a block as a function from the state at its entry to the one at its exit. One pass
+  over the rows makes these functions, all blocks at once; composing them in order reads no rows. With the final
+  pass that is three passes in all, whatever the data.
+* For other machines every block is run from a fresh state, then once more from the state that the block before it
+  leaves. Rules that forget are settled by then. Keys that are not pass through one task each, as a stream of the
+  machine's input columns alone. With writing and the final pass that is five passes at most.
+
+A task holds one batch of rows, and of a block's function one entry per row of its first window at most.
 """
 
 from __future__ import annotations
@@ -94,12 +101,150 @@ def _scan(machine, entries: dict[int, str]):
     return work
 
 
+class JumpTable:
+    """The function of a block for machines whose state is a time from which rows pass again.
+
+    Every row of the block's first window may be the first to pass. Their chains of passing rows are followed
+    together; chains that meet in a row stay together from then on, so they become one. `bounds` and `exits` say:
+    entered with a state up to bounds[i], the block is left with exits[i]."""
+
+    def __init__(self, width: int):
+        self.width, self.first, self.closed = width, None, False
+        self.starts, self.chain, self.until = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def feed(self, us: np.ndarray) -> None:
+        """The next rows of the key, in time order."""
+        us = us.astype(np.int64)
+        if self.first is None:
+            self.first = int(us[0])
+        if not self.closed:
+            # Up to the first row that no state at the entry can hold back.
+            end = int(np.searchsorted(us, self.first + self.width))
+            self.closed = end < len(us)
+            new = np.unique(us[: end + 1])
+            new = new[np.searchsorted(new, self.starts[-1], "right") :] if len(self.starts) else new
+            self.chain = np.concatenate((self.chain, len(self.until) + np.arange(len(new))))
+            self.starts, self.until = np.concatenate((self.starts, new)), np.concatenate((self.until, new + self.width))
+        self._follow(us)
+
+    def _follow(self, us: np.ndarray) -> None:
+        last = int(us[-1])
+        while True:
+            self.until, same = np.unique(self.until, return_inverse=True)
+            self.chain = same[self.chain]
+            behind = int(np.searchsorted(self.until, last, "right"))
+            if not behind:
+                return
+            self.until[:behind] = us[np.searchsorted(us, self.until[:behind])] + self.width
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        exits = self.until[self.chain]
+        ends = np.append(np.flatnonzero(exits[1:] != exits[:-1]), len(exits) - 1)
+        return self.starts[ends], exits[ends]
+
+    @staticmethod
+    def leave(state: int | None, bounds: np.ndarray, exits: np.ndarray) -> int:
+        """The state at the exit for the one at the entry. Without bounds it is always the same."""
+        if state is None or not len(bounds):
+            return int(exits[0])
+        i = int(np.searchsorted(bounds, state))
+        return int(exits[i]) if i < len(bounds) else state
+
+
+def _tables(machine):
+    """(key, block, whether its entry is asked for, time of the first row, function): one row for a block of one
+    key, two for others: one asks for the entry of the first key, one tells what the last key leaves."""
+
+    def work(batches):
+        block = first = key = state = None
+        table, at = machine.exits(), 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys, us = pdf[KEY].to_numpy(), pdf[TIME].to_numpy()
+            for a, b in _runs(keys):
+                if first is None:
+                    block, first, key, at = int(pdf[BLOCK].iloc[0]), keys[a], keys[a], int(us[a])
+                elif keys[a] != key:
+                    key, state = keys[a], machine.fresh()
+                if key == first:
+                    table.feed(us[a:b])
+                else:
+                    state, _ = machine.run(state, us[a:b], {})
+        if first is None:
+            return
+        if key == first:
+            rows = [(key, block, True, at, *table.result())]
+        else:
+            rows = [(first, block, True, at, [], []), (key, block, False, 0, [], [state])]
+        yield pd.DataFrame(rows, columns=["key", "block", "asks", "first_us", "bounds", "exits"])
+
+    return work
+
+
+def _compose(machine):
+    def work(batches):
+        key = state = None
+        for pdf in batches:
+            found = []
+            for k, block, asks, at, bounds, exits in pdf.itertuples(index=False, name=None):
+                if k != key:
+                    key, state = k, None
+                left = machine.settle(state, at) if asks and state is not None else None
+                if left is not None:
+                    found.append((block, json.dumps(left)))
+                if len(exits):
+                    state = JumpTable.leave(left if asks else None, bounds, exits)
+            if found:
+                yield pd.DataFrame(found, columns=["block", "entry"])
+
+    return work
+
+
+TABLES, ENTRIES = "key string, block int, asks boolean, first_us long, bounds array<long>, exits array<long>", "block int, entry string"
+
+
+def _composed_entries(slim: DataFrame, machine) -> dict[int, str]:
+    """Entry states by composing the functions of the blocks of each key in order."""
+    tables = slim.mapInPandas(_tables(machine), TABLES)
+    in_order = tables.repartition("key").sortWithinPartitions("key", "block")
+    return {r["block"]: r["entry"] for r in in_order.mapInPandas(_compose(machine), ENTRIES).collect()}
+
+
+def _chain(machine):
+    """The entry of every block of the keys at hand, from all their rows in order."""
+
+    def work(batches):
+        key = block = state = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys, us, blocks = pdf[KEY].to_numpy(), pdf[TIME].to_numpy(), pdf[BLOCK].to_numpy()
+            found = []
+            for a, b in _runs(keys):
+                if keys[a] != key:
+                    key, block, state = keys[a], None, machine.fresh()
+                cuts = [a, *(a + 1 + np.flatnonzero(blocks[a + 1 : b] != blocks[a : b - 1])).tolist(), b]
+                for i, j in zip(cuts, cuts[1:]):
+                    if blocks[i] != block:
+                        block = blocks[i]
+                        left = machine.settle(state, int(us[i]))
+                        if left is not None:
+                            found.append((int(block), json.dumps(left)))
+                    state, _ = machine.run(state, us[i:j], {c: pdf[c].to_numpy()[i:j] for c in machine.inputs})
+            if found:
+                yield pd.DataFrame(found, columns=["block", "entry"])
+
+    return work
+
+
 SCAN = "block int, first_key string, first_us long, last_key string, leaves string"
 
 
-def _settle_entries(cut: DataFrame, machine, keep: Sequence[str]) -> dict[int, str]:
+def _settle_entries(slim: DataFrame, machine, rounds: int = 2) -> dict[int, str]:
     """Entry state of every block that does not start fresh. One small row per block reaches the driver."""
-    slim = cut.select(*keep)
+    if hasattr(machine, "exits"):
+        return _composed_entries(slim, machine)
 
     def scan(entries, only=None):
         rows = slim if only is None else slim.filter(F.col(BLOCK).isin(only))
@@ -108,6 +253,7 @@ def _settle_entries(cut: DataFrame, machine, keep: Sequence[str]) -> dict[int, s
     entries: dict[int, str] = {}
     seen = scan(entries)
     while True:
+        rounds -= 1
         changed, before = [], None
         for b in sorted(seen):
             r, want = seen[b], None
@@ -120,7 +266,15 @@ def _settle_entries(cut: DataFrame, machine, keep: Sequence[str]) -> dict[int, s
             before = r
         if not changed:
             return entries
+        if not rounds:
+            break
         seen |= scan(entries, changed)
+    # At most one key per block is left over.
+    open_keys = sorted({seen[b]["first_key"] for b in changed})
+    rest = slim.withColumn("_at", F.monotonically_increasing_id()).filter(F.col(KEY).isin(open_keys))
+    told = rest.repartition(KEY).sortWithinPartitions(KEY, "_at").mapInPandas(_chain(machine), ENTRIES).collect()
+    entries = {b: e for b, e in entries.items() if seen[b]["first_key"] not in open_keys}
+    return entries | {r["block"]: r["entry"] for r in told}
 
 
 def replay(
@@ -140,5 +294,5 @@ def replay(
         rows = ready.repartition(KEY).sortWithinPartitions(KEY, *by)
         return rows.mapInPandas(_emit(machine, {}, df.columns), schema)
     cut = ordered_blocks(ready, [KEY], by, blocks)
-    entries = _settle_entries(cut, machine, [BLOCK, KEY, TIME, *[c for c in machine.inputs]])
+    entries = _settle_entries(cut.select(BLOCK, KEY, TIME, *machine.inputs), machine)
     return cut.mapInPandas(_emit(machine, entries, df.columns), schema)

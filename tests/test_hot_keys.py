@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from fleetlens.operators import joins as jn
 from fleetlens.operators import promlike as prom
 from fleetlens.operators import stateful
 from fleetlens.operators import windows as win
+from fleetlens.plans import replay as rp
 from fleetlens.plans.ordered import running
 from fleetlens.plans.quantiles import grouped_quantiles
 from fleetlens.sources import tables as t
@@ -131,6 +133,55 @@ def test_dedupe_edges(spark):
     assert sorted(r["id"] for r in stateful.dedupe(df, ["type"]).collect()) == [0, 2, 4]
 
 
+@pytest.fixture
+def passes(monkeypatch):
+    """How often each kind of pass over the rows was planned."""
+    seen = {}
+    for name in ("_tables", "_compose", "_scan", "_chain", "_emit"):
+        def counted(*a, real=getattr(rp, name), name=name):
+            seen[name] = seen.get(name, 0) + 1
+            return real(*a)
+
+        monkeypatch.setattr(rp, name, counted)
+    return seen
+
+
+def dense(spark, per_window, window=60, windows=24):
+    r = random.Random(per_window)
+    at = sorted(r.random() * window * windows for _ in range(per_window * windows))
+    data = [(i, "hot", T0 + timedelta(microseconds=int(x * 1e6)), r.random() < 0.6, r.choice(["restart", "scale"])) for i, x in enumerate(at)]
+    return spark.createDataFrame(data, "id long, service_name string, timestamp timestamp_ntz, success boolean, action_type string").cache()
+
+
+@pytest.mark.parametrize("per_window", [500, 2000])
+def test_passes_over_a_dense_key(spark, passes, per_window):
+    """Sixteen blocks of one key: the number of passes does not follow the number of blocks."""
+    df = dense(spark, per_window)
+    hot = {"limit": 0, "blocks": 16}
+    got = sorted(r["id"] for r in stateful.dedupe(df, ["service_name"], window_s=60, **hot).collect())
+    assert got == greedy(df.collect(), lambda r: r["service_name"], 60)
+    assert passes == {"_tables": 1, "_compose": 1, "_emit": 1}  # besides writing the blocks
+    passes.clear()
+    got = {r["id"]: (r["allowed"], r["denied_by"], r["breaker_state"], r["failure_count"]) for r in stateful.breaker_replay(df, 3, 300, 120, **hot).collect()}
+    assert got == {r["id"]: (r["allowed"], r["denied_by"], r["breaker_state"], r["failure_count"]) for r in stateful.breaker_replay(df, 3, 300, 120).collect()}
+    assert passes["_scan"] <= 2 and passes.get("_chain", 0) <= 1
+
+
+def test_block_functions(monkeypatch):
+    """A block entered with any state is left with what running it from there leaves, however batches fall."""
+    r = random.Random(9)
+    for _ in range(60):
+        machine = stateful.FirstPerWindow(r.choice([1, 10, 60]))
+        us = np.sort(np.array([r.randrange(0, r.choice([50, 400])) * 1_000_000 for _ in range(r.randint(1, 120))]))
+        table = machine.exits()
+        cuts = sorted({0, len(us), *[r.randrange(len(us)) for _ in range(3)]})
+        for a, b in zip(cuts, cuts[1:]):
+            table.feed(us[a:b])
+        bounds, exits = table.result()
+        for state in [None, *range(int(us[0]) - 1, int(us[0]) + int(machine.window_s * 1e6) + 1, 500_000)]:
+            assert rp.JumpTable.leave(state, bounds, exits) == machine.run(state, us, {})[0]
+
+
 def breaker_model(data, max_actions, window, cooldown):
     """Row by row, from the rules in words."""
     state, out = {}, {}
