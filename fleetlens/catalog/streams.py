@@ -6,8 +6,9 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from fleetlens.catalog.base import R, query
-from fleetlens.catalog.operations import _chain
+from fleetlens.catalog import timeseries  # noqa: F401  (its twin is used here)
+from fleetlens.catalog.base import SQL, R, query
+from fleetlens.catalog.operations import _BREAKER, _chain
 from fleetlens.functions.numeric import fixed
 from fleetlens.session import checkpoint_dir
 from fleetlens.sources import tables as t
@@ -27,9 +28,22 @@ def _events(spark, p):
     )
 
 
-def _drained(spark, df):
-    home = f"{checkpoint_dir(spark)}/stream-{uuid4().hex}"
-    out = st.drain(df, f"{home}/out", f"{home}/state").drop("batch")
+def _delay(spark, p) -> str:
+    """A watermark delay that drops no row of the table, however its files lie."""
+    return f"{max(600, st.largest_disorder(t.table(spark, p, 'events'), 'ts'))} seconds"
+
+
+def _home(spark) -> str:
+    return f"{checkpoint_dir(spark)}/stream-{uuid4().hex}"
+
+
+def _timed(spark, p, home, rows):
+    """A stream over the whole table that `_drained` ends, with its watermark."""
+    return st.with_event_time(st.until_end(rows, f"{home}/end"), delay=_delay(spark, p))
+
+
+def _drained(df, home, end=True):
+    out = st.drain(df, f"{home}/out", f"{home}/state", end=f"{home}/end" if end else None, may_drop=False).drop("batch")
     return out.withColumns({f.name: F.col(f.name).cast("timestamp_ntz") for f in out.schema if f.dataType.typeName() == "timestamp"})
 
 
@@ -39,47 +53,75 @@ _FOUND = """select service_name, timestamp, 'health_check_failed' as type, 'CRIT
  union all select service_name, timestamp, 'high_error_rate', case when value/100 > 0.2*3 then 'CRITICAL' else 'WARNING' end, id from incident_events where type <> 'signup' and value/100 > 0.2"""
 
 
-# What the watermark of a stream over all events has passed at its end.
-def _passed(sql, columns="*", of="incident_events"):
-    """The part of a chain that the watermark has passed; later rows do not change it."""
-    return f"select {columns} from ({sql}) q where timestamp <= (select date_trunc('milliseconds', max(timestamp)) from {of}) - interval 10 minute"
-
-
-@query("j1_detection_stream", _passed(_chain(_FOUND, ["service_name", "type"], 600), "service_name, type, timestamp, 'restart_container' as action_type", f"({_FOUND}) f"))
+@query("j1_detection_stream", f"select service_name, type, timestamp, 'restart_container' as action_type from ({_chain(_FOUND, ['service_name', 'type'], 600)}) q")
 def j1(spark, p):
     health = _events(spark, p).select(
         "service_name", "timestamp", (F.col("type") != "signup").alias("reachable"),
         F.col("value").alias("cpu_usage_percent"), (F.col("value") / 100).alias("error_rate"),
     )
-    return _drained(spark, st.detections(health, window_s=600)).select("service_name", "type", "timestamp", "action_type")
+    home = _home(spark)
+    out = st.detections(health, _delay(spark, p), window_s=600, end=f"{home}/end")
+    return _drained(out, home).select("service_name", "type", "timestamp", "action_type")
 
 
-@query("j2_dedupe_stream", _passed(_chain("select * from incident_events", ["type"], 600)))
+@query("j2_dedupe_stream", _chain("select * from incident_events", ["type"], 600))
 def j2_stream(spark, p):
-    return _drained(spark, st.dedupe_stream(st.with_event_time(_events(spark, p)), ["type"], window_s=600)).select("id", "type", "timestamp")
+    home = _home(spark)
+    return _drained(st.dedupe_stream(_timed(spark, p, home, _events(spark, p)), ["type"], window_s=600), home).select("id", "type", "timestamp")
 
 
-@query("j4_breaker_stream")
+@query("j4_breaker_stream", _BREAKER.replace("type in ('error', 'click') as restart", "true as restart")
+    + "select id, service_name, timestamp, why is null as allowed, why as denied_by, st as breaker_state, failures as failure_count, make_timestamp(opened) as opened_at from k where n > 0")
 def j4_stream(spark, p):
     e = _events(spark, p).select("id", "timestamp", "service_name", F.lit("restart_container").alias("action_type"), (F.col("value") < 30).alias("success"))
-    return _drained(spark, st.breaker_stream(st.with_event_time(e), window_s=3600, cooldown_s=1200))
+    home = _home(spark)
+    out = _drained(st.breaker_stream(_timed(spark, p, home, e), window_s=3600, cooldown_s=1200), home)
+    return out.select("id", "service_name", "timestamp", "allowed", "denied_by", "breaker_state", "failure_count", "opened_at")
 
 
-@query("j7_live_metrics", f"""with w as (select service_name, time_bucket(interval 2 second, timestamp) as window_start, count(*) as total_requests, count(*) filter (type = 'error') as total_errors,
-  {R("avg(value)", 2)} as avg_value, {R("count(*) filter (type = 'error')/count(*)")} as error_rate from incident_events group by 1, 2)
-select * from w where window_start + interval 2 second <= (select date_trunc('milliseconds', max(timestamp)) from incident_events) - interval 10 minute""")
+@query("j7_live_metrics", f"""select service_name, time_bucket(interval 2 second, timestamp) as window_start, count(*) as total_requests, count(*) filter (type = 'error') as total_errors,
+  {R("avg(value)", 2)} as avg_value, {R("count(*) filter (type = 'error')/count(*)")} as error_rate from incident_events group by 1, 2""")
 def j7(spark, p):
-    return _drained(spark, st.live_metrics(st.with_event_time(_events(spark, p)), "2 seconds"))
+    home = _home(spark)
+    return _drained(st.live_metrics(_timed(spark, p, home, _events(spark, p)), "2 seconds"), home)
 
 
-@query("j8_sliding_rates", f"""with s as (select service_name, type, unnest(range(cast(floor(epoch_us(timestamp)/30000000.0) as bigint) - 9, cast(floor(epoch_us(timestamp)/30000000.0) as bigint) + 1)) as c from incident_events),
- w as (select service_name, type, make_timestamp(c*30000000 + 300000000) as timestamp, {R("count(*)/300.0", 6)} as rate from s group by 1, 2, c)
-select * from w where timestamp <= (select date_trunc('milliseconds', max(timestamp)) from incident_events) - interval 10 minute""")
+@query("j8_sliding_rates", f"""with s as (select service_name, type, unnest(range(cast(floor(epoch_us(timestamp)/30000000.0) as bigint) - 9, cast(floor(epoch_us(timestamp)/30000000.0) as bigint) + 1)) as c from incident_events)
+select service_name, type, make_timestamp(c*30000000 + 300000000) as timestamp, {R("count(*)/300.0", 6)} as rate from s group by 1, 2, c""")
 def j8(spark, p):
-    out = _drained(spark, st.sliding_rates(st.with_event_time(_events(spark, p))))
+    home = _home(spark)
+    out = _drained(st.sliding_rates(_timed(spark, p, home, _events(spark, p))), home)
     return out.withColumn("rate", fixed("rate", 6))
 
 
-@query("j9_drop_late", "select id, timestamp from incident_events")
+@query("j8_counter_rates")
+def j8_counters(spark, p):
+    """Rates of counters in two streams: growth of every sample, resets included, then sliding windows over it."""
+    home = _home(spark)
+    keys = ["service", "event_type", "status"]
+    t.counters(spark, p).repartitionByRange("timestamp").write.parquet(f"{home}/samples")
+    samples = spark.read.parquet(f"{home}/samples")
+    live = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 16).parquet(f"{home}/samples")
+    timed = st.with_event_time(st.until_end(live, f"{home}/end"), delay=f"{max(600, st.largest_disorder(samples))} seconds")
+    grown = _drained(st.increments_stream(timed, keys, tie="event_id"), home).select(*keys, "timestamp", "increment")
+    then = f"{home}/windows"
+    live = spark.readStream.schema(grown.schema).option("maxFilesPerTrigger", 16).parquet(f"{home}/out/batch=*")
+    ended = st.until_end(live.select(*grown.columns), f"{then}/end")
+    delay = f"{max(600, st.largest_disorder(spark.read.parquet(f'{home}/out')))} seconds"
+    out = _drained(st.counter_rates(ended, keys, 3600, 600, delay=delay), then)
+    return out.select("service", "event_type", "timestamp", fixed("value", 6).alias("value"))
+
+
+# Equal to the grid of the batch operator.
+SQL["j8_counter_rates"] = SQL["e10_grid_rate"]
+
+
+@query("j9_drop_late", "select id, timestamp from incident_events union all select id, timestamp from incident_events where timestamp > (select date_trunc('milliseconds', max(timestamp)) from incident_events) - interval 168 hour")
 def j9(spark, p):
-    return _drained(spark, st.drop_late(_events(spark, p).select("id", "timestamp")))
+    """The whole table, then all of it again: of the second time only the last 168 hours come in time."""
+    home = _home(spark)
+    rows = _events(spark, p).select("id", "timestamp")
+    both = st.drop_late(st.until_end(rows, f"{home}/again"))
+    st.drain(both, f"{home}/out", f"{home}/state")
+    t.incident_events(spark, p).select("id", "timestamp").write.mode("append").parquet(f"{home}/again")
+    return st.drain(both, f"{home}/out", f"{home}/state").select("id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))

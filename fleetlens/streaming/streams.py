@@ -7,75 +7,129 @@ from __future__ import annotations
 import json
 import pickle
 from collections.abc import Iterator, Sequence
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetlens.functions.numeric import fixed
 from fleetlens.operators import rules
-from fleetlens.operators.stateful import Breaker, FirstPerWindow
+from fleetlens.operators.stateful import Breaker, FirstPerWindow, Increments
 from fleetlens.schemas import BREAKER
 
 
 # Groups that `drop_late` spreads its rows over.
 LATE_PARTS = 1024
+# Rows of one piece of a key's waiting rows.
+PIECE_ROWS = 4096
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# The time of the row that ends a source. Watermarks then pass every real row.
+END = datetime(2200, 1, 1)
 
 
 def with_event_time(df: DataFrame, ts: str = "timestamp", delay: str = "10 minutes") -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
-def _stateful(machine, fields: list[str], keep_ms: int):
-    """State function around a machine of `plans.replay`. Rows wait in the state until the watermark has passed
-    them; then they run in (time, tie) order, so the result does not depend on how rows fall into triggers.
-    A timer fires for the earliest row that waits, and for a state that no longer matters."""
-
-    def work(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        have, waiting = (json.loads(state.get[0]), state.get[1]) if state.exists else (machine.fresh(), None)
-        parts = [pickle.loads(waiting)] if waiting else []
-        parts += [b for b in batches if len(b)] if not state.hasTimedOut else []
-        mark = state.getCurrentWatermarkMs() * 1000
-        if not parts:
-            state.remove()
+def largest_disorder(table: DataFrame, ts: str = "timestamp") -> int:
+    """Seconds that a row may lie behind rows of files read before its own, when a file source reads the files of
+    `table` one a trigger. A watermark of that delay drops nothing.
+
+    Files come in order of modification; those of one time may come in any order. One row per file is compared."""
+    at, us = F.col("_metadata.file_modification_time"), F.unix_micros(F.col(ts).cast("timestamp"))
+    files = table.groupBy(at.alias("at"), F.col("_metadata.file_path").alias("file")).agg(F.min(us).alias("lo"), F.max(us).alias("hi"))
+    times = files.groupBy("at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n"))
+    earlier = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.greatest(F.max("hi").over(earlier), F.when(F.col("n") > 1, F.col("hi")))
+    behind = times.select((ahead - F.col("lo")).alias("d")).agg(F.max("d").alias("d")).first()["d"]
+    return max(0, -(-(behind or 0) // 1_000_000))
+
+
+class _Decide(StatefulProcessor):
+    """Runs a machine of `plans.replay` over the rows of one key in (time, tie) order.
+
+    Rows wait until the watermark has passed them, so the result does not depend on how rows fall into triggers. What waits
+    is kept in pieces by their first time: new rows add pieces, and a timer reads only those that are due."""
+
+    def __init__(self, machine, names: list[str], fields: list[str], keep_ms: int):
+        self.machine, self.names, self.fields, self.keep_ms = machine, names, fields, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.have = handle.getValueState("have", "state string, pieces long, last_us long")
+        self.waiting = handle.getMapState("waiting", "first_us long, piece long", "rows binary")
+
+    def _hold(self, rows: pd.DataFrame, n: int) -> int:
+        """Keep sorted rows from piece number `n` on; the next number."""
+        for at in range(0, len(rows), PIECE_ROWS):
+            piece = rows.iloc[at : at + PIECE_ROWS].reset_index(drop=True)
+            self.waiting.updateValue((int(piece["_us"].iloc[0]), n), (pickle.dumps(piece),))
+            n += 1
+        return n
+
+    def _state(self) -> tuple[str, int, int]:
+        return tuple(self.have.get()) if self.have.exists() else (json.dumps(self.machine.fresh()), 0, 0)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state, n, last = self._state()
+        first = None
+        for batch in rows:
+            if len(batch):
+                # Spark hands over named tuples, which know no names with a leading underscore.
+                batch = batch.set_axis(self.names, axis=1).sort_values(["_us", "_tie"], kind="stable")
+                n, start = self._hold(batch, n), int(batch["_us"].iloc[0])
+                first = start if first is None else min(first, start)
+        self.have.update((state, n, last))
+        if first is not None:
+            self.handle.registerTimer(max(first // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        state, n, last = self._state()
+        pieces = sorted(tuple(k) for k in self.waiting.keys())
+        due = [k for k in pieces if k[0] <= now * 1000]
+        if not due:
+            if not pieces and now >= last // 1000 + self.keep_ms:
+                self.have.clear()
             return
-        rows = (pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]).sort_values(["_us", "_tie"], kind="stable")
-        n = int(np.searchsorted(rows["_us"].to_numpy(), mark, "right"))
-        ready, rest = rows.iloc[:n], rows.iloc[n:]
-        if n:
-            us = ready["_us"].to_numpy()
-            have, got = machine.run(have, us, {c: ready[c].to_numpy() for c in machine.inputs})
-            out = ready[fields].copy()
-            for c, v in got.items():
-                out[c] = v
-            last = int(us[-1])
-        else:
-            last = mark
-        state.update((json.dumps(have), pickle.dumps(rest.reset_index(drop=True)) if len(rest) else None))
-        due = int(rest["_us"].iloc[0]) // 1000 + 1 if len(rest) else last // 1000 + keep_ms
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        if n:
-            yield out
-
-    return work
+        rows = pd.concat([pickle.loads(self.waiting.getValue(k)[0]) for k in due], ignore_index=True).sort_values(["_us", "_tie"], kind="stable")
+        for k in due:
+            self.waiting.removeKey(k)
+        us = rows["_us"].to_numpy()
+        ready = int(np.searchsorted(us, now * 1000, "right"))
+        n = self._hold(rows.iloc[ready:], n)
+        left, got = self.machine.run(json.loads(state), us[:ready], {c: rows[c].to_numpy()[:ready] for c in self.machine.inputs})
+        last = int(us[ready - 1])
+        self.have.update((json.dumps(left), n, last))
+        coming = [int(us[ready])] if ready < len(us) else []
+        coming += [k[0] for k in pieces[len(due) : len(due) + 1]]
+        self.handle.registerTimer(max(min(coming) // 1000 + 1 if coming else last // 1000 + self.keep_ms, now + 1))
+        out = rows.iloc[:ready][self.fields].reset_index(drop=True)
+        for c, v in got.items():
+            out[c] = v
+        yield out
+
+    def close(self) -> None:
+        pass
 
 
 def _run(df: DataFrame, keys, ts, tie, machine, keep_s: float) -> DataFrame:
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     ready = df.withColumns({"_us": F.unix_micros(ts), "_tie": F.col(tie)})
     schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(machine.schema).fields])
-    return ready.groupBy(*keys).applyInPandasWithState(
-        _stateful(machine, df.columns, int(keep_s * 1000)), schema, "state string, waiting binary", "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    return ready.groupBy(*keys).transformWithStateInPandas(_Decide(machine, ready.columns, df.columns, int(keep_s * 1000)), schema, "append", "EventTime")
 
 
 def dedupe_stream(df: DataFrame, keys: Sequence[str], ts: str = "timestamp", window_s: float = 60, tie: str = "id") -> DataFrame:
-    """Streaming `dedupe`; `df` has a watermark on `ts`. A row is decided when the watermark has passed it, so
-    the last rows of a source that ends stay undecided, as windows stay open. The rows of one key that the
-    watermark has not passed are held in its state."""
+    """Streaming `dedupe`; `df` has a watermark on `ts`. A row is decided when the watermark has passed it; what
+    waits at the end of a source is decided by `drain` with an end. The rows of one key that the watermark has
+    not passed are held in its state."""
     out = _run(df, keys, ts, tie, FirstPerWindow(window_s), window_s)
     return out.filter("emitted").drop("emitted")
 
@@ -91,6 +145,23 @@ def breaker_stream(
     return out.withColumn("opened_at", F.timestamp_micros("opened_us")).drop("_kind", "_ok", "opened_us")
 
 
+def increments_stream(df: DataFrame, keys: Sequence[str], ts: str = "timestamp", tie: str = "id", value: str = "value", keep_s: float = 86400) -> DataFrame:
+    """Streaming growth of counters: each sample with its `increment` since the former one of its series; after a
+    reset the new value itself, 0 for the first sample. The last value of a series is kept `keep_s`."""
+    out = _run(df.withColumn("_value", F.col(value).cast("double")), list(keys), ts, tie, Increments(), keep_s)
+    return out.drop("_value")
+
+
+def counter_rates(df: DataFrame, keys: Sequence[str], size_s: int = 300, slide_s: int = 30, ts: str = "timestamp", delay: str = "10 minutes") -> DataFrame:
+    """Per-second growth over (t - size, t] at every grid point t whose window holds a sample, from rows with an
+    `increment`. Windows end with their grid point, so a sample counts a microsecond earlier; the watermark of `delay` is
+    on that time."""
+    before = F.col(ts).cast("timestamp") - F.expr("interval 1 microsecond")
+    w = F.window("_before", f"{size_s} seconds", f"{slide_s} seconds")
+    rates = df.withColumn("_before", before).withWatermark("_before", delay).groupBy(*keys, w.alias("w")).agg((F.sum("increment") / F.lit(float(size_s))).alias("value"))
+    return rates.select(*keys, F.col("w.end").alias("timestamp"), "value")
+
+
 def live_metrics(df: DataFrame, size: str = "2 seconds", keys: Sequence[str] = ("service_name",), ts: str = "timestamp") -> DataFrame:
     """Means and error rate of each tumbling window; `df` has a watermark and the columns value, type."""
     errors = F.count_if(F.col("type") == "error")
@@ -140,10 +211,10 @@ def read_sink(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def detections(df: DataFrame, delay: str = "10 minutes", window_s: float = 60) -> DataFrame:
-    """Health rows to deduplicated incidents with their actions, on a stream."""
+def detections(df: DataFrame, delay: str = "10 minutes", window_s: float = 60, end: str | None = None) -> DataFrame:
+    """Health rows to deduplicated incidents with their actions, on a stream; `end` as in `drain`."""
     found = rules.detect_all(df)
-    timed = with_event_time(found, "timestamp", delay)
+    timed = with_event_time(until_end(found, end) if end else found, "timestamp", delay)
     fresh = dedupe_stream(timed, ["service_name", "type"], window_s=window_s, tie="severity")
     return rules.choose_action(fresh)
 
@@ -154,8 +225,41 @@ def detection_stream(df: DataFrame, sink: str, checkpoint: str, delay: str = "10
     return out.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def drain(df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all there is and return what it wrote."""
-    q = df.writeStream.outputMode(mode).foreachBatch(incident_sink(sink)).option("checkpointLocation", checkpoint)
-    q.trigger(availableNow=True).start().awaitTermination()
+def until_end(df: DataFrame, folder: str) -> DataFrame:
+    """The stream `df` with a second source behind it, the folder in which `drain` puts the row that ends it. Goes before
+    the watermark."""
+    spark = df.sparkSession
+    spark.createDataFrame([], df.schema).write.parquet(folder)
+    return df.unionByName(spark.readStream.schema(df.schema).parquet(folder))
+
+
+def end_source(spark: SparkSession, folder: str, ts: str = "timestamp") -> None:
+    """Add the row that ends a source: all columns null but its time."""
+    empty = spark.read.parquet(folder)
+    row = [F.lit(END).cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema]
+    spark.range(1).select(*row).write.mode("append").parquet(folder)
+
+
+def dropped_rows(query) -> int:
+    """Rows that a stopped query dropped because they came behind its watermark."""
+    return sum(op.numRowsDroppedByWatermark for progress in query.recentProgress for op in progress.stateOperators)
+
+
+def drain(df: DataFrame, sink: str, checkpoint: str, mode: str = "append", end: str | None = None, may_drop: bool = True) -> DataFrame:
+    """Run a stream over all there is and return what it wrote. With `end`, the folder given to `until_end`, the
+    source is then ended: rows that still wait are decided and open windows closed, and the checkpoint takes no more rows.
+    Without `may_drop` it is an error if a row was dropped as late."""
+
+    def run() -> int:
+        q = df.writeStream.outputMode(mode).foreachBatch(incident_sink(sink)).option("checkpointLocation", checkpoint)
+        q = q.trigger(availableNow=True).start()
+        q.awaitTermination()
+        return dropped_rows(q)
+
+    lost = run()
+    if end is not None:
+        end_source(df.sparkSession, end)
+        lost += run()
+    if lost and not may_drop:
+        raise ValueError(f"{lost} rows came behind the watermark; take a longer delay, see largest_disorder")
     return read_sink(df.sparkSession, sink)
