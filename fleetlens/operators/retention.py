@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.dates import before, moment
 from fleetlens.operators.joins import cascade_delete
+from fleetlens.sources.partitions import delete_rows, read_table
 
 
 def retain(df: DataFrame, ts: str, as_of, hours: float) -> DataFrame:
@@ -38,9 +41,26 @@ def stamp(df: DataFrame, as_of) -> DataFrame:
     return df.withColumn("updated_at", moment(as_of))
 
 
-def expire_days(spark, path: str, as_of, days: int, out: str) -> None:
-    """Copy the kept part of a table partitioned by `date` to `out`: whole days are skipped by partition,
-    and only the day of the cutoff is filtered by row."""
+def expire_days(spark, path: str, as_of, days: float, ts: str = "timestamp", keys: Sequence[str] = ()) -> int:
+    """Delete from a table with a `date` folder per day what is older than `days`; the number of deleted rows. Whole days go as
+    folders and only the day of the cutoff is written anew; later days are not read."""
+    cutoff = before(as_of, days=days)
+    return delete_rows(spark, path, [*keys, "date"], F.col(ts) < cutoff, F.col("date") <= F.to_date(cutoff))
+
+
+def month(ts: str) -> Column:
+    """Number of a month, for tables with a `month` folder."""
+    return F.year(ts) * 100 + F.month(ts)
+
+
+def expire_incidents(spark, inc_path: str, act_path: str, as_of, days: float = 180) -> dict[str, int]:
+    """`retain_incidents` on stored tables with a `month` folder; the number of deleted rows of each table.
+
+    Incidents go last, so that a repeated attempt finds the same ones. The action count covers only those the cascade
+    left; all that the cascade took is counted as `cascaded`."""
     cutoff = before(as_of, days=days)
-    kept = spark.read.parquet(path).filter((F.col("date") >= F.to_date(cutoff)) & (F.col("timestamp") >= cutoff))
-    kept.hint("rebalance", "date").write.mode("overwrite").partitionBy("date").parquet(out)
+    old, early = F.col("timestamp") < cutoff, F.col("month") <= F.year(cutoff) * 100 + F.month(cutoff)
+    doomed = read_table(spark, inc_path).where(early & old).select(F.col("id").alias("incident_id"))
+    cascaded = delete_rows(spark, act_path, ["month"], keys=doomed)
+    actions = delete_rows(spark, act_path, ["month"], old, early)
+    return {"cascaded": cascaded, "remediation_actions": actions, "incidents": delete_rows(spark, inc_path, ["month"], old, early)}

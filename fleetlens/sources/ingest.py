@@ -9,28 +9,27 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.dates import before, moment, seconds_between
 from fleetlens.plans.ordered import running
+from fleetlens.sources.partitions import append_batch
 
 ALERT_SCHEMA = (
     "alerts array<struct<status string, labels map<string,string>, annotations map<string,string>>>"
 )
 
 
-def append_by_day(df: DataFrame, path: str, ts: str = "timestamp", keys: Sequence[str] = ()) -> None:
-    """Append rows under one folder per key and day. The number of files of a day follows its size: large ones
-    are split and small ones merged at run time."""
-    out = df.withColumn("date", F.to_date(ts))
-    parts = [*keys, "date"]
-    out.hint("rebalance", *parts).write.mode("append").partitionBy(*parts).parquet(path)
+def append_by_day(df: DataFrame, path: str, batch: str, ts: str = "timestamp", keys: Sequence[str] = ()) -> None:
+    """Append a named batch under one folder per key and day; repeated, it adds nothing. The number of files of a day
+    follows its size."""
+    append_batch(df.withColumn("date", F.to_date(ts)), path, [*keys, "date"], batch)
 
 
-def append_metrics(df: DataFrame, path: str) -> None:
-    append_by_day(df, path, keys=["service_name"])
+def append_metrics(df: DataFrame, path: str, batch: str) -> None:
+    append_by_day(df, path, batch, keys=["service_name"])
 
 
-def append_predictions(kind: str, df: DataFrame, path: str) -> None:
+def append_predictions(kind: str, df: DataFrame, path: str, batch: str) -> None:
     """Append a batch of scores, failures, forecasts, analyses or actions to its log."""
     ts = {"forecasts": "predicted_timestamp", "analyses": "analyzed_at"}.get(kind, "timestamp")
-    append_by_day(df, f"{path}/{kind}", ts)
+    append_by_day(df, f"{path}/{kind}", batch, ts)
 
 
 def export_range(df: DataFrame, start=None, end=None, as_of=None, days: int = 30) -> DataFrame:
@@ -48,10 +47,10 @@ def export_metrics(df: DataFrame, fmt: str, path: str, start=None, end=None, as_
     out.option("header", True).csv(path) if fmt == "csv" else out.json(path)
 
 
-def save_training(df: DataFrame, csv_path: str, history_path: str) -> None:
+def save_training(df: DataFrame, csv_path: str, history_path: str, batch: str) -> None:
     """Write a labelled set as CSV and append it, without labels, to the history."""
     df.write.mode("overwrite").option("header", True).csv(csv_path)
-    append_metrics(df.drop("label"), history_path)
+    append_metrics(df.drop("label"), history_path, batch)
 
 
 def alert_type(name: Column) -> Column:
@@ -138,8 +137,8 @@ def incident_rows(detections: DataFrame, key: Sequence[str]) -> DataFrame:
     )
 
 
-def log_incidents(detections: DataFrame, path: str, key: Sequence[str]) -> None:
-    append_by_day(incident_rows(detections, key), path)
+def log_incidents(detections: DataFrame, path: str, key: Sequence[str], batch: str) -> None:
+    append_by_day(incident_rows(detections, key), path, batch)
 
 
 def resolve_incidents(inc: DataFrame, act: DataFrame, as_of=None) -> DataFrame:

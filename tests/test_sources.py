@@ -13,6 +13,7 @@ from fleetlens.operators import rules, textops
 from fleetlens.functions import display
 from fleetlens.schemas import canonical, to_long, to_wide
 from fleetlens.sources import ingest
+from fleetlens.sources import partitions as parts
 from fleetlens.sources import tables as t
 
 T0 = datetime(2024, 1, 1, 12)
@@ -80,15 +81,15 @@ def test_histogram_quantile_edges(spark):
 
 
 def test_append_and_expire(spark, small, tmp_path):
-    path, kept = str(tmp_path / "m"), str(tmp_path / "kept")
+    path = str(tmp_path / "m")
     m = t.metrics_wide(spark, small)
-    ingest.append_predictions("metrics", m, path)
-    ingest.append_predictions("metrics", m.limit(3), path)
+    ingest.append_predictions("metrics", m, path, "1")
+    ingest.append_predictions("metrics", m.limit(3), path, "2")
     assert spark.read.parquet(f"{path}/metrics").count() == m.count() + 3
-    ret.expire_days(spark, f"{path}/metrics", "2024-01-31 00:30:00", 10, kept)
-    low = spark.read.parquet(kept).agg(F.min("timestamp")).first()[0]
-    assert low >= datetime(2024, 1, 21, 0, 30)
-    ingest.append_metrics(m, str(tmp_path / "h"))
+    gone = ret.expire_days(spark, f"{path}/metrics", "2024-01-31 00:30:00", 10)
+    left = parts.read_table(spark, f"{path}/metrics")
+    assert left.agg(F.min("timestamp")).first()[0] >= datetime(2024, 1, 21, 0, 30) and left.count() == m.count() + 3 - gone
+    ingest.append_metrics(m, str(tmp_path / "h"), "1")
     assert set(spark.read.parquet(str(tmp_path / "h")).columns) >= {"service_name", "date"}
 
 
@@ -104,7 +105,7 @@ def test_export(spark, small, tmp_path, fmt):
 
 def test_save_training(spark, small, tmp_path):
     m = t.metrics_wide(spark, small).withColumn("label", F.lit("normal"))
-    ingest.save_training(m, str(tmp_path / "csv"), str(tmp_path / "hist"))
+    ingest.save_training(m, str(tmp_path / "csv"), str(tmp_path / "hist"), "1")
     assert "label" in spark.read.option("header", True).csv(str(tmp_path / "csv")).columns
     assert "label" not in spark.read.parquet(str(tmp_path / "hist")).columns
 
