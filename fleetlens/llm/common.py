@@ -21,6 +21,9 @@ BATCH_BYTES = 8 << 20
 U = np.uint64
 _RNG = np.random.default_rng(20240607)
 BYTE_HASH = _RNG.integers(1, 2**63, 256, dtype=U) * U(2) + U(1)
+#: Random numbers for the bytes of the first places of a word; those of later places are mixed when they occur.
+PLACES = 64
+PLACE_HASH = _RNG.integers(0, 2**64, PLACES * 256, dtype=U)
 BASE = U(0x9E3779B97F4A7C15)
 BASE_INVERSE = U(pow(int(BASE), -1, 2**64))
 _SPACE = np.zeros(256, bool)
@@ -125,14 +128,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+    """A 64-bit hash of each word's bytes: the sum of a random number for each byte at its place. Unlike sums of powers
+    of a base, these have no two words that clash by construction."""
     if not len(starts):
         return np.zeros(0, U)
     lengths = ends - starts
     first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    terms = BYTE_HASH[data[np.repeat(starts, lengths) + place]]
-    terms *= powers(int(lengths.max()))[place]
+    byte = data[np.repeat(starts, lengths) + place]
+    late = np.flatnonzero(place >= PLACES)
+    if len(late):
+        terms = PLACE_HASH[np.minimum(place, PLACES - 1) * 256 + byte]
+        terms[late] = mix(BYTE_HASH[byte[late]] ^ mix(place[late].astype(U) * BASE))
+    else:
+        terms = PLACE_HASH[place * 256 + byte]
     return mix(np.add.reduceat(terms, first))
 
 

@@ -150,3 +150,20 @@ def test_empty_and_null_rows(make):
     for f in (substring.remove_repeats, suffix.remove_repeats, ngram_join.group):
         assert f(make([])).collect() == []
         assert len(f(make([(None, None), (None, "a b c d e f"), (1, None), (1, None)])).collect()) == 4
+
+
+def test_words_made_to_clash(make):
+    """A word of 1,024 letters and its mirror in the order of Thue and Morse, which sums of powers cannot tell apart."""
+    from fleetlens.llm import common as c
+
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    mirror = word.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{k}" for k in range(12))
+    docs = make([(1, f"{word} {rest}"), (2, f"{mirror} {rest}"), (3, f"{word} a b c d"), (4, f"{mirror} a b c d")])
+    assert {r.doc_id: r.n_removed for r in substring.remove_repeats(docs).collect()} == dict.fromkeys(range(1, 5), 0)
+    assert all(r.component_id == r.doc_id for r in ngram_join.group(docs).where("doc_id > 2").collect())
+    import numpy as np
+
+    words = [b"a" * n for n in range(1, 300)] + [b"a" * n + b"b" for n in range(300)] + [b"b" + b"a" * n for n in range(1, 300)]
+    data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    assert len(set(c.word_hashes(data, ends - [len(w) for w in words], ends).tolist())) == len(set(words))
