@@ -23,7 +23,7 @@ from fleetlens.session import durable
 COUNTED = 0.25
 _EDGE = np.uint64(int(COUNTED * 2**64))
 #: The other tokens are counted in so many slices of the hash space, to keep a shuffle small.
-SLICES = 3
+SLICES = 1
 #: Document frequency above which a token is indexed in pairs.
 FREQUENT = 64
 #: At most so many tokens, the most common of all, are sent to every task. Others lose nothing by not being there.
