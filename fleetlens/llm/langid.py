@@ -18,6 +18,8 @@ BITS = 18
 ORDERS = (1, 2, 3)
 #: Labelled rows of a language that a model is fitted on, and landmarks of a language.
 SAMPLE_ROWS, LANDMARKS, RIDGE = 600, 50, 1e-3
+#: Parts of a language in which rows are ranked before they are ranked in all of it.
+SAMPLE_PARTS = 64
 UNKNOWN = "und"
 _FEATURES = pa.schema([("lang", pa.string()), ("features", pa.binary())])
 
@@ -67,16 +69,22 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learned_rows(docs: DataFrame, may_learn: Column, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(lang, text) of at most `sample_rows` rows of each language, those with the least digests of their ids."""
-    digest = F.md5(F.concat(F.lit("sample"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text", digest.alias("digest"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("digest"))
-    limits = rows.select("lang", "digest").withColumn("place", place).where(F.col("place") <= sample_rows).groupBy("lang").agg(F.max("digest").alias("most"))
-    limits = {r.lang: r.most for r in limits.collect()}  # one row per language
+    """(lang, text) of at most `sample_rows` different rows of each language, those with the least digests of id and text.
+
+    Rows that agree in both count once; rows that only share an id, or have none, are rows of their own."""
+    text, held = F.col("text").cast("string"), may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull()
+    digest = F.md5(F.concat(F.lit("sample"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text)))
+    rows = docs.where(held).select(F.col("lang").cast("string").alias("lang"), text.alias("text"), digest.alias("digest"))
+    # Ranks within parts of a language first, so that no task sees more than the first rows of each part.
+    place = lambda *of: F.row_number().over(Window.partitionBy(*of).orderBy("digest"))
+    part = rows.select("lang", "digest").withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(SAMPLE_PARTS)))
+    first = part.groupBy("lang", "part", "digest").agg(F.lit(1).alias("one")).withColumn("place", place("lang", "part")).where(F.col("place") <= sample_rows)
+    least = first.withColumn("place", place("lang")).where(F.col("place") <= sample_rows)
+    limits = {r.lang: r.most for r in least.groupBy("lang").agg(F.max("digest").alias("most")).collect()}  # one row per language
     if not limits:
         return rows.select("lang", "text").limit(0)
     most = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair])
-    return rows.where(F.col("digest") <= F.element_at(most, F.col("lang"))).select("lang", "text")
+    return rows.where(F.col("digest") <= F.element_at(most, F.col("lang"))).dropDuplicates(["lang", "digest"]).select("lang", "text")
 
 
 class Model:
@@ -134,8 +142,8 @@ class Model:
 def fit(docs: DataFrame, may_learn: Column, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS) -> Model | None:
     """A model of the labelled rows that `may_learn` admits; None if there are none with a letter.
 
-    The sample is bounded by `sample_rows` a language; only hashed n-grams, at most 2 ** BITS of a row, reach the
-    driver."""
+    The sample is bounded by `sample_rows` a language, whatever the doc_ids: null or repeated ones are told apart by their
+    text. Only hashed n-grams, at most 2 ** BITS of a row, reach the driver."""
     c.bounded_batches(docs.sparkSession)
     found = learned_rows(docs, may_learn, sample_rows).mapInArrow(_extract, "lang string, features binary").collect()
     rows = sorted((r.lang, bytes(r.features)) for r in found)

@@ -319,3 +319,12 @@ def test_bundles_are_read_by_a_task_each(spark, tmp_path):
     bundles = index.select("bundle").distinct().count()
     tasks = warc.read(index).select(F.spark_partition_id().alias("task")).distinct().count()
     assert bundles > 3 and tasks == bundles
+
+
+def test_sample_is_bounded_without_ids(make):
+    """Rows without id, or with one id, are told apart by their text; equal rows count once."""
+    rows = [(None, f"word{i} and more", "en") for i in range(3000)] + [(7, f"mot{i} et plus", "fr") for i in range(3000)] + [(i, "gleich", "de") for i in range(50)] + [(8, "same", "es")] * 2000
+    got = Counter(r.lang for r in langid.learned_rows(make(rows), F.lit(True), 100).collect())
+    assert got == {"en": 100, "fr": 100, "de": 50, "es": 1}
+    again = sorted(map(tuple, langid.learned_rows(make(rows[::-1]), F.lit(True), 100).collect()))
+    assert again == sorted(map(tuple, langid.learned_rows(make(rows), F.lit(True), 100).collect()))
