@@ -6,7 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from fleetlens.catalog import timeseries  # noqa: F401  (its twin is used here)
+from fleetlens.catalog import relational, timeseries  # noqa: F401  (their twins are used here)
 from fleetlens.catalog.base import SQL, R, query
 from fleetlens.catalog.operations import _BREAKER, _chain
 from fleetlens.functions.numeric import fixed
@@ -42,8 +42,9 @@ def _timed(spark, p, home, rows):
     return st.with_event_time(st.until_end(rows, f"{home}/end"), delay=_delay(spark, p))
 
 
-def _drained(df, home, end=True):
-    out = st.drain(df, f"{home}/out", f"{home}/state", end=f"{home}/end" if end else None, may_drop=False).drop("batch")
+def _drained(df, home, *ends):
+    ends = [f"{home}/{name}" for name in ends or ("end",)]
+    out = st.drain(df, f"{home}/out", f"{home}/state", end=ends, may_drop=False).drop("batch")
     return out.withColumns({f.name: F.col(f.name).cast("timestamp_ntz") for f in out.schema if f.dataType.typeName() == "timestamp"})
 
 
@@ -125,3 +126,51 @@ def j9(spark, p):
     st.drain(both, f"{home}/out", f"{home}/state")
     t.incident_events(spark, p).select("id", "timestamp").write.mode("append").parquet(f"{home}/again")
     return st.drain(both, f"{home}/out", f"{home}/state").select("id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
+
+
+def _matched(spark, p, rows, incidents, back_s, ahead_s):
+    home = _home(spark)
+    delay = _delay(spark, p)
+    left = st.with_event_time(st.until_end(rows, f"{home}/end"), delay=delay)
+    right = st.with_event_time(st.until_end(incidents, f"{home}/end-right"), delay=delay)
+    live = st.match_stream(left, right, [], ["id"], back_s, ahead_s)
+    return st.matched_rows(_drained(live, home, "end", "end-right"), ["id"]).select("id", "matched")
+
+
+def _scored(spark, p):
+    """The rows of the scores and predictions views, from the stream of events."""
+    return _events(spark, p).select("id", "timestamp", "type", "value")
+
+
+@query("c3_match_stream")
+def c3_stream(spark, p):
+    """Anomalies beside incidents within ten minutes, both as streams."""
+    rows = _scored(spark, p)
+    return _matched(spark, p, rows.where("value > 50").select("id", "timestamp"), rows.where("type = 'error'").select("id", "timestamp"), 600, 600)
+
+
+@query("c4_match_stream")
+def c4_stream(spark, p):
+    """Predictions and the incidents of the hour after them, both as streams."""
+    rows = _scored(spark, p)
+    return _matched(spark, p, rows.where("value / 100 >= 0.4").select("id", "timestamp"), rows.select("id", "timestamp"), 0, 3600)
+
+
+SQL["c3_match_stream"], SQL["c4_match_stream"] = SQL["c3_match_anomalies"], SQL["c4_match_predictions"]
+
+
+@query("c8_threshold_versions", f"""with v as (select service_name, cast(date_trunc('day', timestamp) + interval 1 day as timestamp) as valid_from, {R("max(cpu_usage_percent)*0.9")} as cpu_limit from metrics_wide group by 1, 2),
+ u as (select *, lead(valid_from) over (partition by service_name order by valid_from) as valid_to from v)
+select m.service_name, m.timestamp, cpu_limit, m.cpu_usage_percent > coalesce(cpu_limit, 80) as over_limit from metrics_wide m left join u
+ on u.service_name = m.service_name and m.timestamp >= valid_from and (valid_to is null or m.timestamp < valid_to)""")
+def c8_versions(spark, p):
+    """Live metrics beside the limit of their service that is valid at their time: nine tenths of the former day's peak."""
+    home, m = _home(spark), t.metrics_wide(spark, p).select("service_name", "timestamp", "cpu_usage_percent")
+    m.repartitionByRange("timestamp").write.parquet(f"{home}/metrics")
+    day = (F.date_trunc("day", "timestamp") + F.expr("interval 1 day")).cast("timestamp_ntz")
+    m.groupBy("service_name", day.alias("valid_from")).agg(fixed(F.max("cpu_usage_percent") * 0.9).alias("cpu_limit")).write.parquet(f"{home}/limits")
+    live = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 16).parquet(f"{home}/metrics")
+    over = lambda df: df.select("service_name", "timestamp", "cpu_limit", (F.col("cpu_usage_percent") > F.coalesce("cpu_limit", F.lit(80))).alias("over_limit"))
+    sink = st.versioned_sink(f"{home}/out", lambda s: s.read.parquet(f"{home}/limits"), ["service_name"], then=over)
+    live.writeStream.foreachBatch(sink).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
+    return st.read_sink(spark, f"{home}/out").drop("batch")

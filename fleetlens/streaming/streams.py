@@ -162,6 +162,57 @@ def counter_rates(df: DataFrame, keys: Sequence[str], size_s: int = 300, slide_s
     return rates.select(*keys, F.col("w.end").alias("timestamp"), "value")
 
 
+def match_stream(left: DataFrame, inc: DataFrame, keys: Sequence[str], row_id: Sequence[str], back_s: float, ahead_s: float, ts: str = "timestamp") -> DataFrame:
+    """Streaming `exists_between`: row_id, keys, `ts` and `matched`, for rows of `left` that meet a row of `inc` of the same
+    keys in [t - back, t + ahead]. Both sides have a watermark.
+
+    Time is cut into cells of the interval's length, so that a row of `left` looks into two of them and the join is one on
+    (keys, cell). A row waits on either side while a partner may still come, then a left row goes out unmatched: a left
+    row gives a row for each partner or each empty cell, and `matched_rows` settles them."""
+    width = int((back_s + ahead_s) * 1_000_000)
+    cell = lambda us: F.floor(us / F.lit(width))
+    lo = F.unix_micros(ts) - int(back_s * 1_000_000)
+    a = left.select(*row_id, *keys, ts, F.explode(F.array(cell(lo), cell(lo) + 1)).alias("_cell")).alias("a")
+    b = inc.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(ts).alias("_at"), cell(F.unix_micros(ts)).alias("_at_cell")).alias("b")
+    cond = F.col("_cell") == F.col("_at_cell")
+    for k in keys:
+        cond = cond & (F.col(f"a.{k}") == F.col(f"_k_{k}"))
+    near = F.expr(f"_at >= a.{ts} - interval {back_s} seconds and _at <= a.{ts} + interval {ahead_s} seconds")
+    out = a.join(b, cond & near, "left_outer")
+    return out.select(*[F.col(f"a.{c}").alias(c) for c in (*row_id, *keys, ts)], F.col("_at").isNotNull().alias("matched"))
+
+
+def matched_rows(found: DataFrame, row_id: Sequence[str]) -> DataFrame:
+    """One row for each row of the left side, from the rows that `match_stream` has written."""
+    rest = [c for c in found.columns if c not in (*row_id, "matched")]
+    out = found.groupBy(*row_id).agg(*[F.first(c).alias(c) for c in rest], F.max("matched").alias("matched"))
+    return out.where(F.col(row_id[0]).isNotNull())
+
+
+def valid_versions(df: DataFrame, versions: DataFrame, keys: Sequence[str], ts: str = "timestamp", since: str = "valid_from") -> DataFrame:
+    """Each row with the version of its keys that is valid at its time: the latest that began at or before it, null where
+    there is none yet. A key has few versions."""
+    w = Window.partitionBy(*keys).orderBy(since)
+    value = [c for c in versions.columns if c not in (*keys, since)]
+    spans = versions.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(since).alias("_since"), F.lead(since).over(w).alias("_until"), *value)
+    cond = (F.col(ts) >= F.col("_since")) & (F.col("_until").isNull() | (F.col(ts) < F.col("_until")))
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"_k_{k}"))
+    return df.join(spans, cond, "left").select(*[df[c] for c in df.columns], *value)
+
+
+def versioned_sink(path: str, read_versions, keys: Sequence[str], ts: str = "timestamp", then=None):
+    """A `foreachBatch` writer that adds the settings valid at the time of each row. `read_versions(spark)` is called for every
+    batch, so a version that is stored while the stream runs holds from the next batch on, for the rows that it is
+    about. `then` takes the joined rows before they are written. A repeated batch replaces its folder."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        out = valid_versions(batch, read_versions(batch.sparkSession), keys, ts)
+        (then(out) if then else out).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
 def live_metrics(df: DataFrame, size: str = "2 seconds", keys: Sequence[str] = ("service_name",), ts: str = "timestamp") -> DataFrame:
     """Means and error rate of each tumbling window; `df` has a watermark and the columns value, type."""
     errors = F.count_if(F.col("type") == "error")
@@ -234,9 +285,12 @@ def until_end(df: DataFrame, folder: str) -> DataFrame:
 
 
 def end_source(spark: SparkSession, folder: str, ts: str = "timestamp") -> None:
-    """Add the row that ends a source: all columns null but its time."""
-    empty = spark.read.parquet(folder)
-    row = [F.lit(END).cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema]
+    """Add the row that ends a source: its time lies far ahead, texts say `end`, all else is null. Texts are not
+    null, since a join on them would leave the row out before it reaches the watermark."""
+    def value(f: T.StructField):
+        return F.lit(END) if f.name == ts else F.lit("end") if isinstance(f.dataType, T.StringType) else F.lit(None)
+
+    row = [value(f).cast(f.dataType).alias(f.name) for f in spark.read.parquet(folder).schema]
     spark.range(1).select(*row).write.mode("append").parquet(folder)
 
 
@@ -245,9 +299,9 @@ def dropped_rows(query) -> int:
     return sum(op.numRowsDroppedByWatermark for progress in query.recentProgress for op in progress.stateOperators)
 
 
-def drain(df: DataFrame, sink: str, checkpoint: str, mode: str = "append", end: str | None = None, may_drop: bool = True) -> DataFrame:
-    """Run a stream over all there is and return what it wrote. With `end`, the folder given to `until_end`, the
-    source is then ended: rows that still wait are decided and open windows closed, and the checkpoint takes no more rows.
+def drain(df: DataFrame, sink: str, checkpoint: str, mode: str = "append", end: str | Sequence[str] | None = None, may_drop: bool = True) -> DataFrame:
+    """Run a stream over all there is and return what it wrote. With `end`, the folder (or folders) given to `until_end`,
+    the sources are then ended, all in one run since a restart knows one watermark only: rows that still wait are decided and open windows closed, and the checkpoint takes no more rows.
     Without `may_drop` it is an error if a row was dropped as late."""
 
     def run() -> int:
@@ -258,7 +312,8 @@ def drain(df: DataFrame, sink: str, checkpoint: str, mode: str = "append", end:
 
     lost = run()
     if end is not None:
-        end_source(df.sparkSession, end)
+        for folder in [end] if isinstance(end, str) else end:
+            end_source(df.sparkSession, folder)
         lost += run()
     if lost and not may_drop:
         raise ValueError(f"{lost} rows came behind the watermark; take a longer delay, see largest_disorder")

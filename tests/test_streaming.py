@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import promlike as prom
 from fleetlens.operators import rules, stateful
+from fleetlens.plans.intervals import exists_between
 from fleetlens.sources import tables as t
 from fleetlens.streaming import streams as st
 
@@ -206,3 +207,44 @@ def test_sink_repeats_batch(spark, tmp_path):
     df = spark.range(5)
     write(df, 0), write(df, 0), write(df, 1)
     assert st.read_sink(spark, str(tmp_path / "s")).count() == 10
+
+
+def test_matches_of_two_streams(spark, small, unordered, tmp_path):
+    """Rows of both sides out of order over several triggers: the answer of the batch operator, also without a partner."""
+    path, e = unordered
+    delay = f"{st.largest_disorder(spark.read.parquet(path))} seconds"
+    a, b = str(tmp_path / "end"), str(tmp_path / "end-right")
+    rows = lambda: spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    left = timed(rows().where("value > 50").select("id", "service_name", "timestamp"), a, delay)
+    right = timed(rows().where("type = 'error'").select("service_name", "timestamp"), b, delay)
+    live = st.match_stream(left, right, ["service_name"], ["id"], 600, 60)
+    got = st.matched_rows(st.drain(live, *dirs(tmp_path), end=[a, b], may_drop=False), ["id"])
+    errors, rows = e.where("type = 'error'"), e.where("value > 50")
+    ts = F.col("timestamp")
+    want = exists_between(rows, errors, ["service_name"], ts - F.expr("interval 600 seconds"), ts + F.expr("interval 60 seconds"), "timestamp", 660_000_000, "matched")
+    got = {r["id"]: r["matched"] for r in got.collect()}
+    assert got == {r["id"]: r["matched"] for r in want.collect()} and set(got.values()) == {True, False}
+
+
+def test_versions_change_between_triggers(spark, tmp_path):
+    """A limit stored while the stream runs holds for the next batch; rows from before it keep theirs."""
+    t0 = datetime(2024, 1, 1)
+    src, limits, out, state = (str(tmp_path / n) for n in ("src", "limits", "out", "state"))
+    schema = "service_name string, timestamp timestamp_ntz"
+    rows = lambda hours: spark.createDataFrame([("a", t0 + timedelta(hours=h)) for h in hours] + [("b", t0)], schema).coalesce(1).write.mode("append").parquet(src)
+    put = lambda h, v: spark.createDataFrame([("a", t0 + timedelta(hours=h), v)], "service_name string, valid_from timestamp_ntz, cpu_limit double").write.mode("append").parquet(limits)
+
+    def run():
+        live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        sink = st.versioned_sink(out, lambda s: s.read.parquet(limits), ["service_name"])
+        live.writeStream.foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+    put(1, 50.0)
+    rows([0, 1, 5])
+    run()
+    put(4, 60.0)
+    rows([2, 4, 6])
+    run()
+    got = sorted((r["service_name"], (r["timestamp"] - t0).seconds // 3600, r["cpu_limit"]) for r in st.read_sink(spark, out).collect() if r["service_name"] == "a")
+    assert got == [("a", 0, None), ("a", 1, 50.0), ("a", 2, 50.0), ("a", 4, 60.0), ("a", 5, 50.0), ("a", 6, 60.0)]
+    assert [r["cpu_limit"] for r in st.read_sink(spark, out).where("service_name = 'b'").collect()] == [None, None]
