@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
-from fleetlens.catalog.base import R, query
-from fleetlens.catalog.operations import _replayed
+from fleetlens.catalog.base import SQL, R, query
+from fleetlens.catalog.operations import _BREAKER, _replayed
 from fleetlens.functions.numeric import fixed, flag
 from fleetlens.operators import features as ft
 from fleetlens.operators import promlike as prom
 from fleetlens.operators import windows as win
 from fleetlens.plans.ordered import running
+from fleetlens.session import checkpoint_dir
 from fleetlens.sources import tables as t
+from fleetlens.sources.partitions import read_table
 
 KEY = ["service_name", "timestamp"]
 FIVE = ft.ROLLING_METRICS
@@ -181,6 +185,19 @@ def e15(spark, p):
     return out.select("service", "event_type", "timestamp", fixed("value", 6).alias("value"), "record")
 
 
+@query("e15_updated_rule")
+def e15_updated(spark, p):
+    """The same rule evaluated over the first half of the samples, then brought up to date with all of them, twice."""
+    home = f"{checkpoint_dir(spark)}/rule-{uuid4().hex}"
+    rows, by = t.counters(spark, p), ("timestamp", "event_id")
+    for part in (rows.filter(F.col("timestamp") < F.lit("2024-01-16 10:10:00").cast("timestamp_ntz")), rows, rows):
+        prom.update_rule(spark, home, part, "job:event_rate:1h", lambda d: prom.grid_rate(d, _SERIES, 3600, 1800, by=by), _SERIES, 3600, by)
+    return read_table(spark, home).select("service", "event_type", "timestamp", fixed("value", 6).alias("value"), "record")
+
+
+SQL["e15_updated_rule"] = SQL["e15_recording_rule"]
+
+
 @query("e16_instant", """with g as (select service, event_type, event_id, timestamp as seen, value, unnest(range(cast(ceil(epoch_us(timestamp)/60000000.0) as bigint), cast(ceil(epoch_us(timestamp)/60000000.0) as bigint) + 6)) as g from counters),
  f as (select *, row_number() over (partition by service, event_type, g order by seen desc, event_id desc) as rn from g where g*60000000 - epoch_us(seen) <= 300000000)
 select service, event_type, make_timestamp(g*60000000) as timestamp, value from f where rn = 1""")
@@ -226,7 +243,7 @@ def _gauge(rows, metric, labels, value):
 
 def _other_samples(spark, p):
     """Samples of the metrics that `_samples` lacks, over whole tables. An event's value is its CPU seconds, a
-    `signup` stands for a failed poll, and of the services only svc_0 and svc_1 have a job."""
+    `signup` stands for a failed poll, and of the services only svc_0 and svc_1 have a job, which the rule on `up` asks for."""
     service = F.create_map(F.lit("service"), F.col("service"))
     job = F.create_map(F.lit("service"), F.col("service"), F.lit("job"), F.lit("flask-app"))
     e = t.incident_events(spark, p).withColumn("service", F.col("service_name"))
@@ -274,7 +291,51 @@ def i10_rate(spark, p):
     return out.select("series", "timestamp", fixed("value", 6).alias("value"), "state")
 
 
-@query("i10_all_rules")
+def _all_rules_sql() -> str:
+    """Samples, growth, values and states of all rules on a grid of 300 s, written independently."""
+
+    def total(metric, rows, labels, keys, steps):
+        by = ", ".join(keys)
+        return f"""select '{metric}' as metric, {labels} as series, null::double as le, timestamp, cast(sum(n) over (partition by {by} order by timestamp rows between unbounded preceding and current row) as double) as v
+ from (select {by}, timestamp, {steps} as n from {rows} group by all) q"""
+
+    def gauge(metric, rows, value, labels="'service=' || service_name"):
+        return f"select '{metric}', {labels}, null, timestamp, cast({value} as double) from {rows} group by service_name, timestamp"
+
+    samples = [
+        "select 'http_requests_total' as metric, 'event_type=' || event_type || ',service=' || service || ',status=' || status as series, null::double as le, timestamp, cast(value as double) as v from counters",
+        *[f"select '{m}', 'service=' || service_name, null, timestamp, cast({c} as double) from metrics_wide" for m, c in (("cpu_usage_percent", "cpu_usage_percent"), ("memory_usage_percent", "memory_usage_percent"), ("response_time_p95_ms", "response_time_p95"))],
+        "select 'http_request_duration_seconds_bucket', 'service=' || service, le, timestamp, cast(cum as double) from hist_buckets",
+        total("process_cpu_seconds_total", "incident_events", "'service=' || service_name", ["service_name"], "sum(value)"),
+        total("database_errors_total", "incident_events", "'service=' || service_name", ["service_name"], "count(*) filter (type = 'error')"),
+        total("remediation_actions_total", "remediation_actions", "'action_type=' || action_type || ',target=' || target", ["target", "action_type"], "count(*)"),
+        total("remediation_failures_total", "remediation_actions", "'target=' || target", ["target"], "count(*) filter (not success)"),
+        total("incidents_total", "incidents", "'affected_service=' || affected_service", ["affected_service"], "count(*)"),
+        gauge("process_resident_memory_bytes", "metrics_wide", "max(memory_usage_mb * 1e6)"), gauge("error_percent", "metrics_wide", "max(error_rate * 100)"),
+        gauge("up", "incident_events", "1 - max((type = 'signup')::int)", "case when service_name in ('svc_0', 'svc_1') then 'job=flask-app,' else '' end || 'service=' || service_name"),
+        gauge("circuit_breaker_state", "k where n > 0", "max((st = 'OPEN')::int)"),
+    ]
+    match = {"HighErrorRate": "%status=5__", "ApplicationDown": "job=flask-app,%"}
+    rules = ", ".join(f"('{name}', '{metric}', '{match.get(name, '%')}', '{fn}', {window}, '{op}', {bound}::double, {hold}, '{severity}')" for name, metric, _, fn, window, op, bound, hold, severity, _, _ in prom.RULES)
+    return _BREAKER + f""", sm as ({" union all ".join(samples)}),
+ inc as (select *, case when v < prev then v else coalesce(v - prev, 0) end as d from (select *, lag(v) over (partition by metric, series, le order by timestamp) as prev from sm) q),
+ pane as (select metric, series, le, cast(ceil(epoch_us(timestamp)/300000000.0) as bigint) as c, sum(d) as d, max_by(v, timestamp) as newest, max(timestamp) as seen from inc group by 1, 2, 3, 4),
+ rules(alert, metric, match, fn, w, op, bound, hold, severity) as (values {rules}),
+ grown as (select p.metric, series, le, w, g, sum(d) as d from (select p.*, r.w, unnest(range(c, c + r.w // 300)) as g from pane p join (select distinct metric, w from rules where w > 0) r on r.metric = p.metric) p group by 1, 2, 3, 4, 5),
+ b as (select metric, series, w, g, le, d/w as cum, lag(le, 1, 0) over x as lo, lag(d/w, 1, 0) over x as below, row_number() over x as pos,
+  last_value(d/w) over (partition by metric, series, w, g order by le rows between unbounded preceding and unbounded following) as total from grown where le is not null window x as (partition by metric, series, w, g order by le)),
+ p95 as (select metric, series, w, g, case when total <> 0 then lo + (le - lo)*(0.95*total - below)/nullif(cum - below, 0) end as v
+  from (select *, count(*) filter (cum < 0.95*total) over (partition by metric, series, w, g) as i from b) q where pos = i + 1),
+ latest as (select metric, series, g, max_by(newest, seen) as v from (select *, unnest([c, c + 1]) as g from pane) q where g*300000000 - epoch_us(seen) <= 300000000 group by 1, 2, 3),
+ vals as (select 'rate' as fn, metric, series, w, g, d/w as v from grown where le is null union all select 'increase', metric, series, w, g, d from grown where le is null
+  union all select 'p95', metric, series, w, g, v from p95 union all select 'value', metric, series, 0, g, v from latest),
+ o as (select alert, series, hold, severity, g, coalesce(case op when '>' then v > bound else v = bound end, false) as on_ from vals join rules using (metric, fn, w) where series like match),
+ l as (select *, lag(on_, 1, false) over (partition by alert, series order by g) as was from o),
+ z as (select *, max(case when on_ and not was then g end) over (partition by alert, series order by g rows between unbounded preceding and current row) as since from l)
+select alert, case when not on_ then 'inactive' when (g - since)*300 >= hold then 'firing' else 'pending' end as state, severity, count(*) as evaluations from z group by 1, 2, 3"""
+
+
+@query("i10_all_rules", _all_rules_sql())
 def i10_all(spark, p):
     samples = _samples(spark, p).unionByName(_other_samples(spark, p))
     out = prom.evaluate_rules(samples, step=300)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.dates import before, moment
 from fleetlens.functions.numeric import col
-from fleetlens.plans.ordered import last_n
+from fleetlens.plans.ordered import last_n, running
 from fleetlens.schemas import SEVERITIES, STATUSES
 
 
@@ -18,6 +18,36 @@ def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) ->
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_after(df: DataFrame, keys: Sequence[tuple[str, bool]], size: int, after: Sequence | None = None) -> DataFrame:
+    """The page behind a row: `keys` are (column, descending) and tell rows apart, `after` has their values in the last row
+    of the page before; None for the first page.
+
+    What lies before the row is ruled out at the scan by a bound on the first key, and of the rest each task keeps
+    `size` rows, so that every page costs what the first one does."""
+    order = [F.desc(c) if down else F.asc(c) for c, down in keys]
+    if after is not None:
+        at = [F.lit(v).cast(df.schema[c].dataType) for (c, _), v in zip(keys, after)]
+        beyond = [F.col(c) < v if down else F.col(c) > v for (c, down), v in zip(keys, at)]
+        later, same = beyond[-1], list(zip([c for c, _ in keys], at))
+        for k in range(len(keys) - 2, -1, -1):
+            later = beyond[k] | ((F.col(same[k][0]) == same[k][1]) & later)
+        first, down = keys[0]
+        df = df.filter((F.col(first) <= at[0]) if down else (F.col(first) >= at[0])).filter(later)
+    return df.orderBy(*order).limit(size)
+
+
+def page_index(df: DataFrame, keys: Sequence[tuple[str, bool]], size: int) -> DataFrame:
+    """(page, keys of its first row) of every page, by ranks that are spread over all tasks. With the row before it, or with the
+    row itself and a page that includes it, any page is read by key. Descending keys are numbers or times."""
+    def sortable(name: str, down: bool) -> Column:
+        c = F.unix_micros(F.col(name).cast("timestamp")) if df.schema[name].dataType.typeName().startswith("timestamp") else F.col(name)
+        return -c if down else c
+
+    ranks = [f"_o{i}" for i in range(len(keys))]
+    placed = running(df.select(*[c for c, _ in keys]).withColumns({o: sortable(*k) for o, k in zip(ranks, keys)}), [], ranks, sums={"_n": F.lit(1)})
+    return placed.filter((F.col("_n") - 1) % size == 0).select(((F.col("_n") - 1) / size).cast("long").alias("page"), *[c for c, _ in keys])
+
+
 def matching_incidents(df, as_of, hours=24, status=None, severity=None, type=None) -> DataFrame:
     """Incidents of the last `hours`; status and severity in any case."""
     out = df.filter(F.col("timestamp") >= before(as_of, hours=hours))

@@ -14,6 +14,8 @@ from fleetlens.functions.dates import seconds_between
 from fleetlens.operators.aggregates import histogram_quantile
 from fleetlens.plans.intervals import micros, trailing_sum
 from fleetlens.plans.ordered import running, settle, with_history
+from fleetlens.session import durable
+from fleetlens.sources.partitions import append_batch, delete_rows, exists, read_table
 
 
 def increments(df, keys, by=("timestamp",), value="value", name="increment", **how) -> DataFrame:
@@ -48,6 +50,13 @@ def _grid_time(cell: Column, step: float) -> Column:
     return F.timestamp_micros(cell * F.lit(int(step * 1_000_000))).cast("timestamp_ntz")
 
 
+def _window_rate(cells: DataFrame, keys, seconds: float, step: float) -> DataFrame:
+    """Rate at every grid point from the growth `_inc` of each (series, `_cell`)."""
+    spread = cells.withColumn("_cell", F.explode(F.sequence(F.col("_cell"), F.col("_cell") + int(seconds / step) - 1)))
+    rate = spread.groupBy(*keys, "_cell").agg((F.sum("_inc") / F.lit(float(seconds))).alias("value"))
+    return rate.select(*keys, _grid_time(F.col("_cell"), step).alias("timestamp"), "value")
+
+
 def grid_rate(df, keys, seconds=300, step=30, by=("timestamp",), value="value", **how) -> DataFrame:
     """Rate over (t - seconds, t] at every grid point t whose window holds a sample.
 
@@ -55,25 +64,23 @@ def grid_rate(df, keys, seconds=300, step=30, by=("timestamp",), value="value",
     if seconds % step:
         raise ValueError("the window must be a whole number of steps")
     grown = increments(df, keys, by, value, "_inc", **how)
-    cells = grown.groupBy(*keys, _cell(step).alias("_cell")).agg(F.sum("_inc").alias("_inc"))
-    spread = cells.withColumn("_cell", F.explode(F.sequence(F.col("_cell"), F.col("_cell") + int(seconds / step) - 1)))
-    rate = spread.groupBy(*keys, "_cell").agg((F.sum("_inc") / F.lit(float(seconds))).alias("value"))
-    return rate.select(*keys, _grid_time(F.col("_cell"), step).alias("timestamp"), "value")
+    return _window_rate(grown.groupBy(*keys, _cell(step).alias("_cell")).agg(F.sum("_inc").alias("_inc")), keys, seconds, step)
 
 
-def instant(df, keys, step=30, staleness=300, by=("timestamp",), value="value") -> DataFrame:
-    """Latest sample at or before every grid point, no older than `staleness` seconds."""
-    newest = F.struct(*by)
-    cells = df.groupBy(*keys, _cell(step).alias("_cell")).agg(
-        F.max_by(value, newest).alias("value"), F.max(newest).alias("_at")
-    )
-    reach = F.col("_cell") + int(staleness / step)
-    spread = cells.withColumn("_g", F.explode(F.sequence(F.col("_cell"), reach)))
+def _latest(cells: DataFrame, keys, step: float, staleness: float = 300) -> DataFrame:
+    """Latest value at every grid point from the last one of each (series, `_cell`) and its time `_at`."""
+    spread = cells.withColumn("_g", F.explode(F.sequence(F.col("_cell"), F.col("_cell") + int(staleness / step))))
     spread = spread.withColumn("_t", _grid_time(F.col("_g"), step))
-    fresh = spread.filter(seconds_between("_at.timestamp", "_t") <= staleness)
+    fresh = spread.filter(seconds_between("_at", "_t") <= staleness)
     return fresh.groupBy(*keys, F.col("_t").alias("timestamp")).agg(F.max_by("value", "_at").alias("value"))
 
 
+def instant(df, keys, step=30, staleness=300, by=("timestamp",), value="value") -> DataFrame:
+    """Latest sample at or before every grid point, no older than `staleness` seconds."""
+    cells = df.groupBy(*keys, _cell(step).alias("_cell")).agg(F.max_by(value, F.struct(*by)).alias("value"), F.max("timestamp").alias("_at"))
+    return _latest(cells, keys, step, staleness)
+
+
 def recording_rule(df: DataFrame, record: str, expr: Callable[[DataFrame], DataFrame], path: str | None = None) -> DataFrame:
     """The named result of an expression on its grid; written to `path` when one is given."""
     out = expr(df).withColumn("record", F.lit(record))
@@ -82,6 +89,33 @@ def recording_rule(df: DataFrame, record: str, expr: Callable[[DataFrame], DataF
     return out
 
 
+def update_rule(spark, path: str, df: DataFrame, record: str, expr: Callable[[DataFrame], DataFrame], keys: Sequence[str], window_s: float, by: Sequence[str] = ("timestamp",)) -> int:
+    """Bring the stored points of a recording rule up to date with the samples `df`, which may have grown at their end; the number
+    of points written.
+
+    A point is closed once a sample behind it is there. Closed points are kept as they are; the open ones go, and
+    they and those after them are evaluated from the samples that their windows touch and, for the growth of counters, the
+    one before these in each series. Repeated over the same samples it writes the same points again."""
+    newest = df.agg(F.max("timestamp").alias("t")).first()["t"]
+    if newest is None:
+        return 0
+    last = None
+    if exists(spark, path):
+        last = read_table(spark, path).filter((F.col("record") == record) & ~F.col("open")).agg(F.max("timestamp").alias("t")).first()["t"]
+    rows = df
+    if last is not None:
+        start = F.lit(last) - F.make_dt_interval(secs=F.lit(float(window_s)))
+        former = df.filter(F.col("timestamp") <= start).groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(*by)).alias("_r")).select("_r.*")
+        rows = df.filter(F.col("timestamp") > start).unionByName(former)
+    points = expr(rows).withColumns({"record": F.lit(record), "open": F.col("timestamp") > F.lit(newest), "date": F.to_date("timestamp")})
+    points = durable(points if last is None else points.filter(F.col("timestamp") > F.lit(last)))
+    if exists(spark, path):
+        gone = (F.col("record") == record) & F.col("open") if last is None else (F.col("record") == record) & (F.col("timestamp") > F.lit(last))
+        delete_rows(spark, path, ["date"], gone, F.lit(True) if last is None else F.col("date") >= F.to_date(F.lit(last)))
+    append_batch(points, path, ["date"], f"{record}-{last}-{newest}".replace(":", ".").replace(" ", "T"))
+    return points.count()
+
+
 def alert_states(df, keys, cond: Column, for_s: float | Column, by=("timestamp",), **how) -> DataFrame:
     """inactive, pending or firing at each evaluation: firing once the condition has held for `for_s`
     seconds without a break."""
@@ -121,7 +155,7 @@ RULES = [
     ("HighErrorRate", "http_requests_total", [("status", "=~", "5..")], "rate", 300, ">", 0.05, 120, "critical", "app", "High error rate detected"),
     ("HighCPUUsage", "process_cpu_seconds_total", [], "rate", 300, ">", 0.8, 300, "warning", "app", "High CPU usage detected"),
     ("HighMemoryUsage", "process_resident_memory_bytes", [], "value", 0, ">", 5e8, 300, "warning", "app", "High memory usage detected"),
-    ("ApplicationDown", "up", [], "value", 0, "==", 0.0, 60, "critical", "app", "Application is down"),
+    ("ApplicationDown", "up", [("job", "=", "flask-app")], "value", 0, "==", 0.0, 60, "critical", "app", "Application is down"),
     ("HighResponseTime", "http_request_duration_seconds_bucket", [], "p95", 300, ">", 0.5, 180, "warning", "app", "High response time detected"),
     ("FrequentRemediations", "remediation_actions_total", [], "rate", 600, ">", 0.5, 300, "warning", "bot", "Frequent remediation actions"),
     ("RemediationFailures", "remediation_failures_total", [], "rate", 300, ">", 0.1, 120, "critical", "bot", "Remediation actions failing"),
@@ -155,23 +189,36 @@ def _matches(labels: Column, matchers) -> Column:
     return ok
 
 
-def _rule_values(samples: DataFrame, fn: str, window: float, metrics: list[str], step: float, **how) -> DataFrame:
+def _panes(samples: DataFrame, metrics: Sequence[str], step: float, **how) -> DataFrame:
+    """(metric, series, _cell, _inc, value, _at): what each series did in each step that holds a sample: its growth, its last
+    value and when. All that rules ask of samples, whatever their windows; made durable, so samples are read once."""
+    keys = ["metric", "series"]
+    rows = samples.filter(F.col("metric").isin(*metrics)).select("metric", _series(F.col("labels")).alias("series"), "timestamp", "value")
+    grown = increments(rows, keys, ("timestamp",), "value", "_inc", **how)
+    return durable(
+        grown.groupBy(*keys, _cell(step).alias("_cell")).agg(
+            F.sum("_inc").alias("_inc"), F.max_by("value", "timestamp").alias("value"), F.max("timestamp").alias("_at")
+        )
+    )
+
+
+def _labels() -> Column:
+    return F.str_to_map("series", F.lit(_PAIR), F.lit(_IS))
+
+
+def _rule_values(panes: DataFrame, fn: str, window: float, metrics: list[str], step: float) -> DataFrame:
     """(metric, series, timestamp, value) of one function over all metrics that a rule applies it to."""
-    rows = samples.filter(F.col("metric").isin(metrics))
-    keyed = rows.withColumn("series", _series(F.col("labels")))
+    rows = panes.filter(F.col("metric").isin(metrics))
     keys = ["metric", "series"]
     if fn == "value":
-        return instant(keyed, keys, step)
+        return _latest(rows, keys, step)
     if fn in ("rate", "increase"):
-        rate = grid_rate(keyed, keys, window, step, **how)
+        rate = _window_rate(rows, keys, window, step)
         return rate if fn == "rate" else rate.withColumn("value", F.col("value") * window)
     if fn == "p95":
-        le = F.regexp_replace(F.col("labels")["le"], r"^\+Inf$", "Infinity").try_cast("double")
-        parts = rows.withColumn("le", le).filter(F.col("le").isNotNull()).withColumn(
-            "series", _series(F.map_filter("labels", lambda k, v: k != "le"))
-        )
-        cells = grid_rate(parts, [*keys, "le"], window, step, **how)
-        q = histogram_quantile(cells, 0.95, [*keys, "timestamp"], cum="value")
+        le = F.regexp_replace(_labels()["le"], r"^\+Inf$", "Infinity").try_cast("double")
+        parts = rows.withColumn("le", le).filter(F.col("le").isNotNull()).withColumn("series", _series(F.map_filter(_labels(), lambda k, v: k != "le")))
+        q = histogram_quantile(_window_rate(parts, [*keys, "le"], window, step), 0.95, [*keys, "timestamp"], cum="value")
         return q.withColumnRenamed("quantile", "value")
     raise ValueError(f"unknown rule function {fn!r}")
 
@@ -180,16 +227,17 @@ def evaluate_rules(samples: DataFrame, rules=None, step: float = 30, **how) -> D
     """State of every rule for every series at every grid point with data.
 
     Input (timestamp, metric, labels, value); output (alert, series, timestamp, value, state, severity,
-    component, summary). Each (function, window) is evaluated once for all its rules, and all rules share
-    one pass for their states."""
+    component, summary). The samples are read once and shrink to one row per series and step; each (function,
+    window) is evaluated once for all its rules from these, and all rules share one pass for their states."""
     rules = RULES if rules is None else rules
+    panes = _panes(samples, sorted({r[1] for r in rules}), step, **how)
     classes: dict[tuple, list] = {}
     for r in rules:
         classes.setdefault((r[3], r[4]), []).append(r)
     parts = []
     for (fn, window), members in classes.items():
-        values = _rule_values(samples, fn, window, sorted({r[1] for r in members}), step, **how)
-        labels, v = F.str_to_map("series", F.lit(_PAIR), F.lit(_IS)), F.col("value")
+        values = _rule_values(panes, fn, window, sorted({r[1] for r in members}), step)
+        labels, v = _labels(), F.col("value")
         hits = []
         for name, metric, match, _, _, op, bound, hold, severity, component, summary in members:
             on = {">": v > bound, "==": v == bound, "<": v < bound}[op]

@@ -44,8 +44,11 @@ def settle(df: DataFrame, keys: Sequence[str], how: dict) -> dict:
 
 
 def block_number(df: DataFrame) -> int:
-    """Blocks of about BLOCK_BYTES by Spark's own size estimate, at least the session's shuffle partitions."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Blocks of about BLOCK_BYTES of what `df` reads, by Spark's own size estimate, at least the session's shuffle
+    partitions. Inputs of unknown size count nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
 
 
