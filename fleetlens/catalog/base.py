@@ -43,6 +43,7 @@ from events group by 1, 2""",
   concat('svc_', cast(l_suppkey % 10 as varchar)) as target, l_returnflag <> 'R' as success,
   cast(l_quantity*100 as int) as execution_time_ms from lineitem""",
     "incident_events": f"""select event_id as id, ts as timestamp, event_type as type, {_SVC4} as service_name, value from events""",
+    "failures": "select * from incident_events where type = 'error'",
     "counters": f"""select {_SVC4} as service, event_type,
   case when event_type='error' then '500' else '200' end as status, ts as timestamp, event_id,
   (count(*) over (partition by user_id % 4, event_type order by ts, event_id)) % 50 as value from events""",

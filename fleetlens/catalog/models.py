@@ -137,21 +137,21 @@ def k15(spark, p):
     return _r(out, "current_forecast", "final_forecast", "volatility", "change", "percent_change")
 
 
-def _errors(spark, p):
-    return t.incident_events(spark, p).filter(F.col("type") == "error").withColumnRenamed("service_name", "service")
+def _failures(spark, p):
+    return t.failures(spark, p).withColumnRenamed("service_name", "service")
 
 
-@query("k17_training_set", """select m.service, m.timestamp, cast(exists (select 1 from incident_events i where i.service_name = m.service and i.type = 'error'
+@query("k17_training_set", """select m.service, m.timestamp, cast(exists (select 1 from failures i where i.service_name = m.service
    and i.timestamp > timestamp '2024-01-31' - interval 168 hour and i.timestamp between m.timestamp and m.timestamp + interval 1 hour) as int) as label
  from (select distinct service, timestamp from metrics_long where timestamp > timestamp '2024-01-31' - interval 168 hour) m""")
 def k17(spark, p):
-    out = failure.training_set(t.metrics_long(spark, p), _errors(spark, p), EV_NOW, t.LONG_METRICS)
+    out = failure.training_set(t.metrics_long(spark, p), _failures(spark, p), EV_NOW, t.LONG_METRICS)
     return out.select("service", "timestamp", "label")
 
 
 def _fitted(spark, p):
     # Boosting reads its rows many times.
-    rows = durable(failure.training_set(t.metrics_long(spark, p), _errors(spark, p), EV_NOW, t.LONG_METRICS, hours=744))
+    rows = durable(failure.training_set(t.metrics_long(spark, p), _failures(spark, p), EV_NOW, t.LONG_METRICS, hours=744))
     return rows, failure.fit_failure_model(rows)
 
 

@@ -303,11 +303,10 @@ def c3_counts(spark, p):
     return jn.count_matches(left, inc, [], ["id"], 600, 600).select("id", "matches")
 
 
-@query("c4_match_predictions", """select p.id, exists (select 1 from incident_events i where i.type = 'purchase' and i.timestamp between p.timestamp and p.timestamp + interval 1 hour) as matched
+@query("c4_match_predictions", """select p.id, exists (select 1 from incident_events i where i.timestamp between p.timestamp and p.timestamp + interval 1 hour) as matched
 from predictions p where risk_level in ('high', 'medium')""")
 def c4(spark, p):
-    inc = t.incident_events(spark, p).filter(F.col("type") == "purchase")
-    return jn.match_predictions(t.predictions(spark, p), inc).select("id", "matched")
+    return jn.match_predictions(t.predictions(spark, p), t.incident_events(spark, p)).select("id", "matched")
 
 
 @query("c5_match_forecasts", f"""select f.service, f.metric_name, f.predicted_timestamp, f.predicted_value, m.event_id, m.value from forecasts f
@@ -319,11 +318,10 @@ def c5(spark, p):
     return m.select("service", "metric_name", "predicted_timestamp", "predicted_value", "event_id", "value")
 
 
-@query("c6_label_next_hour", """select m.service_name, m.timestamp, cast(exists (select 1 from incident_events i where i.service_name = m.service_name and i.type = 'error'
+@query("c6_label_next_hour", """select m.service_name, m.timestamp, cast(exists (select 1 from incident_events i where i.service_name = m.service_name
   and i.timestamp between m.timestamp and m.timestamp + interval 1 hour) as int) as label from metrics_wide m""")
 def c6(spark, p):
-    inc = t.incident_events(spark, p).filter(F.col("type") == "error")
-    return jn.label_next_hour(t.metrics_wide(spark, p), inc).select("service_name", "timestamp", "label")
+    return jn.label_next_hour(t.metrics_wide(spark, p), t.incident_events(spark, p)).select("service_name", "timestamp", "label")
 
 
 @query("c7_report_bundle", """with ana as (select o_orderkey as incident_id, concat('cause ', l_linenumber) as root_cause, l_shipdate as analyzed_at from orders join lineitem on l_orderkey = o_orderkey),
@@ -542,12 +540,11 @@ def d18_fanout(spark, p):
     return _r(agg.evaluate_fanout(jn.count_matches(left, inc, [], ["id"], 600, 600)), "rate")
 
 
-@query("d18_evaluate_predictions", f"""with m as (select exists (select 1 from incident_events i where i.type = 'error' and i.timestamp between s.timestamp and s.timestamp + interval 1 hour) as hit
+@query("d18_evaluate_predictions", f"""with m as (select exists (select 1 from incident_events i where i.timestamp between s.timestamp and s.timestamp + interval 1 hour) as hit
  from predictions s where risk_level <> 'low')
 select count(*) as predictions, count(*) filter (hit) as correct, {R("count(*) filter (hit)/count(*)")} as accuracy from m""")
 def d18_pred(spark, p):
-    inc = t.incident_events(spark, p).filter(F.col("type") == "error")
-    return _r(agg.evaluate_model("failure_predictor", pr=t.predictions(spark, p), inc=inc, as_of=EV_NOW, hours=9000), "accuracy")
+    return _r(agg.evaluate_model("failure_predictor", pr=t.predictions(spark, p), inc=t.incident_events(spark, p), as_of=EV_NOW, hours=9000), "accuracy")
 
 
 @query("d18_evaluate_forecasts", f"""select {R("coalesce(avg(abs(f.predicted_value - m.value)), 0)")} as mae, count(*) as comparisons from forecasts f join metrics_long m
@@ -609,6 +606,19 @@ def f1(spark, p):
     return flt.page(t.incidents(spark, p).select("id", "timestamp", "type"), [F.desc("timestamp"), F.col("id")], 25, 100)
 
 
+@query("f1_page_by_key", """select id, timestamp, status from (select *, row_number() over (order by timestamp desc, id desc) as rn from incidents) q where rn between 1001 and 1050""")
+def f1_keys(spark, p):
+    """The page behind the thousandth incident, read by its key."""
+    inc, keys = t.incidents(spark, p), [("timestamp", True), ("id", True)]
+    before = flt.page_index(inc, keys, 999).filter("page = 1").first()  # the row of rank 1,000
+    return flt.page_after(inc, keys, 50, before[1:] if before else None).select("id", "timestamp", "status")
+
+
+@query("f1_page_index", "select (rn - 1) // 40 as page, timestamp, id from (select *, row_number() over (order by timestamp desc, id) as rn from remediation_actions) q where (rn - 1) % 40 = 0")
+def f1_index(spark, p):
+    return flt.page_index(t.remediation_actions(spark, p), [("timestamp", True), ("id", False)], 40)
+
+
 @query("g1_union_labelled", """select timestamp, service_name, cpu_usage_percent, 'busy' as label from metrics_wide where cpu_usage_percent > 80
 union all select timestamp, service_name, null, 'failing' from metrics_wide where error_rate > 0.2""")
 def g1(spark, p):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.dates import moment, seconds_between
 from fleetlens.operators.rules import should_retrain
+from fleetlens.sources.partitions import append_batch
 from fleetlens.sources.tables import MODELS
 
 # Seconds between runs of the periodic jobs.
@@ -84,8 +85,8 @@ MODEL_TYPES = {"anomaly_detector": "isolation_forest", "failure_predictor": "boo
 def registry_rows(reg: DataFrame, report: list[dict], as_of) -> DataFrame:
     """One row per model of a cycle; a trained one has the registry row to append, with the next version.
 
-    A run of the registry is a version: a model's next one counts the runs up to `as_of` and itself.
-    Result facts other than accuracy and mae become JSON metadata."""
+    The next version follows the highest one of the model up to `as_of`; a registry without versions numbers its runs.
+    `append_registry` stores the rows. Result facts other than accuracy and mae become JSON metadata."""
     made = []
     for r in report:
         facts = r.get("result", {})
@@ -96,7 +97,8 @@ def registry_rows(reg: DataFrame, report: list[dict], as_of) -> DataFrame:
         ))
     schema = "model_name string, status string, reason string, model_type string, accuracy double, mae double, metadata string"
     done = reg.sparkSession.createDataFrame(made, schema)
-    runs = reg.filter(F.col("trained_at") <= moment(as_of)).groupBy("model_name").agg(F.count("*").alias("_runs"))
+    top = F.max("version") if "version" in reg.columns else F.count("*")
+    runs = reg.filter(F.col("trained_at") <= moment(as_of)).groupBy("model_name").agg(top.cast("long").alias("_runs"))
     trained = F.col("status") == "success"
     return done.join(runs, "model_name", "left").select(
         F.col("model_name").alias("model"), "status", "reason",
@@ -107,6 +109,12 @@ def registry_rows(reg: DataFrame, report: list[dict], as_of) -> DataFrame:
     )
 
 
+def append_registry(rows: DataFrame, path: str, as_of) -> None:
+    """Add the trained models of a cycle to the stored registry; the cycle repeated adds nothing."""
+    trained = rows.filter(F.col("status") == "success").select(F.col("model").alias("model_name"), "model_type", "version", "accuracy", "mae", "metadata", "trained_at")
+    append_batch(trained, path, ["model_name"], str(as_of).replace(" ", "T").replace(":", "."))
+
+
 def cycle_summary(report: list[dict]) -> dict:
     done = [r for r in report if r["status"] != "skipped"]
     return {"total": len(done), "successful": sum(r["status"] == "success" for r in done)}

@@ -119,6 +119,12 @@ def incident_events(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def failures(spark: SparkSession, path: str) -> DataFrame:
+    """The incidents that count as failures of a service: those of type `error`. Ordinary traffic is no failure, and
+    with it nearly every hour of every service would have one."""
+    return incident_events(spark, path).filter(F.col("type") == "error")
+
+
 def counters(spark: SparkSession, path: str) -> DataFrame:
     """A counter per (service, event type) that falls back to 0 at every 50th event."""
     ev = table(spark, path, "events").select(

@@ -189,3 +189,19 @@ def test_retrain_cycle_reports_models_without_trainer(spark, small):
     status = lifecycle.model_status(t.registry(spark, small), models._log(spark, small), "2001-08-03 12:00:00")
     report = lifecycle.retrain_cycle(status, {"forecaster": lambda: {"mae": 1.0}}, every=True)
     assert {r["model"]: r["status"] for r in report} == {"anomaly_detector": "skipped", "failure_predictor": "skipped", "forecaster": "success"}
+
+
+def test_registry_grows_by_cycles(spark, tmp_path):
+    """A stored cycle raises the version; repeated, it adds nothing."""
+    from fleetlens.sources.partitions import read_table
+
+    path, first = str(tmp_path / "registry"), spark.createDataFrame([(1, "forecaster", "2001-08-01 00:00:00")], "id long, model_name string, trained_at string")
+    reg = first.withColumn("trained_at", F.col("trained_at").cast("timestamp_ntz"))
+    report = [{"model": "forecaster", "status": "success", "reason": "due", "result": {"mae": 1.5, "series": 3}}, {"model": "failure_predictor", "status": "failed", "reason": "no"}]
+    for now, version in (("2001-08-03 12:00:00", 2), ("2001-08-04 12:00:00", 3)):
+        rows = lifecycle.registry_rows(reg, report, now)
+        for _ in range(2):
+            lifecycle.append_registry(rows, path, now)
+        stored = read_table(spark, path)
+        assert stored.count() == version - 1 and stored.agg(F.max("version")).first()[0] == version
+        reg = stored
