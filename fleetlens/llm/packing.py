@@ -2,8 +2,10 @@
 
 A configuration is what one sequence may hold: numbers of pieces of each length. The covering program, whose
 solution says how often each configuration is used, is solved by multiplicative weights: each round prices the
-lengths and a knapsack finds the configuration of greatest price. Lengths enter in classes. The solution is rounded down, its
-classes are replaced by their longest pieces, and what remains is filled in best-fit. The histogram has at most `capacity` numbers, so all this is small whatever the corpus."""
+lengths and a knapsack finds the configuration of greatest price. Lengths enter in classes. The solution is rounded down and its
+classes are replaced by their longest pieces, but for the last place of a sequence, which takes the longest piece that fits.
+Sequences that this fills to the end are kept, and all other pieces are filled in best-fit. The histogram has at most
+`capacity` numbers, so all this is small whatever the corpus."""
 
 from __future__ import annotations
 
@@ -26,9 +28,11 @@ END_ID = 1
 #: Words whose ids a Python worker keeps at hand; longer words are not kept.
 CACHED_WORDS, CACHED_CHARS = 900_000, 40
 #: Classes of lengths in the program, rounds of the solver, and the share of its scarcest class a round may cover.
-CLASSES, ROUNDS, EPSILON = 96, 300, 0.5
-#: Pieces below this part of the capacity stay out of the program and fill what it leaves.
-SMALL = 4
+CLASSES, ROUNDS, EPSILON = 96, 2000, 0.1
+#: The least pieces, as parts of the capacity, that the program decides on; tried in this order. Above 1: none.
+LEAST = (0, 1 / 8, 1 / 4, 2)
+#: Tokens that a sequence of the program may leave free.
+WASTE = 0
 _PIECE = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("tokens", pa.binary())])
 
 
@@ -100,30 +104,31 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_tokens: bo
 
 
 def best_configuration(prices: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of greatest price; prices[l] for a piece of length l, at most most[l] of them."""
-    lengths = np.flatnonzero(prices > 0)
+    """The configuration of greatest price; prices[l] for a piece of length l, at most most[l] of them.
+
+    Each length comes in bundles of 1, 2, 4 ... pieces, so that a bundle is one step over all rooms at once."""
+    bundles = []
+    for length in np.flatnonzero(prices > 0):
+        left, size = min(int(most[length]), capacity // int(length)), 1
+        while left > 0:
+            size = min(size, left)
+            bundles.append((int(length), size, float(prices[length]) * size))
+            left, size = left - size, 2 * size
     value = np.zeros(capacity + 1)
-    choice = np.zeros(capacity + 1, np.int64)
-    worth = prices[lengths]
-    for room in range(1, capacity + 1):
-        k = int(np.searchsorted(lengths, room, "right"))
-        value[room] = value[room - 1]
-        if k:
-            totals = value[room - lengths[:k]] + worth[:k]
-            j = int(totals.argmax())
-            if totals[j] > value[room]:
-                value[room], choice[room] = totals[j], lengths[j]
+    taken = np.zeros((len(bundles), capacity + 1), bool)
+    for i, (length, size, worth) in enumerate(bundles):
+        w = length * size
+        with_it = value[: capacity + 1 - w] + worth
+        np.greater(with_it, value[w:], out=taken[i, w:])
+        value[w:] = np.maximum(value[w:], with_it)
     out: dict[int, int] = defaultdict(int)
     room = capacity
-    while room > 0:
-        if not choice[room]:
-            room -= 1
-            continue
-        length = int(choice[room])
-        if out[length] < most[length]:
-            out[length] += 1
-        room -= length
-    return {k: v for k, v in out.items() if v}
+    for i in range(len(bundles) - 1, -1, -1):
+        if taken[i, room]:
+            length, size, _ = bundles[i]
+            out[length] += size
+            room -= length * size
+    return dict(out)
 
 
 def classes_of(histogram: np.ndarray, most: int = CLASSES) -> np.ndarray:
@@ -156,70 +161,100 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = RO
     return [(dict(k), v) for k, v in found.items()]
 
 
-def _take(pool: list, v: int) -> tuple[dict[int, int], int]:
-    """v pieces from the front of (length, number) entries, and how often exactly these can be taken."""
-    if pool[0][1] >= v:
-        return {pool[0][0]: v}, pool[0][1] // v
-    out, i = {}, 0
-    while v:
-        k = min(v, pool[i][1])
-        out[pool[i][0]] = k
-        v -= k
-        i += 1
-    return out, 1
+def _longest(left: np.ndarray, contents: dict[int, int], low: int, high: int) -> int:
+    """The longest length in low..high of which `left` has a piece beyond those in `contents`; 0 if there is none."""
+    free = left[low : high + 1].copy()
+    for length, v in contents.items():
+        if low <= length <= high:
+            free[length - low] -= v
+    at = np.flatnonzero(free > 0)
+    return low + int(at[-1]) if len(at) else 0
 
 
-def pack(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """(contents, number of sequences) that hold histogram[l] pieces of each length l exactly."""
-    left = histogram.astype(np.int64).copy()
-    if not left.any():
+def _round(left: np.ndarray, sizes: np.ndarray, low: int, config: dict[int, int], capacity: int, waste: int) -> tuple[dict[int, int], int]:
+    """Lengths for a configuration and how many sequences `left` can fill with them; none if more than `waste` tokens
+    would stay free. Each class gives its longest piece; the last place takes the longest piece at all that fits."""
+    contents: dict[int, int] = defaultdict(int)
+    room = capacity
+    places_ = sorted((k for k, v in config.items() for _ in range(v)), reverse=True)
+    for i, end in enumerate(places_):
+        if i < len(places_) - 1:
+            at = int(np.searchsorted(sizes, end))
+            length = _longest(left, contents, max(int(sizes[at - 1]) + 1 if at else 1, low), min(end, room))
+        else:
+            length = _longest(left, contents, 1, room)
+        if not length:
+            return {}, 0
+        contents[length] += 1
+        room -= length
+    if room > waste:
+        return {}, 0
+    return dict(contents), min(int(left[length]) // v for length, v in contents.items())
+
+
+def by_program(left: np.ndarray, least: int, capacity: int, waste: int = WASTE) -> list[tuple[dict[int, int], int]]:
+    """Sequences that the program over pieces of `least` tokens or more decides; their pieces leave `left`."""
+    part = left.copy()
+    part[:least] = 0
+    if not part.any():
         return []
-    small = {int(k): int(left[k]) for k in np.flatnonzero(left[: capacity // SMALL])}
-    left[: capacity // SMALL] = 0
-    sizes = classes_of(left) if left.any() else np.zeros(0, np.int64)
-    groups = np.searchsorted(sizes, np.arange(len(left)))
-    demand = np.bincount(groups, weights=left, minlength=len(sizes))[: len(sizes)]
-    pools = [[[int(k), int(left[k])] for k in np.flatnonzero((groups == g) & (left > 0))[::-1]] for g in range(len(sizes))]
-    supply = demand.astype(np.int64)
-    rooms: dict[int, list] = defaultdict(list)
-    for config, times in sorted(solve(sizes, demand, capacity), key=lambda x: -sum(k * v for k, v in x[0].items())):
-        need = {int(groups[k]): v for k, v in config.items()}
-        todo = min(int(times), *(int(supply[g] // v) for g, v in need.items()))
+    sizes = classes_of(part)
+    demand = np.bincount(np.searchsorted(sizes, np.arange(len(part))), weights=part, minlength=len(sizes))[: len(sizes)]
+    out = []
+    for config, times in sorted(solve(sizes, demand, capacity), key=lambda x: -x[1]):
+        todo = int(times)
         while todo > 0:
-            parts = {g: _take(pools[g], v) for g, v in need.items()}
-            k = min(todo, *(n for _, n in parts.values()))
-            contents: dict[int, int] = {}
-            for g, (lengths, _) in parts.items():
-                for length, v in lengths.items():
-                    contents[length] = v
-                    entry = next(e for e in pools[g] if e[0] == length)
-                    entry[1] -= v * k
-                pools[g] = [e for e in pools[g] if e[1]]
-                supply[g] -= need[g] * k
-            rooms[capacity - sum(length * v for length, v in contents.items())].append([contents, k])
+            contents, k = _round(left, sizes, least, config, capacity, waste)
+            if not k:
+                break
+            k = min(k, todo)
+            for length, v in contents.items():
+                left[length] -= v * k
+            out.append((contents, k))
             todo -= k
-    # best fit, longest first, for the rest; sequences with equal room and contents are one entry
-    rest = small | {length: n for pool in pools for length, n in pool}
-    for length in sorted(rest, reverse=True):
-        todo = rest[length]
+    return out
+
+
+def fill(plan: list[tuple[dict[int, int], int]], left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """`plan` with all pieces of `left` put in by best fit, longest first. Sequences alike are one entry."""
+    rooms: dict[int, list] = defaultdict(list)
+    for contents, k in plan:
+        rooms[capacity - sum(length * v for length, v in contents.items())].append((contents, k))
+    for length in map(int, np.flatnonzero(left)[::-1]):
+        todo = int(left[length])
         while todo:
             room = next((r for r in range(length, capacity + 1) if rooms.get(r)), None)
-            if room is None:
-                each = min(capacity // length, todo)
-                k = todo // each
-                rooms[capacity - each * length].append([{length: each}, k])
-                todo -= each * k
-                continue
-            contents, k = rooms[room].pop()
-            each = min(room // length, todo)
+            contents, k = rooms[room].pop() if room else ({}, todo)
+            each = min((room or capacity) // length, todo)
             take = min(k, todo // each)
-            if take < k:
-                rooms[room].append([contents, k - take])
-            rooms[room - each * length].append([contents | {length: contents.get(length, 0) + each}, take])
+            if room and take < k:
+                rooms[room].append((contents, k - take))
+            rooms[(room or capacity) - each * length].append((contents | {length: contents.get(length, 0) + each}, take))
             todo -= each * take
     return [(contents, k) for group in rooms.values() for contents, k in group if k]
 
 
+def pack(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """(contents, number of sequences) that hold histogram[l] pieces of each length l exactly.
+
+    The program decides on all lengths. Where it needs more sequences than the tokens do at least, it is asked again
+    with short pieces left to fill in, at last with all; the plan of the fewest sequences counts, the first of equals."""
+    histogram = histogram.astype(np.int64)
+    bound = -(-int(histogram @ np.arange(len(histogram))) // capacity)
+    best: list[tuple[dict[int, int], int]] = []
+    fewest = None
+    for part in LEAST:
+        left = histogram.copy()
+        plan = by_program(left, max(1, int(part * capacity)), capacity) if part <= 1 else []
+        plan = fill(plan, left, capacity)
+        n = sum(k for _, k in plan)
+        if fewest is None or n < fewest:
+            best, fewest = plan, n
+        if fewest == bound:
+            break
+    return best
+
+
 def places(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     """For each length, rows (first rank, first sequence, pieces a sequence, offset), by first rank."""
     out: dict[int, list] = defaultdict(list)

@@ -282,6 +282,32 @@ def test_program_beats_best_fit_where_it_can():
     assert sum(k for _, k in plan) < len(bins)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_is_never_worse_than_best_fit(seed):
+    """Short pieces take part in the program, and no plan needs more sequences than best fit alone."""
+    rng = np.random.default_rng(seed)
+    lengths = np.minimum(4096, [rng.lognormal(5, 1.2, 4000), rng.integers(1, 900, 4000), rng.integers(1, 4097, 4000), rng.integers(1, 5, 4000) * 800][seed]).astype(int)
+    histogram = np.bincount(np.maximum(lengths, 1), minlength=4097)
+    plan = packing.pack(histogram)
+    held = np.zeros(4097, np.int64)
+    for contents, k in plan:
+        assert k > 0 and sum(a * b for a, b in contents.items()) <= 4096
+        for a, b in contents.items():
+            held[a] += b * k
+    assert (held == histogram).all()
+    assert sum(k for _, k in plan) <= sum(k for _, k in packing.fill([], histogram, 4096))
+    left = histogram.copy()
+    decided = packing.by_program(left, 1, 4096)
+    assert seed == 3 or any(a < 1024 for contents, _ in decided for a in contents)
+    assert all(sum(a * b for a, b in contents.items()) == 4096 for contents, _ in decided)
+
+
+def test_knapsack_keeps_to_the_numbers_at_hand():
+    prices, most = np.zeros(4097), np.zeros(4097, np.int64)
+    prices[[5, 1000, 1365]], most[[5, 1000, 1365]] = [0.01, 2.0, 3.0], [7, 3, 2]
+    assert packing.best_configuration(prices, most, 4096) == {1365: 2, 1000: 1, 5: 7}
+
+
 def test_knapsack():
     prices = np.zeros(11)
     prices[[3, 4, 7]] = [4.0, 5.0, 9.5]
