@@ -166,20 +166,26 @@ def match_stream(left: DataFrame, inc: DataFrame, keys: Sequence[str], row_id: S
     """Streaming `exists_between`: row_id, keys, `ts` and `matched`, for rows of `left` that meet a row of `inc` of the same
     keys in [t - back, t + ahead]. Both sides have a watermark.
 
-    Time is cut into cells of the interval's length, so that a row of `left` looks into two of them and the join is one on
-    (keys, cell). A row waits on either side while a partner may still come, then a left row goes out unmatched: a left
-    row gives a row for each partner or each empty cell, and `matched_rows` settles them."""
-    width = int((back_s + ahead_s) * 1_000_000)
-    cell = lambda us: F.floor(us / F.lit(width))
-    lo = F.unix_micros(ts) - int(back_s * 1_000_000)
-    a = left.select(*row_id, *keys, ts, F.explode(F.array(cell(lo), cell(lo) + 1)).alias("_cell")).alias("a")
-    b = inc.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(ts).alias("_at"), cell(F.unix_micros(ts)).alias("_at_cell")).alias("b")
-    cond = F.col("_cell") == F.col("_at_cell")
+    Time is cut into cells of the interval's length, so that a row of `left` looks into two of them: windows of two cells,
+    one beginning with each cell, keep only the latest time of their first cell and the earliest of their second, which
+    decide. So a left row meets one row at most, however many partners it has. A window goes out when the watermark has
+    passed it; a left row waits for the window of its cell and goes out unmatched where there is none."""
+    us = lambda s: int(s * 1_000_000)
+    width, at = us(back_s + ahead_s), F.unix_micros(ts)
+    middle = F.unix_micros("_w.start") + width
+    pairs = inc.select(*keys, ts, F.window(ts, f"{2 * width} microseconds", f"{width} microseconds").alias("_w"))
+    ends = pairs.groupBy(*keys, "_w").agg(F.max(F.when(at < middle, at)).alias("_last"), F.min(F.when(at >= middle, at)).alias("_first"))
+    b = ends.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.window_time("_w").alias("_at"), F.unix_micros("_w.start").alias("_start"), "_last", "_first").alias("b")
+    lo = at - us(back_s)
+    a = left.select(*row_id, *keys, ts, lo.alias("_lo"), (F.floor(lo / F.lit(width)) * width).alias("_cell")).alias("a")
+    cond = F.col("_cell") == F.col("_start")
     for k in keys:
         cond = cond & (F.col(f"a.{k}") == F.col(f"_k_{k}"))
-    near = F.expr(f"_at >= a.{ts} - interval {back_s} seconds and _at <= a.{ts} + interval {ahead_s} seconds")
+    # Follows from equal cells; tells Spark how long a row can wait for a window.
+    near = F.expr(f"_at >= a.{ts} + interval {us(ahead_s)} microseconds and _at <= a.{ts} + interval {width + us(ahead_s)} microseconds")
     out = a.join(b, cond & near, "left_outer")
-    return out.select(*[F.col(f"a.{c}").alias(c) for c in (*row_id, *keys, ts)], F.col("_at").isNotNull().alias("matched"))
+    hit = F.coalesce(F.col("_last") >= F.col("_lo"), F.lit(False)) | F.coalesce(F.col("_first") <= F.col("_lo") + width, F.lit(False))
+    return out.select(*[F.col(f"a.{c}").alias(c) for c in (*row_id, *keys, ts)], hit.alias("matched"))
 
 
 def matched_rows(found: DataFrame, row_id: Sequence[str]) -> DataFrame:

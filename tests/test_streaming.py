@@ -226,6 +226,26 @@ def test_matches_of_two_streams(spark, small, unordered, tmp_path):
     assert got == {r["id"]: r["matched"] for r in want.collect()} and set(got.values()) == {True, False}
 
 
+def matches_written(spark, tmp_path, left, right, back_s, ahead_s):
+    """Rows that `match_stream` writes for seconds of left and right rows."""
+    t0, schema = datetime(2024, 1, 1), "id long, timestamp timestamp_ntz"
+    ends, sides = [], []
+    for name, seconds in (("left", left), ("right", right)):
+        src = str(tmp_path / name)
+        spark.createDataFrame([(i, t0 + timedelta(seconds=x)) for i, x in enumerate(seconds)], schema).coalesce(1).write.parquet(src)
+        ends.append(str(tmp_path / f"end-{name}"))
+        sides.append(timed(spark.readStream.schema(schema).parquet(src), ends[-1], "1 hour"))
+    live = st.match_stream(*sides, [], ["id"], back_s, ahead_s)
+    rows = st.drain(live, *dirs(tmp_path), end=ends, may_drop=False).where("id is not null").collect()
+    return sorted((r["id"], r["matched"]) for r in rows)
+
+
+def test_matches_list_no_pairs(spark, tmp_path):
+    """One row for each left row, however many partners it has; both ends of the hour ahead count."""
+    left, right = [*range(0, 400, 2), 9000, 20000, 20001], [*range(200, 300), 12600, 23601, 23601]
+    assert matches_written(spark, tmp_path, left, right, 0, 3600) == [(i, x < 300 or x in (9000, 20001)) for i, x in enumerate(left)]
+
+
 def test_versions_change_between_triggers(spark, tmp_path):
     """A limit stored while the stream runs holds for the next batch; rows from before it keep theirs."""
     t0 = datetime(2024, 1, 1)
