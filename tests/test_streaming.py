@@ -246,6 +246,13 @@ def test_matches_list_no_pairs(spark, tmp_path):
     assert matches_written(spark, tmp_path, left, right, 0, 3600) == [(i, x < 300 or x in (9000, 20001)) for i, x in enumerate(left)]
 
 
+def test_matches_on_both_sides_list_no_pairs(spark, tmp_path):
+    """Partners before and after a row, exactly ten minutes away and one second more."""
+    left, right = [*range(5000, 5300, 3), 6000, 6900, 6901, 30000], [*range(5000, 5100), 7500, 29399, 30601]
+    want = [(i, any(abs(x - y) <= 600 for y in right)) for i, x in enumerate(left)]
+    assert matches_written(spark, tmp_path, left, right, 600, 600) == want and {w[1] for w in want} == {True, False}
+
+
 def test_versions_change_between_triggers(spark, tmp_path):
     """A limit stored while the stream runs holds for the next batch; rows from before it keep theirs."""
     t0 = datetime(2024, 1, 1)
