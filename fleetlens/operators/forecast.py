@@ -34,14 +34,15 @@ def fit_forecaster(long: DataFrame, metrics: Sequence[str] | None = None, keys:
     hours and 7 weekdays, the spread of what is left, and the fit errors.
 
     The rows are read twice. The first pass leaves at most 168 cells (hour, weekday) per series with their
-    moments, from which the whole model follows; the second measures the errors."""
+    moments, from which the whole model follows; the second measures the errors. There a row meets its cell, which has
+    the four numbers that its forecast takes: a series is spread over its cells, and rows carry no whole model."""
     rows = long.filter(F.col("value").isNotNull())
     if metrics is not None:
         rows = rows.filter(F.col("metric_name").isin(list(metrics)))
-    rows = rows.select(*keys, "timestamp", "value")
+    rows = rows.select(*keys, "timestamp", "value", F.hour("timestamp").alias("h"), F.weekday("timestamp").alias("d"))
     x, y, on = epoch_hours("timestamp"), F.col("value"), list(keys)
     n = F.count("*")
-    cells = rows.groupBy(*on, F.hour("timestamp").alias("h"), F.weekday("timestamp").alias("d")).agg(
+    cells = rows.groupBy(*on, "h", "d").agg(
         n.alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"),
         (F.var_pop(x) * n).alias("sxx"), (F.covar_pop(x, y) * n).alias("sxy"),
     )
@@ -73,18 +74,23 @@ def fit_forecaster(long: DataFrame, metrics: Sequence[str] | None = None, keys:
 
     hourly = line.withColumn("hour_factors", factors(24, "h", trend_sum))
     model = hourly.withColumn("day_factors", factors(7, "d", lambda e: trend_sum(e) * F.col("hour_factors")[e["h"]]))
-    model = model.select(*on, "samples", "slope", "intercept", "hour_factors", "day_factors")
-    fields = [f for f in model.columns if f not in on]
-    miss = F.col("fitted") - y
-    fitted = rows.join(model, on).withColumn("fitted", predict("timestamp"))
-    return fitted.groupBy(*on).agg(
-        F.first(F.struct(*fields)).alias("_m"),
+    def factor(kind, field):
+        return F.coalesce(F.col(f"{kind}_factors")[F.col(f"_c.{field}")], F.lit(1.0))
+
+    # Rows without a time have a cell, too.
+    of = [F.coalesce(F.col(c), F.lit(-1)) for c in ("h", "d")]
+    spots = model.withColumn("_c", F.explode("_c")).select(*on, "slope", "intercept", factor("hour", "h").alias("_hour"), factor("day", "d").alias("_day"), *[F.coalesce(F.col(f"_c.{c}"), F.lit(-1)).alias(f"_{c}") for c in ("h", "d")])
+    miss = _trend() * F.col("_hour") * F.col("_day") - y
+    placed = rows.select(*on, "timestamp", "value", of[0].alias("_h"), of[1].alias("_d")).join(spots, [*on, "_h", "_d"])
+    errors = placed.groupBy(*on).agg(
         F.stddev_pop(miss).alias("sd"),
         F.sqrt(F.avg(miss * miss)).alias("rmse"),
         F.avg(F.abs(miss)).alias("mae"),
         F.avg(y).alias("mean_value"),
         F.stddev_samp(y).alias("std_value"),
-    ).select(*on, "_m.*", "sd", "rmse", "mae", "mean_value", "std_value")
+    )
+    fields = ("samples", "slope", "intercept", "hour_factors", "day_factors")
+    return model.select(*on, *fields).join(errors, on)
 
 
 def predict(ts: Column | str) -> Column:

@@ -205,3 +205,21 @@ def test_registry_grows_by_cycles(spark, tmp_path):
         stored = read_table(spark, path)
         assert stored.count() == version - 1 and stored.agg(F.max("version")).first()[0] == version
         reg = stored
+
+
+def test_errors_of_a_series_are_spread_over_its_cells(spark):
+    """The join of the second pass goes by cell and no row carries the maps of a model (they would have to be sorted); rows
+    without a time count as before."""
+    long = spark.range(2000).select(
+        F.lit("a").alias("service"), F.lit("m").alias("metric_name"), (F.col("id") % 37 + F.col("id") / 100).alias("value"),
+        F.when(F.col("id") % 50 > 0, F.timestamp_seconds(1704067200 + F.col("id") * 1800)).alias("timestamp"),
+    )
+    fitted = forecast.fit_forecaster(long)
+    plan = fitted._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "_h" in plan
+    m = fitted.first()
+    miss = F.col("p") - F.col("value")
+    rows = long.join(fitted.drop("samples"), ["service", "metric_name"]).withColumn("p", forecast.predict("timestamp"))
+    want = rows.agg(F.stddev_pop(miss), F.sqrt(F.avg(miss * miss)), F.avg(F.abs(miss)), F.avg("value"), F.stddev_samp("value")).first()
+    assert m["samples"] == 2000
+    assert [m[c] for c in ("sd", "rmse", "mae", "mean_value", "std_value")] == pytest.approx(list(want))
