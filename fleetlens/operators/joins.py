@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from fleetlens.functions.dates import before
 from fleetlens.plans.intervals import exists_between, interval_join, sum_between
 from fleetlens.schemas import KEYS
+from fleetlens.session import MAX_ROWS_PER_TASK
 
+# Incidents and actions that one task joins and sorts, and the groups of ids in which they are counted first.
+DETAIL_ROWS, DETAIL_GROUPS = 1_000_000, 4096
 HOUR_US = 3_600_000_000
 MINUTE_US = 60_000_000
 
@@ -34,9 +37,11 @@ def recent_incidents(inc: DataFrame, act: DataFrame, as_of, hours: float = 24) -
 def incident_detail(inc: DataFrame, act: DataFrame, ids: Sequence[int] | None = None) -> DataFrame:
     """Incidents beside their actions in time order, one row per action (one row without any).
 
-    Rows, not a nested list: an incident may have more actions than one row can hold."""
+    Rows, not a nested list: an incident may have more actions than one row can hold. One count over the ids sets the number
+    of tasks, so that a task has about `DETAIL_ROWS` rows whatever the size of the tables."""
     if ids is not None:
         inc = inc.filter(F.col("id").isin(list(ids)))
+        act = act.filter(F.col("incident_id").isin(list(ids)))
     a = act.select(
         F.col("incident_id").alias("id"),
         F.col("timestamp").alias("action_timestamp"),
@@ -45,10 +50,19 @@ def incident_detail(inc: DataFrame, act: DataFrame, ids: Sequence[int] | None =
         "success",
         "execution_time_ms",
     )
-    # An inner join, whose hot ids Spark can split on the side of the actions, and the incidents without any.
-    lonely = inc.join(a.select("id").distinct(), "id", "left_anti")
-    both = inc.join(a, "id").unionByName(lonely, allowMissingColumns=True)
-    return both.orderBy("id", "action_timestamp", "action_type", "target")
+    group = F.pmod(F.xxhash64("id"), F.lit(DETAIL_GROUPS))
+    sizes = inc.select("id").unionAll(a.select("id")).groupBy(group.alias("g")).agg(F.count("*").alias("n"))
+    total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    n = max(int(inc.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // DETAIL_ROWS))
+    dealt = inc.repartition(n, "id")
+    if most <= max(MAX_ROWS_PER_TASK, 4 * total // DETAIL_GROUPS):
+        both = dealt.join(a.repartition(n, "id"), "id", "left")
+    else:
+        # An inner join, whose hot ids Spark can split on the side of the actions, and the incidents without any.
+        lonely = dealt.join(a.select("id").repartition(n, "id").distinct(), "id", "left_anti")
+        both = inc.join(a, "id").unionByName(lonely, allowMissingColumns=True)
+    order = ["id", "action_timestamp", "action_type", "target"]
+    return both.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
 
 def match_anomalies(sc: DataFrame, inc: DataFrame, keys: Sequence[str] = (), minutes: float = 10, name="matched") -> DataFrame:

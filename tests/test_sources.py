@@ -200,3 +200,26 @@ def test_every_alert_rule_has_samples(spark, small):
     assert last["remediation_failures_total"] == t.remediation_actions(spark, small).filter("not success").count()
     assert last["incidents_total"] == t.incidents(spark, small).count()
     assert last["database_errors_total"] == t.incident_events(spark, small).filter("type = 'error'").count()
+
+
+def test_incident_detail_takes_more_tasks_for_more_rows(spark, monkeypatch):
+    """Tasks follow the rows, not a setting; a hot id takes the other way to the same rows, in order; ids repeat and are null."""
+    inc = spark.createDataFrame([(i if i < 300 else None if i < 302 else 7, f"t{i}") for i in range(304)], "id long, type string")
+    acts = [(i % 200 if i % 3 else 5, i * 7 % 1000, "restart", f"s{i}", True, i) for i in range(2000)] + [(None, 1, "restart", "s", True, 1)]
+    act = spark.createDataFrame(acts, "incident_id long, timestamp long, action_type string, target string, success boolean, execution_time_ms int")
+    whole = [tuple(r) for r in jn.incident_detail(inc, act).collect()]
+    right = {}
+    for k, *rest in acts:
+        right.setdefault(k, []).append(tuple(rest))
+    want = [(r["id"], r["type"], *a) for r in inc.collect() for a in (right.get(r["id"]) if r["id"] is not None else None) or [(None,) * 5]]
+    assert sorted(map(str, whole)) == sorted(map(str, want))
+    keys = [tuple((v is not None, v) for v in (r[0], r[2], r[3], r[4])) for r in whole]
+    assert keys == sorted(keys)
+    monkeypatch.setattr(jn, "DETAIL_ROWS", 50)
+    many = jn.incident_detail(inc, act)
+    assert many.select(F.spark_partition_id()).distinct().count() > 30
+    monkeypatch.setattr(jn, "MAX_ROWS_PER_TASK", 100)
+    monkeypatch.setattr(jn, "DETAIL_GROUPS", 1 << 20)
+    hot = jn.incident_detail(inc, act)
+    assert "LeftAnti" in hot._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, map(tuple, hot.collect()))) == sorted(map(str, map(tuple, many.collect()))) == sorted(map(str, whole))
