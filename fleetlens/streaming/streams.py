@@ -27,6 +27,8 @@ from fleetlens.schemas import BREAKER
 LATE_PARTS = 1024
 # Rows of one piece of a key's waiting rows.
 PIECE_ROWS = 4096
+# Rows of a key that are sorted together before they are cut into pieces, and read together when they are due.
+SORTED_ROWS = 64 * PIECE_ROWS
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # The time of the row that ends a source. Watermarks then pass every real row.
 END = datetime(2200, 1, 1)
@@ -54,7 +56,9 @@ class _Decide(StatefulProcessor):
     """Runs a machine of `plans.replay` over the rows of one key in (time, tie) order.
 
     Rows wait until the watermark has passed them, so the result does not depend on how rows fall into triggers. What waits
-    is kept in pieces by their first time: new rows add pieces, and a timer reads only those that are due."""
+    is kept in pieces by their first time: new rows add pieces, and a timer reads only those that are due. It reads them in
+    time order, some at a time, and decides all rows before the first time of the next piece, so that a task holds
+    these pieces and those that overlap them: a few for each SORTED_ROWS rows of the key."""
 
     def __init__(self, machine, names: list[str], fields: list[str], keep_ms: int):
         self.machine, self.names, self.fields, self.keep_ms = machine, names, fields, keep_ms
@@ -75,15 +79,23 @@ class _Decide(StatefulProcessor):
     def _state(self) -> tuple[str, int, int]:
         return tuple(self.have.get()) if self.have.exists() else (json.dumps(self.machine.fresh()), 0, 0)
 
+    def _sorted(self, parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(parts, ignore_index=True).sort_values(["_us", "_tie"], kind="stable")
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state, n, last = self._state()
-        first = None
+        first, parts, size = None, [], 0
         for batch in rows:
             if len(batch):
                 # Spark hands over named tuples, which know no names with a leading underscore.
-                batch = batch.set_axis(self.names, axis=1).sort_values(["_us", "_tie"], kind="stable")
-                n, start = self._hold(batch, n), int(batch["_us"].iloc[0])
+                parts.append(batch.set_axis(self.names, axis=1))
+                size += len(batch)
+                start = int(parts[-1]["_us"].min())
                 first = start if first is None else min(first, start)
+                if size >= SORTED_ROWS:
+                    n, parts, size = self._hold(self._sorted(parts), n), [], 0
+        if parts:
+            n = self._hold(self._sorted(parts), n)
         self.have.update((state, n, last))
         if first is not None:
             self.handle.registerTimer(max(first // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
@@ -98,22 +110,32 @@ class _Decide(StatefulProcessor):
             if not pieces and now >= last // 1000 + self.keep_ms:
                 self.have.clear()
             return
-        rows = pd.concat([pickle.loads(self.waiting.getValue(k)[0]) for k in due], ignore_index=True).sort_values(["_us", "_tie"], kind="stable")
-        for k in due:
+        state, open_, parts, size = json.loads(state), 0, [], 0
+        for i, k in enumerate(due):
+            parts.append(pickle.loads(self.waiting.getValue(k)[0]))
             self.waiting.removeKey(k)
-        us = rows["_us"].to_numpy()
-        ready = int(np.searchsorted(us, now * 1000, "right"))
-        n = self._hold(rows.iloc[ready:], n)
-        left, got = self.machine.run(json.loads(state), us[:ready], {c: rows[c].to_numpy()[:ready] for c in self.machine.inputs})
-        last = int(us[ready - 1])
-        self.have.update((json.dumps(left), n, last))
-        coming = [int(us[ready])] if ready < len(us) else []
+            size += len(parts[-1])
+            more = i + 1 < len(due)
+            # Read at least as many rows as were left open, so that no row is sorted again and again.
+            if more and size < open_ + max(SORTED_ROWS, open_):
+                continue
+            rows = self._sorted(parts)
+            us = rows["_us"].to_numpy()
+            ready = int(np.searchsorted(us, due[i + 1][0])) if more else int(np.searchsorted(us, now * 1000, "right"))
+            parts, open_ = [rows.iloc[ready:]], len(us) - ready
+            size = open_
+            if ready:
+                state, got = self.machine.run(state, us[:ready], {c: rows[c].to_numpy()[:ready] for c in self.machine.inputs})
+                last = int(us[ready - 1])
+                out = rows.iloc[:ready][self.fields].reset_index(drop=True)
+                for c, v in got.items():
+                    out[c] = v
+                yield out
+        n = self._hold(parts[0], n)
+        self.have.update((json.dumps(state), n, last))
+        coming = [int(us[ready])] if open_ else []
         coming += [k[0] for k in pieces[len(due) : len(due) + 1]]
         self.handle.registerTimer(max(min(coming) // 1000 + 1 if coming else last // 1000 + self.keep_ms, now + 1))
-        out = rows.iloc[:ready][self.fields].reset_index(drop=True)
-        for c, v in got.items():
-            out[c] = v
-        yield out
 
     def close(self) -> None:
         pass

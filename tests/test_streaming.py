@@ -3,6 +3,7 @@
 import time
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -146,6 +147,64 @@ def test_waiting_rows_are_read_in_pieces(spark, monkeypatch, tmp_path):
     assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in stateful.dedupe(all_, ["type"], window_s=60).collect())
 
 
+class Kept(dict):
+    """The state of one key, as `StatefulProcessorHandle` gives it."""
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def exists(self):
+        return "have" in self
+
+    def get(self):
+        return self["have"]
+
+    def update(self, value):
+        self["have"] = value
+
+    def keys(self):
+        return [k for k in super().keys() if k != "have"]
+
+    getValue, updateValue, removeKey = dict.__getitem__, dict.__setitem__, dict.__delitem__
+
+    def registerTimer(self, at):
+        self.timer = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def decided(monkeypatch, machine, rows, now_ms):
+    """The frames that `_Decide` gives for rows out of order in batches of 50, at the watermarks `now_ms`."""
+    monkeypatch.setattr(st, "PIECE_ROWS", 8)
+    monkeypatch.setattr(st, "SORTED_ROWS", 512, raising=False)
+    kept = Kept()
+    kept.now = 0
+    work = st._Decide(machine, [*rows.columns], ["id"], 1000)
+    work.init(kept)
+    mixed = rows.sample(frac=1, random_state=5)
+    assert not [*work.handleInputRows(("k",), (mixed[i : i + 50] for i in range(0, len(mixed), 50)), kept)]
+    out = []
+    for kept.now in now_ms:
+        out += work.handleExpiredTimer(("k",), kept, None)
+    return out, kept
+
+
+def test_a_task_holds_few_of_the_waiting_rows_of_a_breaker(monkeypatch):
+    """4,000 rows out of order, due at two watermarks: decided some at a time, as one run over all decides."""
+    machine = stateful.Breaker(3, 40, 15)
+    rows = pd.DataFrame({"id": range(4000), "_kind": "restart", "_ok": [i % 5 > 1 for i in range(4000)], "_us": [i // 2 * 1_000_000 for i in range(4000)], "_tie": range(4000)})
+    out, kept = decided(monkeypatch, machine, rows, [1_499_000, 1_999_000])
+    assert max(map(len, out)) < 1200 and sum(len(o) for o in out) == 4000 and not kept.keys()
+    got = pd.concat(out, ignore_index=True)
+    want = machine.run(machine.fresh(), rows["_us"].to_numpy(), {c: rows[c].to_numpy() for c in machine.inputs})[1]
+    assert got["id"].tolist() == rows["id"].tolist()
+    for c, v in want.items():
+        assert got[c].tolist() == list(v)
+
+
 def requests(df):
     return df.select("id", "timestamp", "service_name", F.lit("restart").alias("action_type"), (F.col("value") < 30).alias("success"))
 
