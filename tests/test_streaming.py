@@ -205,6 +205,17 @@ def test_a_task_holds_few_of_the_waiting_rows_of_a_breaker(monkeypatch):
         assert got[c].tolist() == list(v)
 
 
+def test_a_task_holds_few_of_the_waiting_rows_of_a_key(monkeypatch):
+    """Rows of one time stay together, and those beyond the watermark wait."""
+    machine = stateful.FirstPerWindow(7)
+    rows = pd.DataFrame({"id": range(3000), "_us": [i // 3 * 1_000_000 for i in range(3000)], "_tie": range(3000)})
+    out, kept = decided(monkeypatch, machine, rows, [899_500])
+    assert max(map(len, out)) < 1200 and kept.timer == 900_001 and kept.keys()
+    got = pd.concat(out, ignore_index=True)
+    assert got["id"].tolist() == [*range(2700)]
+    assert got["emitted"].tolist() == [i % 21 == 0 for i in range(2700)]
+
+
 def requests(df):
     return df.select("id", "timestamp", "service_name", F.lit("restart").alias("action_type"), (F.col("value") < 30).alias("success"))
 
