@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,9 +51,12 @@ def block_count(df: DataFrame, block_bytes: int) -> int:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps; it does so when its references are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of finished steps; it does so when its references are collected. Twice, since
+    events of the last job may still be on their way and hold them."""
+    for wait in (0.3, 0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
 
 
 def id_column(name: str) -> Column:

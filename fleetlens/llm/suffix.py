@@ -2,8 +2,8 @@
 common prefixes are built one column at a time.
 
 Two equal strings of `length` bytes have the same anchor at the same place: the gram with the smallest hash. Each
-run of windows with one anchor is a segment. Equal segments are settled by their hash; different segments of one
-anchor, which may still share windows, meet in a collection."""
+run of windows with one anchor is a segment. Equal segments are settled by their hash. Different segments of one anchor
+share a window only if they have the same bytes on one side of it, its context; those that do meet in a collection."""
 
 from __future__ import annotations
 
@@ -26,9 +26,18 @@ STEP_BYTES = 1 << 20
 COLLECTION_BYTES = 1 << 20
 #: The different segments of one anchor meet in one collection up to this number; beyond it, window by window.
 SEGMENTS_OF_ANCHOR = 2048
+#: Windows of anchors taken apart that meet in one task.
+BUCKET_WINDOWS = 1 << 18
+#: With the hash of `common`, a second one of other numbers: windows of anchors taken apart are told apart by 128 bits.
+SECOND_HASH, SECOND_BASE = c.mix(c.BYTE_HASH), c.U(0xD1342543DE82EF95)
+SECOND_INVERSE = c.U(pow(int(SECOND_BASE), -1, 2**64))
 _PARCEL = pa.schema([("kind", pa.int32()), ("key", pa.int32()), ("blob", pa.binary())])
-_HIT = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("anchor", pa.int64())])
-_SEGMENT = pa.schema([("kind", pa.int32()), ("key", pa.int32()), ("id", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("anchor", pa.int64()), ("bytes", pa.binary())])
+#: Of the blob: ids, their counts, and of each place its first byte, its size and, if it is to be compared, its anchor.
+_HIT = pa.schema([("kind", pa.int32()), ("key", pa.int32()), ("size", pa.int64()), ("blob", pa.binary())])
+_SEGMENT = pa.schema([("kind", pa.int32()), ("key", pa.int32()), ("id", pa.int64()), ("start", pa.int64()), ("blob", pa.binary())])
+_PLACE = (np.uint32, np.uint32)
+_SEGMENT_KINDS = (np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint8, np.uint8)
+_WINDOW_KINDS = (np.uint64, np.uint64, np.uint32)
 _RESULT = ("id", "n_bytes", "n_removed", "starts", "ends", "kept")
 SEGMENTS, REMOVED, COMPARE, SPREAD = 0, 1, 2, 3
 
@@ -43,11 +52,14 @@ def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, segment hash, document, first byte in the document, number of windows) of each segment."""
-    none = np.zeros(0, c.U), np.zeros(0, c.U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """(anchor hash, segment hash, document, first byte in the document, hash of the left context, of the right one,
+    number of windows, bytes before the anchor) of each segment.
+
+    A window that begins `half` bytes or more before its anchor holds the left context, those bytes and the anchor; any
+    other holds the right one, the anchor and what is behind it. A context that no window of the segment holds is 0."""
     n = len(data)
     if n < length:
-        return none
+        return (np.zeros(0, c.U),) * 2 + (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint32),) * 2 + (np.zeros(0, np.int64),) * 2
     sums = np.zeros(n + 1, c.U)
     np.cumsum(c.BYTE_HASH[data] * c.powers(n), out=sums[1:])
     inverse = c.powers(n, c.BASE_INVERSE)
@@ -59,19 +71,31 @@ def segments_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
     np.add.at(ok, np.minimum(offsets[:-1], len(anchor)), 1)
     np.add.at(ok, np.minimum(last, len(anchor)), -1)
     at = np.flatnonzero(np.cumsum(ok[:-1]))
-    if not len(at):
-        return none
     doc = np.searchsorted(offsets, at, "right") - 1
     first = c.starts_of(anchor[at], doc)
-    begin, stop = at[first], at[np.append(first[1:], len(at)) - 1] + 1
+    begin, stop = at[first], (at[np.append(first[1:], len(at)) - 1] + 1 if len(at) else at)
     whole = c.mix((sums[stop + length - 1] - sums[begin]) * inverse[begin] + (stop - begin).astype(c.U))
-    return grams[anchor[begin]], whole, doc[first], begin - offsets[doc[first]], stop - begin
+    anchor, doc, half = anchor[begin], doc[first], _half(length)
+
+    def context(has: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(has), np.uint32)
+        start, end = start[has], end[has]
+        out[has] = np.maximum((c.mix((sums[end] - sums[start]) * inverse[start]) >> c.U(32)).astype(np.uint32), 1)
+        return out
+
+    left = context(anchor - begin >= half, anchor - half, anchor + GRAM)
+    right = context(anchor - stop + 1 < half, anchor, anchor + length - half + 1)
+    return grams[anchor], whole, doc, begin - offsets[doc], left, right, stop - begin, anchor - begin
+
+
+def _half(length: int) -> int:
+    return (length - GRAM) // 2 + 1
 
 
-def _first_of_each(anchor, whole, ids, starts, sizes):
+def _first_of_each(anchor, whole, ids, starts, *more):
     """Segments with the least (id, start) of their (anchor, segment) hashes, in that order; the later ones."""
     order = np.lexsort((starts, ids, whole, anchor))
-    cols = [x[order] for x in (anchor, whole, ids, starts, sizes)]
+    cols = [x[order] for x in (anchor, whole, ids, starts, *more)]
     group = c.starts_of(cols[0], cols[1])
     rank = np.repeat(group, np.diff(np.append(group, len(order))))
     first = np.zeros(len(order), bool)
@@ -80,93 +104,154 @@ def _first_of_each(anchor, whole, ids, starts, sizes):
     return [x[first] for x in cols], [x[later] for x in cols]
 
 
+def _packed(keys: np.ndarray, ids: np.ndarray, *cols: np.ndarray) -> Iterator[tuple[int, slice, bytes]]:
+    """(key, slice, blob) of each run of equal keys, of rows sorted by key and id."""
+    for key, part in c.cut_by(keys):
+        i = ids[part]
+        begins = c.starts_of(i)
+        yield key, part, c.pack(i[begins], np.diff(np.append(begins, len(i))).astype(np.uint32), *(x[part] for x in cols))
+
+
+def _open(blobs: pa.ChunkedArray, *kinds) -> list[np.ndarray]:
+    """The ids and other columns of packed rows, small numbers as long ones."""
+    parts = [c.unpack(b.as_buffer(), np.int64, np.uint32, *kinds) for b in blobs]
+    if not parts:
+        return [np.zeros(0, np.int64), *(np.zeros(0, k if k == np.uint64 else np.int64) for k in kinds)]
+    ids = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
+    return [ids, *(np.concatenate([p[k + 2] for p in parts]).astype(kind if kind == np.uint64 else np.int64, copy=False) for k, kind in enumerate(kinds))]
+
+
+def _by_block(kind: int, blocks: int, length: int, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, *more: np.ndarray) -> Iterator[tuple]:
+    """Rows of `_HIT`, one for each block of documents. Size: bytes to remove or to compare, or windows."""
+    keys = c.doc_block(ids, blocks)
+    order = np.lexsort((starts, ids, keys))
+    keys, ids, starts, sizes, *more = (x[order] for x in (keys, ids, starts, sizes, *more))
+    for key, part, blob in _packed(keys, ids, starts.astype(np.uint32), sizes.astype(np.uint32), *more):
+        yield kind, key, int(sizes[part].sum()) + (part.stop - part.start) * (length if kind == COMPARE else 0), blob
+
+
+def _removed(blocks: int, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
+    """Rows of `_HIT` that remove these intervals."""
+    order = np.lexsort((starts, ids))
+    ids, starts, ends = _joined(ids[order], starts[order], ends[order])
+    return _by_block(REMOVED, blocks, 0, ids, starts, ends - starts)
+
+
+def _table(schema: pa.Schema, out: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([c.rows(schema, *zip(*out))] if out else [], schema)
+
+
 def _parcels(length: int, buckets: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in c.steps(batches, most=STEP_BYTES):
             ids = batch.column("id").to_numpy()
-            anchor, whole, doc, starts, sizes = segments_of(*c.buffers(batch.column("text").cast(pa.binary())), length)
-            first, later = _first_of_each(anchor, whole, ids[doc], starts, sizes)
-            out = []
-            for kind, cols, keys in ((SEGMENTS, first, c.bucket_of(c.mix(first[0]), buckets).astype(np.int64)), (REMOVED, later, c.doc_block(later[2], blocks))):
-                order = np.lexsort((cols[2], keys))
-                cols, keys = [x[order] for x in cols], keys[order]
-                for key, part in c.cut_by(keys):
-                    i = cols[2][part]
-                    begins = c.starts_of(i)
-                    counts = np.diff(np.append(begins, len(i))).astype(np.uint32)
-                    out.append((kind, key, c.pack(i[begins], counts, cols[0][part], cols[1][part], cols[3][part].astype(np.uint32), cols[4][part].astype(np.uint8))))
+            anchor, whole, doc, *more = segments_of(*c.buffers(batch.column("text").cast(pa.binary())), length)
+            first, (_, _, i, s, _, _, n, _) = _first_of_each(anchor, whole, ids[doc], *more)
+            out = [(kind, key, blob) for kind, key, _, blob in _removed(blocks, i, s, s + n + length - 1)]
+            keys = c.bucket_of(c.mix(first[0]), buckets).astype(np.int64)
+            order = np.lexsort((first[2], keys))
+            anchor, whole, i, s, left, right, n, before = (x[order] for x in first)
+            out += [(SEGMENTS, key, blob) for key, _, blob in _packed(keys[order], i, anchor, whole, left, right, s.astype(np.uint32), n.astype(np.uint8), before.astype(np.uint8))]
             if out:
                 yield c.rows(_PARCEL, *zip(*out))
 
     return run
 
 
-def _open(blobs: pa.ChunkedArray):
-    parts = [c.unpack(b.as_buffer(), np.int64, np.uint32, np.uint64, np.uint64, np.uint32, np.uint8) for b in blobs]
-    ids = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-    return tuple(np.concatenate([p[k] for p in parts]) for k in (2, 3)) + (ids,) + tuple(np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (4, 5))
+def _again(anchor: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Whether another segment of the anchor has the same context."""
+    order = np.lexsort((context, anchor))
+    group = c.starts_of(anchor[order], context[order])
+    times = np.diff(np.append(group, len(order)))
+    out = np.zeros(len(order), bool)
+    out[order] = np.repeat(times, times) > 1
+    return out & (context != 0)
+
 
+def _hits(length: int, blocks: int):
+    """Of equal segments the later ones are removed. Of the different segments of an anchor those are asked for that have
+    a context in common, without the windows that do not hold it."""
 
-def _hits(length: int):
     def run(key: tuple, parcels: pa.Table) -> pa.Table:
-        anchor, whole, ids, starts, sizes = _open(parcels.column("blob"))
         if key[0].as_py() == REMOVED:
-            first, later = [x[:0] for x in (anchor, whole, ids, starts, sizes)], [anchor, whole, ids, starts, sizes]
-        else:
-            first, later = _first_of_each(anchor, whole, ids, starts, sizes)
-            group = c.starts_of(first[0])
-            counts = np.diff(np.append(group, len(first[0])))
-            counts = np.repeat(counts, counts)
-            first, counts = [x[counts > 1] for x in first], counts[counts > 1]
-        kinds = np.full(len(later[0]) + len(first[0]), REMOVED, np.int32)
-        if len(first[0]):
-            kinds[len(later[0]) :] = np.where(counts > SEGMENTS_OF_ANCHOR, SPREAD, COMPARE)
-        cols = [np.concatenate((a, b)) for a, b in zip(later, first)]
-        order = np.lexsort((cols[3], cols[2], kinds))
-        kinds, (anchor, _, ids, starts, sizes) = kinds[order], [x[order] for x in cols]
-        removed = kinds == REMOVED
-        i, s, e = _joined(ids[removed], starts[removed], (starts + sizes + length - 1)[removed])
-        n = len(i)
-        rest = ~removed
-        return pa.Table.from_batches([c.rows(
-            _HIT, np.concatenate((np.full(n, REMOVED, np.int32), kinds[rest])), np.concatenate((i, ids[rest])), np.concatenate((s, starts[rest])),
-            np.concatenate((e - s, sizes[rest])).astype(np.int32), np.concatenate((np.zeros(n, np.int64), anchor[rest].view(np.int64))),
-        )], _HIT)
+            i, s, n = _open(parcels.column("blob"), *_PLACE)
+            return _table(_HIT, [*_removed(blocks, i, s, s + n)])
+        ids, anchor, whole, left, right, starts, sizes, before = _open(parcels.column("blob"), *_SEGMENT_KINDS)
+        first, (_, _, i, s, _, _, n, _) = _first_of_each(anchor, whole, ids, starts, left, right, sizes, before)
+        out = [*_removed(blocks, i, s, s + n + length - 1)]
+        anchor, _, ids, starts, left, right, sizes, before = first
+        left, right = _again(anchor, left), _again(anchor, right)
+        cut = np.clip(before - _half(length) + 1, 0, sizes)  # so many windows hold the left context, the others the right one
+        begin, end = np.where(left, 0, cut), np.where(right, sizes, cut)
+        keep = left | right
+        anchor, ids, starts, sizes = anchor[keep], ids[keep], (starts + begin)[keep], (end - begin)[keep]
+        counts = np.diff(np.append(c.starts_of(anchor), len(anchor)))
+        many = np.repeat(counts, counts) > SEGMENTS_OF_ANCHOR
+        for kind, at in ((COMPARE, ~many), (SPREAD, many)):
+            out += _by_block(kind, blocks, length, ids[at], starts[at], sizes[at], anchor[at])
+        return _table(_HIT, out)
 
     return run
 
 
-def _cut_out(length: int, buckets: int):
-    """The bytes of the segments to compare. Those to spread are cut into their windows, and of equal windows of
-    a block of documents only the earliest goes on; the others are removed."""
+def _window_hashes(data: np.ndarray, offsets: np.ndarray, length: int, *numbers) -> tuple[np.ndarray, ...]:
+    """(string, first byte) of each window, and its hashes by each (numbers of the bytes, base, inverse of the base)."""
+    n = len(data)
+    counts = np.maximum(np.diff(offsets) - length + 1, 0)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    at = np.arange(len(owner)) + np.repeat(offsets[:-1] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
+    out = []
+    for numbers_, base, inverse in numbers:
+        sums = np.zeros(n + 1, c.U)
+        np.cumsum(numbers_[data] * c.powers(n, base), out=sums[1:])
+        out.append((sums[at + length] - sums[at]) * c.powers(n, inverse)[at])
+    return owner, at, *out
+
+
+_FIRST = (c.BYTE_HASH, c.BASE, c.BASE_INVERSE)
 
-    def run(texts: pa.Table, hits: pa.Table) -> pa.Table:
-        order = np.argsort(hits.column("id").to_numpy(), kind="stable")
-        kinds, ids, starts, sizes, anchor = (hits.column(k).to_numpy()[order] for k in ("kind", "id", "start", "size", "anchor"))
-        out, least, windows = [], {}, []
+
+def _spread_windows(length: int, buckets: int, blocks: int, texts: list[bytes], ids: list[int], starts: list[int]) -> Iterator[tuple]:
+    """Rows of `_SEGMENT` for segments that are cut into their windows: of equal windows only the earliest goes on, as a
+    segment of its own, and the others are removed."""
+    offsets = np.cumsum([0, *map(len, texts)])
+    owner, at, a, b = _window_hashes(np.frombuffer(b"".join(texts), np.uint8), offsets, length, _FIRST, (SECOND_HASH, SECOND_BASE, SECOND_INVERSE))
+    (a, b, i, s), (_, _, gone, s_gone) = _first_of_each(c.mix(a), b, np.array(ids, np.int64)[owner], np.array(starts, np.int64)[owner] + at - offsets[owner])
+    yield from ((kind, key, 0, 0, blob) for kind, key, _, blob in _removed(blocks, gone, s_gone, s_gone + length))
+    keys = c.bucket_of(a, buckets).astype(np.int64)
+    order = np.lexsort((i, keys))
+    yield from ((SPREAD, key, 0, 0, blob) for key, _, blob in _packed(keys[order], i[order], a[order], b[order], s[order].astype(np.uint32)))
+
+
+def _cut_out(length: int, buckets: int, spread: int, blocks: int):
+    """The bytes of the segments to compare, and the windows of those to spread."""
+
+    def places(texts: pa.Table, asked: pa.Table, kind: int) -> Iterator[tuple[int, int, bytes, int]]:
+        blobs = asked.column("blob").filter(np.equal(asked.column("kind").to_numpy(), kind))
+        ids, starts, sizes, anchor = _open(blobs, *_PLACE, np.uint64)
+        order = np.argsort(ids, kind="stable")
+        ids, starts, sizes, anchor = ids[order], starts[order], sizes[order], anchor[order]
         own = texts.column("id").to_numpy()
         lo, hi = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
-        for d in np.flatnonzero(hi > lo):
-            text = texts.column("text")[int(d)].as_buffer().to_pybytes()
+        keys = c.bucket_of(c.mix(anchor), buckets)  # anchors are small hashes
+        for d in np.flatnonzero(hi > lo).tolist():
+            text = texts.column("text")[d].as_buffer().to_pybytes()
             for k in range(lo[d], hi[d]):
-                a, n = int(starts[k]), int(sizes[k])
-                if kinds[k] == COMPARE:
-                    out.append((COMPARE, int(own[d]), a, n, int(anchor[k]), text[a : a + n + length - 1]))
-                    continue
-                for at in range(a, a + n):
-                    window = text[at : at + length]
-                    windows.append((window, int(own[d]), at))
-                    least[window] = min(least.get(window, (c.LAST_ID, at + 1)), (int(own[d]), at))
-        for window, i, at in windows:
-            if least[window] == (i, at):
-                out.append((COMPARE, i, at, 1, xxhash.xxh64_intdigest(window) - 2**63, window))
-            else:
-                out.append((REMOVED, i, at, length, 0, None))
-        if not out:
-            return pa.Table.from_batches([], _SEGMENT)
-        kind, i, at, n, a, t = zip(*out)
-        keys = c.bucket_of(c.mix(np.array(a, np.int64).view(c.U)), buckets).astype(np.int32)  # anchors are small hashes
-        return pa.Table.from_batches([c.rows(_SEGMENT, kind, keys, i, at, n, a, t)], _SEGMENT)
+                a = int(starts[k])
+                yield int(own[d]), a, text[a : a + int(sizes[k]) + length - 1], int(keys[k])
+
+    def run(texts: pa.Table, asked: pa.Table) -> pa.Table:
+        out = [(COMPARE, key, i, a, text) for i, a, text, key in places(texts, asked, COMPARE)]
+        some, held = [], 0
+        for i, a, text, _ in places(texts, asked, SPREAD):
+            some.append((text, i, a))
+            held += len(text)
+            if held >= STEP_BYTES:
+                out += _spread_windows(length, spread, blocks, *zip(*some))
+                some, held = [], 0
+        if some:
+            out += _spread_windows(length, spread, blocks, *zip(*some))
+        return _table(_SEGMENT, out)
 
     return run
 
@@ -248,13 +333,7 @@ def _range_least(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.
 def _runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, first byte, end) of the maximal runs of windows whose hash occurs twice or more; no other window
     of these segments can repeat."""
-    n = len(data)
-    sums = np.zeros(n + 1, c.U)
-    np.cumsum(c.BYTE_HASH[data] * c.powers(n), out=sums[1:])
-    counts = np.maximum(np.diff(offsets) - length + 1, 0)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    at = np.arange(len(owner)) + np.repeat(offsets[:-1] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
-    h = (sums[at + length] - sums[at]) * c.powers(n, c.BASE_INVERSE)[at]
+    owner, at, h = _window_hashes(data, offsets, length, _FIRST)
     order = np.argsort(h, kind="stable")
     first = c.starts_of(h[order])
     times = np.diff(np.append(first, len(h)))
@@ -265,13 +344,13 @@ def _runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarra
     return owner[begin], at[begin], (at[np.append(begin[1:], len(at)) - 1] + length if len(begin) else at)
 
 
-def _collection(length: int):
+def _collection(length: int, blocks: int):
     """Removed intervals that the sorted suffixes of one bucket's segments show. Of runs with equal bytes only the
     earliest enters the collection; the others are removed."""
 
     def run(segments: pa.Table) -> pa.Table:
         ids, starts = segments.column("id").to_numpy(), segments.column("start").to_numpy()
-        data, offsets = c.buffers(segments.column("bytes").combine_chunks())
+        data, offsets = c.buffers(segments.column("blob").combine_chunks())
         of, begin, end = _runs(data, offsets, length)
         ids, starts = ids[of], starts[of] + begin - offsets[of]
         order = np.lexsort((starts, ids))
@@ -295,10 +374,21 @@ def _collection(length: int):
             rank = np.repeat(first, np.diff(np.append(first, len(group))))
             later = (i != i[rank]) | (s != s[rank])
             found_i.append(i[later]), found_s.append(s[later]), found_e.append(s[later] + length)
-        i, s, e = np.concatenate(found_i), np.concatenate(found_s), np.concatenate(found_e)
-        order = np.lexsort((s, i))
-        i, s, e = _joined(i[order], s[order], e[order])
-        return pa.Table.from_batches([c.rows(_HIT, np.full(len(i), REMOVED, np.int32), i, s, (e - s).astype(np.int32), np.zeros(len(i), np.int64))], _HIT)
+        return _table(_HIT, [*_removed(blocks, np.concatenate(found_i), np.concatenate(found_s), np.concatenate(found_e))])
+
+    return run
+
+
+def _shared(length: int, blocks: int):
+    """Removed intervals of a collection, or of the windows of one bucket, of which equal ones are settled by their hashes."""
+    collection = _collection(length, blocks)
+
+    def run(key: tuple, segments: pa.Table) -> pa.Table:
+        if key[0].as_py() == COMPARE:
+            return collection(segments)
+        i, a, b, s = _open(segments.column("blob"), *_WINDOW_KINDS)
+        _, (_, _, i, s) = _first_of_each(a, b, i, s)
+        return _table(_HIT, [*_removed(blocks, i, s, s + length)])
 
     return run
 
@@ -314,7 +404,7 @@ def _joined(i: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np
 
 def _apply(as_text: bool):
     def run(texts: pa.Table, hits: pa.Table) -> pa.Table:
-        ids, starts, sizes = (hits.column(k).to_numpy() for k in ("id", "start", "size"))
+        ids, starts, sizes = _open(hits.column("blob"), *_PLACE)
         order = np.lexsort((starts, ids))
         ids, starts, stops = ids[order], starts[order], starts[order] + sizes[order]
         own = texts.column("id").to_numpy()
@@ -344,10 +434,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     removed bytes, [start, end).
 
     Tasks send a segment's hashes and place, about a fiftieth of the text in number, and of equal segments only
-    the earliest; later ones are removed whole. An anchor with several different segments sends their bytes to
-    a collection, where suffixes are sorted column by column and equal strings are neighbours with a common
+    the earliest; later ones are removed whole. Different segments of an anchor with a context in common send their
+    bytes to a collection, where suffixes are sorted column by column and equal strings are neighbours with a common
     prefix of `length` or more. A collection has the anchors of a hash range, so its size follows the number of
-    buckets; its arrays stay in the task's memory instead of in files.
+    buckets; its arrays stay in the task's memory instead of in files. An anchor with more than SEGMENTS_OF_ANCHOR of
+    them sends the hashes of their windows instead, which are segments of one window. Places go packed, by block of documents.
 
     Null text: empty. Null id: behind all ids; rows that repeat an id do not remove the same place from each
     other. Other columns are ignored."""
@@ -358,22 +449,22 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     texts = c.texts_of(docs, id_col, text_col)
     n = c.block_count(texts, 8 << 20)
     blocks = c.odd(n)
-    hit = "kind int, id long, start long, size int, anchor long"
+    hit, segment = "kind int, key int, size long, blob binary", "kind int, key int, id long, start long, blob binary"
     parcels = texts.mapInArrow(_parcels(length, n, blocks), "kind int, key int, blob binary")
-    hits = durable(parcels.groupBy("kind", "key").applyInArrow(_hits(length), hit))
+    hits = durable(parcels.groupBy("kind", "key").applyInArrow(_hits(length, blocks), hit))
     c.release(spark)
     keyed = lambda df: df.withColumn("key", c.doc_block(F.col("id"), blocks)).groupBy("key")
-    segment = "kind int, key int, id long, start long, size int, anchor long, bytes binary"
     asked = hits.where(F.col("kind") != REMOVED)
-    size = asked.agg(F.sum(F.col("size").cast("long") + length)).first()[0] or 0
-    cut = durable(keyed(texts).cogroup(keyed(asked)).applyInArrow(_cut_out(length, max(1, -(-size // COLLECTION_BYTES))), segment))
+    sizes = {r.kind: r.n for r in asked.groupBy("kind").agg(F.sum("size").alias("n")).collect()}  # two rows
+    buckets, spread = max(1, -(-sizes.get(COMPARE, 0) // COLLECTION_BYTES)), max(1, -(-sizes.get(SPREAD, 0) // BUCKET_WINDOWS))
+    cut = durable(keyed(texts).cogroup(asked.groupBy("key")).applyInArrow(_cut_out(length, buckets, spread, blocks), segment))
     c.release(spark)
-    shared = durable(cut.where(F.col("kind") == COMPARE).groupBy("key").applyInArrow(_collection(length), hit))
+    shared = durable(cut.where(F.col("kind") != REMOVED).groupBy("kind", "key").applyInArrow(_shared(length, blocks), hit))
     c.release(spark)
-    removed = hits.unionByName(shared).unionByName(cut.select(*shared.columns)).where(F.col("kind") == REMOVED)
+    removed = hits.unionByName(shared).select("kind", "key", "blob").unionByName(cut.select("kind", "key", "blob")).where(F.col("kind") == REMOVED)
     rest = F.struct(*[F.col(k) for k in keep]) if keep else F.struct(F.lit(None).cast("int").alias("none"))
     whole = docs.select(*c.text_columns(id_col, text_col), rest.alias("rest"))
     schema = f"id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept {'string' if as_text else 'binary'}, rest {whole.schema['rest'].dataType.simpleString()}"
-    found = keyed(whole).cogroup(keyed(removed)).applyInArrow(_apply(as_text), schema)
+    found = keyed(whole).cogroup(removed.groupBy("key")).applyInArrow(_apply(as_text), schema)
     spans = F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end"))
     return found.select(c.back_to_id().alias("doc_id"), "n_bytes", "n_removed", spans.alias("spans"), "kept", "rest")

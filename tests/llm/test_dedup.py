@@ -90,6 +90,67 @@ def test_suffix_with_anchors_taken_apart(make, prose, monkeypatch):
     assert got == brute_bytes(prose)
 
 
+@pytest.mark.parametrize("length", [17, 18, 40, 101, 250])
+@pytest.mark.parametrize("most", [1, 2048])
+def test_suffix_contexts_of_any_length(make, monkeypatch, length, most):
+    """Shared strings around the length, at all distances from what differs, with few letters and with many."""
+    monkeypatch.setattr(suffix, "SEGMENTS_OF_ANCHOR", most)
+    rng = random.Random(length)
+    text = lambda n, letters="abcdefghijklmnop ": "".join(rng.choices(letters, k=n))
+    shared = [text(n) for n in (length - 1, length, length + 1, length + 7, 2 * length, 3 * length)] + [text(2 * length, "ab")]
+    rows = [(k, text(rng.randint(0, 90)) + rng.choice(shared) + text(rng.randint(0, 90)) + rng.choice(shared)[rng.randint(0, 9) :]) for k in range(60)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix.remove_repeats(make(rows), length).collect()}
+    assert got == brute_bytes(rows, length)
+
+
+def stored_bytes(monkeypatch):
+    """(kind, rows, bytes) of each table that the operator stores, as it goes on."""
+    from pyspark.sql import functions as F
+
+    out, durable = [], suffix.durable
+
+    def kept(df):
+        df = durable(df)
+        size = sum((F.coalesce(F.length(k), F.lit(0)) if t == "binary" else F.lit(8) for k, t in df.dtypes), F.lit(0))
+        out.extend((r[0], r[1], r[2]) for r in df.groupBy("kind").agg(F.count(F.lit(1)), F.sum(size)).collect())
+        return df
+
+    monkeypatch.setattr(suffix, "durable", kept)
+    monkeypatch.setattr(suffix.c, "block_count", lambda *_: 8)  # rows made here have no statistics
+    return out
+
+
+def test_suffix_of_a_common_line_stores_less_than_the_text(make, monkeypatch):
+    """A line of 70 bytes among other text makes many segments of one anchor, of which none shares a window."""
+    monkeypatch.setattr(suffix, "SEGMENTS_OF_ANCHOR", 20)
+    stored, rng = stored_bytes(monkeypatch), random.Random(8)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvw ", k=n))
+    line = text(70)
+    rows = [(k, text(250) + line + text(250)) for k in range(400)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix.remove_repeats(make(rows)).collect()}
+    assert got == brute_bytes(rows)
+    assert sum(x[2] for x in stored) < sum(len(t) for _, t in rows)
+
+
+def test_suffix_of_chance_grams_compares_nothing(make, monkeypatch):
+    """Grams of 16 bytes that texts share by chance, without a longer string in common, send no text."""
+    stored, rng = stored_bytes(monkeypatch), random.Random(9)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvw ", k=n))
+    grams = [text(20) for _ in range(30)]
+    rows = [(k, "".join(text(70) + rng.choice(grams) for _ in range(8))) for k in range(200)]
+    assert {r.doc_id: r.n_removed for r in suffix.remove_repeats(make(rows)).collect()} == {k: v[1] for k, v in brute_bytes(rows).items()}
+    assert not [x for x in stored if x[0] in (suffix.COMPARE, suffix.SPREAD)]
+
+
+def test_suffix_of_copies_stores_places_packed(make, monkeypatch):
+    """The places of removed segments of a block of documents are one row."""
+    stored, rng = stored_bytes(monkeypatch), random.Random(10)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvw ", k=2000)) for _ in range(40)]
+    rows = [(40 * k + i, t) for k in range(12) for i, t in enumerate(texts)]
+    assert {r.doc_id: r.n_removed for r in suffix.remove_repeats(make(rows)).collect()} == {i: 2000 * (i >= 40) for i, _ in rows}
+    assert sum(x[1] for x in stored) < len(rows) * 2 and sum(x[2] for x in stored) < 0.7 * sum(len(t) for _, t in rows)
+
+
 def test_suffix_keeps_columns_and_whole_characters(make):
     a = "é" * 120
     out = suffix.remove_repeats(make([(1, a, "fr", "s"), (2, "x" + a + "y", "fr", None)]), as_text=True, keep=("lang", "source")).collect()
