@@ -21,9 +21,13 @@ from fleetlens.session import durable
 GRAM = 16
 BLOCK = 64
 #: Bytes of text that are cut into segments at a time; temporaries take about 120 times as much.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
+#: Bytes of text whose segments are settled and packed together.
+PARCEL_BYTES = 4 << 20
 #: Bytes of segments that one collection sorts.
-COLLECTION_BYTES = 1 << 20
+COLLECTION_BYTES = 1 << 19
+#: Bytes of a block of documents, and of the text whose segments meet in one task, as Spark estimates them.
+BLOCK_BYTES = 2 << 20
 #: The different segments of one anchor meet in one collection up to this number; beyond it, window by window.
 SEGMENTS_OF_ANCHOR = 2048
 #: Windows of anchors taken apart that meet in one task.
@@ -142,18 +146,28 @@ def _table(schema: pa.Schema, out: list[tuple]) -> pa.Table:
 
 
 def _parcels(length: int, buckets: int, blocks: int):
+    def packed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        first, (_, _, i, s, _, _, n, _) = _first_of_each(*map(np.concatenate, zip(*held)))
+        out = [(kind, key, blob) for kind, key, _, blob in _removed(blocks, i, s, s + n + length - 1)]
+        keys = c.bucket_of(c.mix(first[0]), buckets).astype(np.int64)
+        order = np.lexsort((first[2], keys))
+        anchor, whole, i, s, left, right, n, before = (x[order] for x in first)
+        out += [(SEGMENTS, key, blob) for key, _, blob in _packed(keys[order], i, anchor, whole, left, right, s.astype(np.uint32), n.astype(np.uint8), before.astype(np.uint8))]
+        if out:
+            yield c.rows(_PARCEL, *zip(*out))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in c.steps(batches, most=STEP_BYTES):
-            ids = batch.column("id").to_numpy()
-            anchor, whole, doc, *more = segments_of(*c.buffers(batch.column("text").cast(pa.binary())), length)
-            first, (_, _, i, s, _, _, n, _) = _first_of_each(anchor, whole, ids[doc], *more)
-            out = [(kind, key, blob) for kind, key, _, blob in _removed(blocks, i, s, s + n + length - 1)]
-            keys = c.bucket_of(c.mix(first[0]), buckets).astype(np.int64)
-            order = np.lexsort((first[2], keys))
-            anchor, whole, i, s, left, right, n, before = (x[order] for x in first)
-            out += [(SEGMENTS, key, blob) for key, _, blob in _packed(keys[order], i, anchor, whole, left, right, s.astype(np.uint32), n.astype(np.uint8), before.astype(np.uint8))]
-            if out:
-                yield c.rows(_PARCEL, *zip(*out))
+            data, offsets = c.buffers(batch.column("text").cast(pa.binary()))
+            anchor, whole, doc, *more = segments_of(data, offsets, length)
+            held.append((anchor, whole, batch.column("id").to_numpy()[doc], *more))
+            size += len(data)
+            if size >= PARCEL_BYTES:
+                yield from packed(held)
+                held, size = [], 0
+        if held:
+            yield from packed(held)
 
     return run
 
@@ -447,7 +461,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     spark = docs.sparkSession
     c.bounded_batches(spark)
     texts = c.texts_of(docs, id_col, text_col)
-    n = c.block_count(texts, 8 << 20)
+    n = c.block_count(texts, BLOCK_BYTES)
     blocks = c.odd(n)
     hit, segment = "kind int, key int, size long, blob binary", "kind int, key int, id long, start long, blob binary"
     parcels = texts.mapInArrow(_parcels(length, n, blocks), "kind int, key int, blob binary")

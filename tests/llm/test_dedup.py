@@ -132,6 +132,25 @@ def test_suffix_of_a_common_line_stores_less_than_the_text(make, monkeypatch):
     assert sum(x[2] for x in stored) < sum(len(t) for _, t in rows)
 
 
+def test_suffix_collections_keep_to_their_size(make, monkeypatch):
+    """What one collection sorts does not grow with the segments of common anchors, which are taken apart."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(suffix, "SEGMENTS_OF_ANCHOR", 20)
+    monkeypatch.setattr(suffix, "COLLECTION_BYTES", 20_000)
+    monkeypatch.setattr(suffix.c, "block_count", lambda *_: 8)
+    stored, durable, rng = [], suffix.durable, random.Random(8)
+    monkeypatch.setattr(suffix, "durable", lambda df: stored.append(durable(df)) or stored[-1])
+    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvw ", k=n))
+    lines = [text(120)] + [text(150) for _ in range(300)]
+    rows = [(k, text(90) + lines[0] + text(90) + rng.choice(lines[1:]) + text(90)) for k in range(400)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix.remove_repeats(make(rows)).collect()}
+    assert got == brute_bytes(rows)
+    cut = stored[1].where(F.col("kind") == suffix.COMPARE)
+    sizes = [r[1] for r in cut.groupBy("key").agg(F.sum(F.length(dict((t, k) for k, t in cut.dtypes)["binary"]))).collect()]
+    assert sizes and max(sizes) < 4 * 20_000
+
+
 def test_suffix_of_chance_grams_compares_nothing(make, monkeypatch):
     """Grams of 16 bytes that texts share by chance, without a longer string in common, send no text."""
     stored, rng = stored_bytes(monkeypatch), random.Random(9)
